@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, packing, pii, quality
+from . import mixing, near_dup, packing, pii, quality, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Target entropy and repetition limit of the mixing query; its budget is the least that leaves no document out.
 MIX = mixing.Mix(entropy=0.95, max_passes=4.0)
 
@@ -39,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_near_dup": op4_near_dup, "op8_pii": op8_pii, "op10_quality": op10_quality}
+    return {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_near_dup": op4_near_dup, "op8_pii": op8_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
