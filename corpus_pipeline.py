@@ -1,30 +1,64 @@
-"""Corpus pipeline: quality filter, near-duplicate removal, PII redaction, source mixing, packing."""
+"""Corpus pipeline: quality filter, near-duplicate removal, PII redaction, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it to the shared folder and
+reads it again as the next stage's ``docs``. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbifold.llm import quality
+from orbifold.llm import mixing, near_dup, packing, pii, quality
 from orbifold.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: No source is used more than twice; within that, the budget is the least with which every document is used.
+MIX = mixing.Mix(entropy=0.95, max_passes=2.0)
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", keep_good)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each use of a document in the mix."""
+    return mixing.mix_sources(docs, MIX).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in the training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_good),
+    ("near_duplicates", drop_near_duplicates),
+    ("pii", redact),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
-#: Fitted models and hash permutations are not expressible in SQL; tests compare with brute force.
+#: Fitted models, consistent samples and hash permutations are not expressible in SQL; tests use brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``, each result written to the shared folder."""
+    """The stages one after another over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
