@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, packing, pii, quality, topk, toxicity, warc
+from . import licenses, mixing, near_dup, packing, pii, quality, topk, toxicity, vector_dup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,14 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op5_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -52,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_near_dup": op4_near_dup, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_topk": op9_topk, "op10_quality": op10_quality}
+    return {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_near_dup": op4_near_dup, "op5_vector_dup": op5_vector_dup, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_topk": op9_topk, "op10_quality": op10_quality}
 
 
 WARC_SQL = """
