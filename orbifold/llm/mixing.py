@@ -8,7 +8,8 @@ whichever asks for the larger exponent. Given a budget of tokens, source s gets
 The documents of a source are dealt into blocks by a hash. A pass over a source is a permutation of its
 blocks, drawn anew for each pass and source; whole passes take every block, the last, partial pass takes
 blocks in order while the budget lasts and documents of the block at the cut in hashed order up to the
-document that reaches it. Only counts per source and block are sorted together, never documents of a source.
+document that reaches it (equal rows come together). Only a source's block counts and the documents of one of
+its blocks are sorted together, never all its documents.
 
 A document's tokens are its white-space separated words (at least 1, so empty texts can be drawn); null
 sources are one source of their own. An empty table gives an empty result. Rows repeat as they do in the
@@ -89,45 +90,46 @@ def token_count(text: str = "text") -> Column:
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), seed: int = SEED) -> DataFrame:  # noqa: B008
-    """The rows of ``docs`` (doc_id, text, source) once for each use, with
-
-    tokens, pass (0 for the first), block, position (of the block in its pass) and weight of the source.
-    Whole passes come before the partial one. The number of sources has to fit on the driver; blocks and
-    documents never get there."""
-    names = ("tokens", "pass", "block", "position", "weight")
-    rows = docs.drop(*names)
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(BLOCKS)).cast("int")
-    rows = rows.withColumns({"tokens": token_count(), "block": block})
-    sizes = stored(rows.groupBy("source", "block").agg(F.sum("tokens").alias("n")), "blocks")
+    """The rows of ``docs`` (doc_id, text, source) once for each use, with tokens, pass (0 for the first), block,
+    order (by which a pass sorts its blocks) and weight of the source.
+
+    Whole passes come before the partial one. One row per source reaches the driver and is broadcast: its weight,
+    its whole passes, the order of the block at the cut and the draw of the document there. So the number of
+    sources has to fit on the driver; blocks and documents never get there, and documents are not shuffled."""
+    names = ("tokens", "pass", "block", "order", "weight")
+    spark, kept = docs.sparkSession, docs.drop(*names).columns
+    rows = docs.drop(*names).withColumns({"tokens": token_count(), "_draw": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))})
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("_draw"), F.lit(BLOCKS)).cast("int"))
+
+    def order(use: Column) -> Column:
+        """A block's place in a pass: a hash, made unique by the block's number."""
+        return F.xxhash64(F.lit(seed), F.col("source"), use, F.col("block")).bitwiseAND(F.lit(-BLOCKS)).bitwiseOR(F.col("block").cast("long"))
+
+    narrow = stored(rows.select("source", "block", "_draw", "tokens"), "tokens")
+    sizes = narrow.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
     tokens = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    if not tokens:
-        return rows.select(*docs.drop(*names).columns, "tokens", F.lit(0).alias("pass"), "block", F.lit(0).alias("position"), F.lit(0.0).alias("weight"))
     w, _ = weights(tokens, mix)
-    plan = [(s, w[s], int(p + 1e-9), max(0.0, p - int(p + 1e-9)) * tokens[s]) for s, p in passes(tokens, w, mix).items()]
-    plan = docs.sparkSession.createDataFrame(plan, "source string, weight double, whole int, part double")
-
-    # One row per source, block and pass: position in the pass's permutation, tokens before it, tokens left at it.
-    def same(a: DataFrame, b: DataFrame) -> Column:
-        return a["source"].eqNullSafe(b["source"])
-
-    used = sizes.join(plan, same(sizes, plan)).select(sizes["source"], "block", "n", "weight", "whole", "part")
-    used = used.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("whole"))))
-    order = Window.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(seed), "source", "pass", "block"), "block")
-    used = used.withColumn("position", F.row_number().over(order) - 1)
-    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    used = used.withColumn("left", F.when(F.col("pass") < F.col("whole"), F.col("n")).otherwise(F.col("part") - before))
-    used = used.where(F.col("left") > 1e-6)
-    steps = stored(used.select("source", "block", "pass", "position", "weight", "n", "left"), "passes")
-
-    # Blocks taken whole need no order among their documents; those at a cut get one, a block at a time.
-    chosen = [c for c in rows.columns]
-    key = lambda d: (rows["source"].eqNullSafe(d["source"])) & (rows["block"] == d["block"])
-    full = steps.where("left >= n").groupBy("source", "block").agg(F.max("weight").alias("weight"), F.collect_list(F.struct("pass", "position")).alias("uses"))
-    out = rows.join(full, key(full)).select(*(rows[c] for c in chosen), "weight", F.explode("uses").alias("use"))
-    out = out.select(*chosen, "weight", "use.pass", "use.position")
-    cut = steps.where("left < n")
-    part = rows.join(cut, key(cut)).select(*(rows[c] for c in chosen), "weight", "pass", "position", "left")
-    within = Window.partitionBy("source", "block", "pass").orderBy(F.xxhash64(F.lit(seed), "pass", "doc_id", "text"), "doc_id")
-    taken = F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
-    part = part.withColumn("_before", taken).where(F.col("_before") < F.col("left"))
-    return out.select(*docs.drop(*names).columns, *names).unionByName(part.select(*docs.drop(*names).columns, *names))
+    plan = [(s, w[s], int(p + 1e-9), max(0.0, p - int(p + 1e-9)) * tokens[s]) for s, p in (passes(tokens, w, mix) if w else {}).items()]
+    told = spark.createDataFrame(plan, "source string, weight double, whole int, part double")
+
+    # The block at the cut of each partial pass, and the last document of it that is taken.
+    blocks = sizes.join(F.broadcast(told), sizes["source"].eqNullSafe(told["source"])).where("part > 1e-6").select(sizes["source"], "block", "n", "whole", "part")
+    blocks = blocks.withColumn("order", order(F.col("whole")))
+    sofar = Window.partitionBy("source").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("before", F.sum("n").over(sofar) - F.col("n")).where("before <= part AND before + n > part")
+    cut = blocks.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "order", (F.col("part") - F.col("before")).alias("left"))
+    at_cut = narrow.join(F.broadcast(cut), narrow["source"].eqNullSafe(cut["_source"]) & (narrow["block"] == cut["_block"]))
+    within = Window.partitionBy("source").orderBy("_draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at_cut = at_cut.withColumn("before", F.sum("tokens").over(within) - F.col("tokens"))
+    ends = at_cut.groupBy("source", "order").agg(F.max(F.when(F.col("before") < F.col("left") - 1e-6, F.col("_draw"))).alias("draw"))
+    cuts = {r.source: (r.order, r.draw) for r in ends.collect()}
+    plan = [(*x[:3], *cuts.get(x[0], (None, None))) for x in plan]
+    told = F.broadcast(spark.createDataFrame(plan, "_source string, weight double, _whole int, _order long, _last long"))
+
+    used = rows.join(told, rows["source"].eqNullSafe(told["_source"]))
+    here = order(F.col("_whole"))
+    again = (here < F.col("_order")) | ((here == F.col("_order")) & (F.col("_draw") <= F.col("_last")))
+    count = F.col("_whole") + F.coalesce(again, F.lit(False)).cast("int")
+    uses = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    used = used.withColumn("pass", F.explode(uses)).withColumn("order", order(F.col("pass")))
+    return used.select(*kept, *names)
