@@ -16,6 +16,7 @@ other. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,53 +33,95 @@ CLASSES = 256
 END_ID = 2
 #: Hash buckets in which the pieces of a class are ranked.
 RANK_PARTS = 32
+#: Characters that are encoded together.
+RUN_CHARS = 4_000_000
 #: Column generation ends within this share of the least possible number of sequences.
 GAP = 2e-4
 #: Column generation ends after so many columns even if a better one is left; the packing stays valid.
 MAX_COLUMNS = 2_000
 
 
-class WordIds:
-    """Token ids of texts, by a cache of the ids of their white-space separated pieces.
+class WordIds(dict):
+    """Token ids of texts, by a table of the ids of their white-space separated pieces.
 
     The tokenizer drops white space and lets no token span it, so the ids of a text are those of its pieces.
-    Only the four characters that every definition of white space holds are cut at. In ASCII pieces that end
-    in simple punctuation, the tokenizer splits before that, and it ignores case."""
+    Only the characters that every definition of white space holds are cut at. A piece is a core and simple
+    punctuation after it, between which the tokenizer always splits. New cores of Latin letters are encoded
+    together in one call and told apart by the end-of-word tokens; others one by one. As a mapping, it gives
+    the number of a piece in the table; unseen ones get the next."""
 
     SIMPLE = ".,;:!?*#%$&"
-    KEPT = 400_000
+    KEPT = 1_000_000
 
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        plain: dict[str, tuple[str, str]] = {}
-        for p in pieces:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
+        self.tails: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = k = len(self)
+        self.new.append(piece)
+        return k
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cores(self, cores: list[str]) -> dict[str, np.ndarray]:
+        """Ids by core."""
+        latin = [c for c in cores if c.isalpha() and c.isascii()] + [c for c in cores if not c.isascii() and c.isalpha() and max(c) <= "\xff"]
+        found: dict[str, np.ndarray] = {}
+        if latin:
+            ids = self._alone([" ".join(latin)])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(latin):
+                found = dict(zip(latin, np.split(ids, cuts[:-1]), strict=True))
+        rest = [c for c in cores if c not in found]
+        return found | dict(zip(rest, self._alone(rest), strict=True))
+
+    def _learn(self) -> None:
+        parts = []
+        for p in self.new:
             core = p.rstrip(self.SIMPLE)
-            plain[p] = (core.lower() if core.isascii() else core, p[len(core) :]) if core and core[-1].isalnum() else (p, "")
-        wanted = list(dict.fromkeys(x for pair in plain.values() for x in pair if x and x not in self.known))
-        for k in range(0, len(wanted), 20_000):
-            part = wanted[k : k + 20_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, np.uint32)
-        for p, (core, tail) in plain.items():
-            if p not in self.known:
-                self.known[p] = np.concatenate([self.known[core], self.known[tail]]) if tail else self.known[core]
-
-    def __call__(self, text: str) -> np.ndarray:
-        pieces = [p for p in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if p]
-        if not pieces:
-            return np.empty(0, np.uint32)
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        new = {p for p in pieces if p not in self.known}
-        if new:
-            self._learn(new)
-        return np.concatenate(list(map(self.known.__getitem__, pieces)))
+            parts.append((core.lower() if core.isascii() else core, p[len(core) :]) if core and core[-1].isalnum() else (p, ""))
+        cores = self._cores(list(dict.fromkeys(c for c, _ in parts)))
+        tails = [t for t in {t for _, t in parts} if t not in self.tails]
+        self.tails |= dict(zip(tails, self._alone(tails), strict=True))
+        pieces = [x for c, t in parts for x in (cores[c], self.tails[t])]
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)).reshape(-1, 2).sum(axis=1)
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.length = np.append(self.length, lengths)
+        self.flat = np.concatenate([self.flat, *pieces])
+        self.new = []
+        if len(self.tails) > 10_000:
+            self.tails.clear()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self) > self.KEPT:
+            self._forget()
+        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        numbers = [np.fromiter(map(self.__getitem__, p), np.int64, len(p)) for p in pieces]
+        if self.new:
+            self._learn()
+        out = []
+        for k in numbers:
+            lengths = self.length[k]
+            ends = np.cumsum(lengths)
+            at = np.repeat(self.start[k] - ends + lengths, lengths) + np.arange(ends[-1])
+            out.append(self.flat[at])
+        return out
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
@@ -96,8 +139,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
                     c.clear()
                 return pa.RecordBatch.from_arrays(arrays[: 5 + keep_ids], names[: 5 + keep_ids])
 
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(words(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+            for doc_id, ids in encoded(words, batch):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for start in range(0, len(ids), sequence):
                     piece = ids[start : start + sequence]
                     for column, value in zip(out, (doc_id.as_py(), start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.tolist() if keep_ids else None), strict=True):
@@ -106,6 +149,16 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
                     yield flush()
             yield flush()
 
+    def encoded(words: WordIds, batch: pa.RecordBatch) -> Iterator[tuple[pa.Scalar, np.ndarray]]:
+        run, size = [], 0
+        for k, text in enumerate(batch.column(1)):
+            run.append(text.as_py() or "")
+            size += len(run[-1])
+            if size >= RUN_CHARS or k + 1 == batch.num_rows:
+                first = k + 1 - len(run)
+                yield from zip(batch.column(0)[first : k + 1], words.encode(run), strict=True)
+                run, size = [], 0
+
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
