@@ -27,6 +27,9 @@ class Space:
 
     k: float
 
+    def __post_init__(self) -> None:
+        """Each geometry checks its curvature here."""
+
     @property
     def r(self) -> float:
         return 1.0 if abs(self.k) <= FLAT else 1 / math.sqrt(abs(self.k))

@@ -112,7 +112,7 @@ class RunService:
 
     def start(self, curvature: float, config: dict | None = None) -> tuple[bool, str]:
         """Starts a run unless one is under way or the configuration is not valid."""
-        config = config or self.config
+        config = self.config if config is None else config
         ok, message = cfg.validate(config)
         if not ok:
             return False, message
