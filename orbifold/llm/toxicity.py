@@ -98,16 +98,6 @@ def train(bags: list[list[np.ndarray]], y: np.ndarray) -> ToxicityModel:
     ids = np.concatenate(sents)
     sent = np.repeat(np.arange(len(sents)), [len(s) for s in sents])
     vocabulary, column = np.unique(ids, return_inverse=True)
-    pairs = np.unique(doc[sent].astype(np.int64) * len(vocabulary) + column)
-    toxic = y[pairs // len(vocabulary)] == 1
-    hits = [np.bincount(pairs[t] % len(vocabulary), minlength=len(vocabulary)) for t in (toxic, ~toxic)]
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    p = (hits[0] + hits[1] + 1) / (n1 + n0 + 2)
-    z = (hits[0] / n1 - hits[1] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    telling = (hits[0] >= LEAST_DOCS) & (z >= LEAST_Z)
-    keep = telling[column]
-    sent, column = sent[keep], (np.cumsum(telling) - 1)[column[keep]]
-    vocabulary = vocabulary[telling]
     share = 1 / len(y)
     penalty = EXPLAINS * share
     w, b = np.zeros(len(vocabulary)), -5.0
@@ -127,26 +117,54 @@ def train(bags: list[list[np.ndarray]], y: np.ndarray) -> ToxicityModel:
     return ToxicityModel(float(b), dict(zip(vocabulary[used].tolist(), w[used].tolist(), strict=True)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
-    """Fits on the documents of at most ``max_labelled`` labelled rows outside the held-out fold.
+def telling_features(rows: DataFrame) -> np.ndarray:
+    """Ids of words and stems that toxic documents of ``rows`` (text, y) hold significantly more often than clean ones.
 
-    The label rows are broadcast (16 bytes each); the driver gets the word hashes of those documents."""
+    Tasks count documents per id, shuffles add the counts up; only ids that pass reach the driver."""
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = lru_cache(200_000)(word_ids)
         for batch in batches:
-            found = [[[k for w in words for k in ids(w)] for _, _, words in sentences(t.as_py())] for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.list_(pa.int64())))], ["y", "bag"])
+            held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+            for text, y in zip(batch.column(0), batch.column(1), strict=True):
+                found = {k for _, _, words in sentences(text.as_py()) for w in words for k in ids(w)}
+                held[y.as_py()].append(np.fromiter(found, np.int64, len(found)))
+            for y, parts in held.items():
+                if parts:
+                    k, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n if y else n * 0), pa.array(n * 0 if y else n)], ["k", "toxic", "clean"])
+
+    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
+        return np.empty(0, np.int64)
+    counts = rows.select("text", "y").mapInArrow(count, "k long, toxic long, clean long").groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    p = (F.col("toxic") + F.col("clean") + 1) / (n1 + n0 + 2)
+    z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    return np.array(sorted(r.k for r in counts.where((F.col("toxic") >= LEAST_DOCS) & (z >= LEAST_Z)).select("k").collect()), np.int64)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+    """Fits on the documents of at most ``max_labelled`` labelled rows outside the held-out fold.
 
+    The label rows are broadcast (16 bytes each); the driver gets the telling words of those documents' sentences."""
     sample = labelled(labels, "toxic", 5, 0, max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("text", "y").mapInArrow(bags, "y int, bag array<array<long>>").toArrow()
-    columns = found["bag"].combine_chunks()
-    bags_of = []
-    for k in range(len(columns)):
-        bag = columns[k].values
-        bags_of.append([bag[j].values.to_numpy() for j in range(len(bag))])
-    return train(bags_of, np.array(found["y"].to_pylist(), np.int64))
+    wanted = telling_features(rows)
+    telling = frozenset(wanted.tolist())
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = lru_cache(200_000)(lambda w: [k for k in word_ids(w) if k in telling])
+        for batch in batches:
+            found = [[[k for w in words for k in ids(w)] for _, _, words in sentences(t.as_py())] for t in batch.column(0)]
+            full = [[s for s in bag if s] for bag in found]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(map(len, found)), pa.int32()), pa.array(full, pa.list_(pa.list_(pa.int64())))], ["y", "n", "bag"])
+
+    found = rows.select("text", "y").mapInArrow(bags, "y int, n int, bag array<array<long>>").toArrow()
+    y, n = np.array(found["y"].to_pylist(), np.int64), found["n"].to_pylist()
+    full = found["bag"].to_pylist()
+    none = np.empty(0, np.int64)
+    return train([[np.array(s, np.int64) for s in bag] + [none] * (k - len(bag)) for bag, k in zip(full, n, strict=True)], y)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, locate: bool = False) -> DataFrame:
