@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,19 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
             where.getFileSystem(hadoop).delete(where, True)
 
 
+def in_task(spark: SparkSession, work: Callable[[], Any]) -> Any:
+    """What ``work`` returns, computed in one task from the bounded data that it closes over.
+
+    Fits on bounded samples run there: Spark's workers keep BLAS to one thread, while a driver that was forked after
+    BLAS had started its threads may wait for them for ever."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work())], pa.binary())], ["result"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "result binary").first().result)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ patterns (how many pieces of each class a sequence takes), whose columns are pri
 solved by dynamic programming. Pattern counts are rounded down and what is left is packed first-fit
 decreasing. Pieces are ranked within their class, and a rank's pattern, sequence and slot are arithmetic.
 
-The histogram (at most :data:`CLASSES` numbers) is all that reaches the driver. Ranks come from counts per
+The histogram (at most :data:`CLASSES` numbers) is all that reaches the driver; the program is solved in a task. Ranks come from counts per
 class and hash bucket, so a class that holds most pieces is ranked in parts.
 
 Null texts count as empty and give the end token alone. Rows with null or repeated ids are packed like any
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_task, stored
 
 SEQUENCE = 4096
 CLASSES = 256
@@ -278,7 +278,7 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, classes: int = CLAS
         offsets.append((r._size, r._part, histogram.get(r._size, 0)))
         histogram[r._size] = histogram.get(r._size, 0) + r["count"]
     full = histogram.pop(0, 0)
-    placed, _ = shelves(histogram, sequence // unit, full)
+    placed, _ = in_task(spark, lambda: shelves(histogram, sequence // unit, full))
     placed = [Shelf(0, 0, 1, 0), *placed]
     spots = {}
     for s in placed:

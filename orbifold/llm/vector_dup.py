@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_task, stored
 from .components import components
 
 COSINE = 0.93
@@ -94,7 +94,8 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         same = groups.where(F.col("dim") == r.dim)
         most = same.groupBy("label").count().agg(F.max("count").alias("m")).first().m
         sample = same.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(FIT_ROWS).select("v").toArrow()
-        tables = Tables(units(sample["v"].to_pylist()), most, cosine)
+        x = units(sample["v"].to_pylist())
+        tables = in_task(rows.sparkSession, lambda x=x, most=most: Tables(x, most, cosine))
         found.append(_compared(same, tables, cosine))
     if not found:
         counts, pairs = None, None
