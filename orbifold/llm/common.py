@@ -54,8 +54,8 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
 def in_task(spark: SparkSession, work: Callable[[], Any]) -> Any:
     """What ``work`` returns, computed in one task from the bounded data that it closes over.
 
-    Fits on bounded samples run there: Spark's workers keep BLAS to one thread, while a driver that was forked after
-    BLAS had started its threads may wait for them for ever."""
+    Fits on bounded samples run there: on the driver a matrix inverse with threaded BLAS was seen not to end in a test
+    run, and with one thread, as Spark gives its workers, it ended. Why is not known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
