@@ -2,9 +2,10 @@
 
 Vectors are compared only under equal labels. A rotation of the principal components is learnt so that signs
 lose least (iterative quantisation) and codes are balanced; every vector is then indexed in several tables, each
-keyed by a stretch of a code. Tables are as wide as the largest label needs for small buckets, and as many as it
-takes for a pair at the threshold to meet in one of them with probability :data:`RECALL`, from as many rotations
-as that needs. Buckets are cut into blocks and a task compares two of them by cosine in double precision. A pair
+keyed by a stretch of a code. Pairs at the threshold are made of sampled vectors, and tables, from as many rotations
+as that needs, are added until the share :data:`RECALL` of these pairs has met in one; they are as wide as costs
+least. A label that is compared whole for less has one table with one key, which misses no link. Buckets are cut
+into blocks and a task compares two of them by cosine in double precision. A pair
 that meets in several tables counts in the first only, so no pair leaves a task: counts per vector and the links
 that join components do.
 
@@ -29,49 +30,107 @@ COSINE = 0.93
 #: Vectors that the rotations are fitted on at most; all are indexed.
 FIT_ROWS = 10_000
 ROUNDS = 30
-#: Probability with which a pair at the threshold meets in a table, if bits differed independently.
-RECALL = 0.985
-#: Vectors per bucket aimed at, and the least width of a table's key.
-PER_BUCKET, LEAST_BITS = 16, 8
+#: Share of the made pairs at the threshold, of each kind, that have to meet in a table, and how many are made.
+RECALL, PROBES = 0.985, 2_000
+#: Comparisons that take as long as moving a vector to a bucket.
+MOVE = 2_000
 BLOCK = 1024
 
 
-def learn_rotation(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection): principal components turned so that their signs approximate them best."""
     mean = x.mean(axis=0)
     y = x - mean
     _, _, axes = np.linalg.svd(y.T @ y)
     y = y @ axes[:bits].T
     r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         u, _, v = np.linalg.svd(np.where(y @ r >= 0, 1.0, -1.0).T @ y)
         r = (u @ v).T
     return mean, axes[:bits].T @ r
 
 
-def table_plan(most: int, bits: int, cosine: float = COSINE) -> tuple[int, int]:
-    """(width, number) of the tables for a label of ``most`` vectors."""
-    width = min(bits, max(LEAST_BITS, math.ceil(math.log2(max(1, most / PER_BUCKET)))))
-    same = (1 - math.acos(cosine) / math.pi) ** width
-    return width, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - same)) if same < 1 else 1)
+def made_pairs(x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the sample and others at ``cosine`` from them: half in any direction, half where the sample varies."""
+    rng = np.random.default_rng(11)
+    a = x[rng.integers(len(x), size=2 * PROBES)]
+    away = x[rng.integers(len(x), size=PROBES)] - x[rng.integers(len(x), size=PROBES)]
+    u = np.concatenate([rng.normal(size=away.shape), away])
+    u -= (u * a).sum(axis=1, keepdims=True) * a
+    norm = np.sqrt((u * u).sum(axis=1, keepdims=True))
+    u = np.divide(u, norm, out=np.zeros_like(u), where=norm > 1e-9)
+    y = cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * u
+    return a, np.where(norm > 1e-9, y, a)
+
+
+def share_met(met: np.ndarray) -> float:
+    """The share of made pairs that met, of the kind that meets less."""
+    return min(met[:PROBES].mean(), met[PROBES:].mean())
+
+
+def signs(rotation: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    mean, projection = rotation
+    return ((x - mean) @ projection >= 0).astype(np.int64)
+
+
+def stretches(bits: np.ndarray, width: int) -> np.ndarray:
+    """The keys of codes in the tables of ``width``."""
+    starts = range(0, bits.shape[1] - width + 1, width)
+    return np.stack([bits[:, i : i + width] @ (1 << np.arange(width, dtype=np.int64)) for i in starts], axis=1)
+
+
+def tables_needed(equal: np.ndarray, width: int) -> float:
+    """Tables until the share :data:`RECALL` of pairs met, from the share of equal bits of each."""
+    once, low, high = equal**width, 0, 1
+    while high < 1 << 20 and share_met(1 - (1 - once) ** high) < RECALL:
+        low, high = high, 2 * high
+    if high >= 1 << 20:
+        return math.inf
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if share_met(1 - (1 - once) ** middle) >= RECALL else (middle, high)
+    return high
+
+
+def least_width(codes: np.ndarray, labels: np.ndarray, equal: np.ndarray, most: int) -> int:
+    """The width of keys that costs least for a label of ``most`` vectors; 0 compares the whole label."""
+    _, of, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    pairs = max(1, int((counts * (counts - 1)).sum()))
+    best, least = 0, MOVE * math.ceil(most / BLOCK) + most
+    for width in range(1, min(codes.shape[1], math.ceil(math.log2(max(2, most)))) + 1):
+        keys = stretches(codes, width)
+        met = [np.unique(of * (1 << width) + keys[:, t], return_counts=True)[1] for t in range(keys.shape[1])]
+        bucket = most * float(np.mean([(n * (n - 1)).sum() for n in met])) / pairs
+        cost = tables_needed(equal, width) * (MOVE * max(1.0, bucket / BLOCK) + bucket)
+        if cost < least:
+            best, least = width, cost
+    return best
 
 
 class Tables:
     """The keys of a vector in each table."""
 
-    def __init__(self, x: np.ndarray, most: int, cosine: float) -> None:
+    def __init__(self, x: np.ndarray, labels: np.ndarray, most: int, cosine: float) -> None:
         bits = x.shape[1]
-        self.width, self.number = table_plan(most, bits, cosine)
-        each = bits // self.width
-        self.maps = [learn_rotation(x, bits, seed) for seed in range(-(-self.number // each))]
+        a, y = made_pairs(x, cosine)
+        self.maps = [learn_rotation(x, bits, 0)]
+        self.width = least_width(signs(self.maps[0], x), labels, (signs(self.maps[0], a) == signs(self.maps[0], y)).mean(axis=1), most)
+        self.number, met = 0, np.zeros(len(a), bool)
+        while self.width:
+            before = share_met(met)
+            own, other = (stretches(signs(self.maps[-1], v), self.width) for v in (a, y))
+            for t in range(own.shape[1]):
+                met |= own[:, t] == other[:, t]
+                self.number += 1
+                if share_met(met) >= RECALL:
+                    return
+            # rotations that end in the same optimum add nothing: then any rotation is taken
+            self.maps.append(learn_rotation(x, bits, len(self.maps), ROUNDS if share_met(met) > before else 0))
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        out = []
-        for mean, projection in self.maps:
-            signs = ((x - mean) @ projection >= 0).astype(np.int64)
-            for start in range(0, signs.shape[1] - self.width + 1, self.width):
-                out.append(signs[:, start : start + self.width] @ (1 << np.arange(self.width, dtype=np.int64)))
-        return np.stack(out[: self.number], axis=1)
+        if not self.width:
+            return np.zeros((len(x), 1), np.int64)
+        return np.concatenate([stretches(signs(m, x), self.width) for m in self.maps], axis=1)[:, : self.number]
 
 
 def units(vectors: list[list[float]]) -> np.ndarray:
@@ -93,9 +152,9 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     for r in groups.groupBy("dim").count().collect():  # vectors of different lengths do not link
         same = groups.where(F.col("dim") == r.dim)
         most = same.groupBy("label").count().agg(F.max("count").alias("m")).first().m
-        sample = same.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(FIT_ROWS).select("v").toArrow()
-        x = units(sample["v"].to_pylist())
-        tables = in_task(rows.sparkSession, lambda x=x, most=most: Tables(x, most, cosine))
+        sample = same.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(FIT_ROWS).select("v", F.col("label").cast("string").alias("label")).toArrow()
+        x, labels = units(sample["v"].to_pylist()), np.array(sample["label"].to_pylist())
+        tables = in_task(rows.sparkSession, lambda x=x, labels=labels, most=most: Tables(x, labels, most, cosine))
         found.append(_compared(same, tables, cosine))
     if not found:
         counts, pairs = None, None

@@ -2,7 +2,10 @@
 
 import random
 
-from orbifold.llm import licenses
+import numpy as np
+import pytest
+
+from orbifold.llm import licenses, vector_dup
 
 from .conftest import prose
 
@@ -20,3 +23,23 @@ def test_licenses_inside_prose():
             assert found_in(line) == [(wordings[0], wording)], line
             wrapped = f"{around[0]}\n{wording}\n{around[1]}".replace(" ", "\n", 5)
             assert (wordings[0], wording) in found_in(wrapped)
+
+
+@pytest.mark.parametrize("move", [2_000, 1])  # the label compared whole, and by tables
+def test_links_of_vectors_with_a_common_direction(spark, monkeypatch, move):
+    monkeypatch.setattr(vector_dup, "MOVE", move, raising=False)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2_000, 64))
+    x = 0.9 / 8 + np.sqrt(1 - 0.81) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=(200, 64))
+    u -= (u * x[:200]).sum(axis=1, keepdims=True) * x[:200]
+    c = rng.uniform(0.93, 0.95, size=(200, 1))
+    x[200:400] = c * x[:200] + np.sqrt(1 - c * c) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links = int((np.triu(x @ x.T, 1) >= 0.93).sum())
+    found = sum(r.n_links for r in vector_dup.linked_vectors(rows).collect()) / 2
+    assert 0.96 * links <= found <= links
+    if move > 1:
+        assert found == links
