@@ -25,6 +25,12 @@ def test_licenses_inside_prose():
             assert (wordings[0], wording) in found_in(wrapped)
 
 
+def test_every_license_of_a_line():
+    mit, apache = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["Apache-2.0"][0]
+    assert found_in(f"Authors may choose: {mit} {apache}") == [("MIT", mit), ("Apache-2.0", apache)]
+    assert found_in(f"{mit} For the code. {mit} For the rest.") == [("MIT", mit)] * 2
+
+
 @pytest.mark.parametrize("move", [2_000, 1])  # the label compared whole, and by tables
 def test_links_of_vectors_with_a_common_direction(spark, monkeypatch, move):
     monkeypatch.setattr(vector_dup, "MOVE", move, raising=False)
