@@ -31,6 +31,15 @@ def test_every_license_of_a_line():
     assert found_in(f"{mit} For the code. {mit} For the rest.") == [("MIT", mit)] * 2
 
 
+def test_licenses_over_line_ends(spark):
+    rng = random.Random(2)
+    mit = licenses.TEMPLATES["MIT"][1].replace(" ", "\n")
+    texts = [f"{prose(rng, 6_000)}\n{mit}\n{prose(rng, 6_000)}".replace(". ", ".\n"), "Made by us. All rights\nreserved.", "All\n#            rights\n#            reserved."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(r.doc_id, r.license, texts[r.doc_id][r.start : r.end]) for r in licenses.scan_licenses(rows).orderBy("doc_id").collect()]
+    assert len(texts[0]) > 60_000 and found == [(0, "MIT", mit), (1, "Proprietary", "All rights\nreserved."), (2, "Proprietary", texts[2])]
+
+
 @pytest.mark.parametrize("move", [2_000, 1])  # the label compared whole, and by tables
 def test_links_of_vectors_with_a_common_direction(spark, monkeypatch, move):
     monkeypatch.setattr(vector_dup, "MOVE", move, raising=False)
