@@ -20,8 +20,6 @@ from .pairs import Block, _between, knn, kth_distance, pair_blocks, ranks
 
 SMALL, FLOOR = 1e-12, 1e-10
 GRID = 100
-#: Points that a whole evaluation uses; more are sampled by a hash of their id.
-MOST_POINTS = 10_000
 
 
 def _value(df: DataFrame, value: Column) -> DataFrame:
@@ -240,14 +238,14 @@ def class_density(low: DataFrame) -> DataFrame:
     return _value(per, F.sum("x") / (GRID * GRID))
 
 
-def sampled_ids(points: DataFrame, most: int = MOST_POINTS, seed: int = 42) -> DataFrame:
+def sampled_ids(points: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """(id) of all points, or of ``most`` of them in the order of a hash."""
     return points.select("id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)
 
 
-def evaluate(high: DataFrame, low: DataFrame, k: int = 5, most: int = MOST_POINTS) -> DataFrame:
-    """One row (trustworthiness, continuity) of at most ``most`` points."""
-    if high.count() > most:
+def evaluate(high: DataFrame, low: DataFrame, k: int = 5, most: int | None = None) -> DataFrame:
+    """One row (trustworthiness, continuity) of all points, or of ``most`` of them if that is given."""
+    if most is not None and high.count() > most:
         ids = sampled_ids(high, most)
         high, low = high.join(ids, "id"), low.join(ids, "id")
     return trustworthiness(high, low, k).toDF("trustworthiness").crossJoin(continuity(high, low, k).toDF("continuity"))
