@@ -119,7 +119,8 @@ def area_utilisation(low: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([value])], ["value"])
 
     xy = low.select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
-    return xy.mapInArrow(corners, "x double, y double").coalesce(1).mapInArrow(area, "value double")
+    # a shuffle, so that the corners are found where the points are and only they meet in one task
+    return _value(xy.mapInArrow(corners, "x double, y double").repartition(1).mapInArrow(area, "value double"), F.max("value"))
 
 
 def radial_distribution(low: DataFrame) -> DataFrame:

@@ -18,3 +18,11 @@ def test_evaluate_uses_all_points(spark, make_points, monkeypatch):
     many = spark.range(10_001).select("id", F.array(F.rand(1), F.rand(2)).alias("vec"))
     metrics.evaluate(many, many, 5)
     assert not sampled
+
+
+def test_area_utilisation_finds_corners_in_parallel(spark, make_points):
+    square = make_points(np.array([[0, 0], [0, 1], [1, 0], [1, 1], [0.5, 0.5]])).repartition(4)
+    area = metrics.area_utilisation(square)
+    assert "Exchange" in area._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    assert abs(area.first().value - 1) < 1e-12
+    assert [r.value for r in metrics.area_utilisation(square.where("id < 0")).collect()] == [0.0]
