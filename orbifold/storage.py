@@ -12,9 +12,11 @@ SHARED_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The configured folder; only where none is (as in tests) a new local one, set for the session."""
+    """The configured folder. Only in local mode, where one machine is all there is, a new one stands in for it."""
     found = spark.conf.get(SHARED_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SHARED_DIR} has to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='orbifold-')}"
         spark.conf.set(SHARED_DIR, found)
     return found.rstrip("/")
