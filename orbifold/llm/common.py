@@ -3,52 +3,29 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The setting that names the folder all executors and the driver share.
-SHARED_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is configured (as in tests) a new local one."""
-    found = spark.conf.get(SHARED_DIR, None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='orbifold-')}"
-        spark.conf.set(SHARED_DIR, found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's file system closes."""
-    path = f"{shared_dir(spark)}/orbifold/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
+from ..storage import Stored
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files behind a table made by :func:`stored`; nothing may read it afterwards."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/orbifold/" in folder:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            where.getFileSystem(hadoop).delete(where, True)
+    return Stored(df, name).df
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each lengthened until ``columns`` has none like it, so that helper columns clash with none of the input's."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def in_task(spark: SparkSession, work: Callable[[], Any]) -> Any:
