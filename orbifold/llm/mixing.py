@@ -13,7 +13,8 @@ its blocks are sorted together, never all its documents.
 
 A document's tokens are its white-space separated words (at least 1, so empty texts can be drawn); null
 sources are one source of their own. An empty table gives an empty result. Rows repeat as they do in the
-input; extra columns are kept, and columns named like the outputs are replaced.
+input; equal rows share a block and are taken together. Extra columns are kept, whatever their names, and columns
+named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 #: Blocks that the documents of each source are dealt into.
 BLOCKS = 1024
@@ -98,14 +99,15 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), seed: int = SEED) -> DataFram
     sources has to fit on the driver; blocks and documents never get there, and documents are not shuffled."""
     names = ("tokens", "pass", "block", "order", "weight")
     spark, kept = docs.sparkSession, docs.drop(*names).columns
-    rows = docs.drop(*names).withColumns({"tokens": token_count(), "_draw": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))})
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("_draw"), F.lit(BLOCKS)).cast("int"))
+    draw, source, whole, order_, last = unused([*kept, *names], "draw", "source_", "whole", "order_", "last")
+    rows = docs.drop(*names).withColumns({"tokens": token_count(), draw: F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))})
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(draw), F.lit(BLOCKS)).cast("int"))
 
     def order(use: Column) -> Column:
         """A block's place in a pass: a hash, made unique by the block's number."""
         return F.xxhash64(F.lit(seed), F.col("source"), use, F.col("block")).bitwiseAND(F.lit(-BLOCKS)).bitwiseOR(F.col("block").cast("long"))
 
-    narrow = stored(rows.select("source", "block", "_draw", "tokens"), "tokens")
+    narrow = stored(rows.select("source", "block", F.col(draw).alias("_draw"), "tokens"), "tokens")
     sizes = narrow.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
     tokens = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     w, _ = weights(tokens, mix)
@@ -124,12 +126,12 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), seed: int = SEED) -> DataFram
     ends = at_cut.groupBy("source", "order").agg(F.max(F.when(F.col("before") < F.col("left") - 1e-6, F.col("_draw"))).alias("draw"))
     cuts = {r.source: (r.order, r.draw) for r in ends.collect()}
     plan = [(*x[:3], *cuts.get(x[0], (None, None))) for x in plan]
-    told = F.broadcast(spark.createDataFrame(plan, "_source string, weight double, _whole int, _order long, _last long"))
+    told = F.broadcast(spark.createDataFrame(plan, f"{source} string, weight double, {whole} int, {order_} long, {last} long"))
 
-    used = rows.join(told, rows["source"].eqNullSafe(told["_source"]))
-    here = order(F.col("_whole"))
-    again = (here < F.col("_order")) | ((here == F.col("_order")) & (F.col("_draw") <= F.col("_last")))
-    count = F.col("_whole") + F.coalesce(again, F.lit(False)).cast("int")
+    used = rows.join(told, rows["source"].eqNullSafe(told[source]))
+    here = order(F.col(whole))
+    again = (here < F.col(order_)) | ((here == F.col(order_)) & (F.col(draw) <= F.col(last)))
+    count = F.col(whole) + F.coalesce(again, F.lit(False)).cast("int")
     uses = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     used = used.withColumn("pass", F.explode(uses)).withColumn("order", order(F.col("pass")))
     return used.select(*kept, *names)
