@@ -7,11 +7,13 @@ patterns (how many pieces of each class a sequence takes), whose columns are pri
 solved by dynamic programming. Pattern counts are rounded down and what is left is packed first-fit
 decreasing. Pieces are ranked within their class, and a rank's pattern, sequence and slot are arithmetic.
 
-The histogram (at most :data:`CLASSES` numbers) is all that reaches the driver; the program is solved in a task. Ranks come from counts per
-class and hash bucket, so a class that holds most pieces is ranked in parts.
+The histogram (at most :data:`CLASSES` numbers) is all that reaches the driver; the program is solved in a task. A class
+is ranked in as many parts as it has multiples of :data:`RANK_ROWS` pieces, so none is sorted in one task.
 
-Null texts count as empty and give the end token alone. Rows with null or repeated ids are packed like any
-other. An empty table gives an empty result.
+Texts are encoded as the tokenizer is loaded, so the strings of its added tokens become those tokens. Null texts count
+as empty and give the end token alone. Texts of any length are encoded whole. Rows with null or repeated ids and repeated
+rows are packed like any other; equal ones tie in any order. Other columns are ignored, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from .common import in_task, stored
 SEQUENCE = 4096
 CLASSES = 256
 END_ID = 2
-#: Hash buckets in which the pieces of a class are ranked.
-RANK_PARTS = 32
+#: Pieces of a class that are ranked together.
+RANK_ROWS = 500_000
 #: Characters that are encoded together.
 RUN_CHARS = 4_000_000
 #: Column generation ends within this share of the least possible number of sequences.
@@ -58,7 +60,7 @@ class WordIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
@@ -94,7 +96,8 @@ class WordIds(dict):
         parts = []
         for p in self.new:
             core = p.rstrip(self.SIMPLE)
-            parts.append((core.lower() if core.isascii() else core, p[len(core) :]) if core and core[-1].isalnum() else (p, ""))
+            plain = core and core[-1].isalnum() and not any(t in p.lower() for t in self.added)  # added tokens are told by their case
+            parts.append((core.lower() if core.isascii() else core, p[len(core) :]) if plain else (p, ""))
         cores = self._cores(list(dict.fromkeys(c for c, _ in parts)))
         tails = [t for t in {t for _, t in parts} if t not in self.tails]
         self.tails |= dict(zip(tails, self._alone(tails), strict=True))
@@ -265,29 +268,26 @@ def shelves(histogram: dict[int, int], capacity: int, first_sequence: int) -> tu
 
 
 def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, classes: int = CLASSES) -> DataFrame:
-    """``pieces`` (doc_id, start, length, ...) with sequence_id and offset (of the piece in its sequence).
+    """``pieces`` (doc_id, start, length, ids_crc32, ...) with sequence_id and offset (of the piece in its sequence).
 
     Pieces of a whole sequence come first, one to each; ids run from 0."""
     spark, unit = pieces.sparkSession, -(-sequence // classes)
     rows = pieces.withColumn("_size", F.when(F.col("length") < sequence, F.ceil(F.col("length") / unit)).otherwise(0).cast("long"))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(RANK_PARTS)).cast("int"))
-    counts = rows.groupBy("_size", "_part").count().collect()  # at most classes x RANK_PARTS rows
-    histogram: dict[int, int] = {}
-    offsets = []
-    for r in sorted(counts, key=lambda r: (r._size, r._part)):
-        offsets.append((r._size, r._part, histogram.get(r._size, 0)))
-        histogram[r._size] = histogram.get(r._size, 0) + r["count"]
+    histogram = {r._size: r["count"] for r in rows.groupBy("_size").count().collect()}  # at most classes + 1 rows
+    parts = spark.createDataFrame([(s, -(-n // RANK_ROWS)) for s, n in histogram.items()], "_size long, _parts long")
     full = histogram.pop(0, 0)
     placed, _ = in_task(spark, lambda: shelves(histogram, sequence // unit, full))
     placed = [Shelf(0, 0, 1, 0), *placed]
     spots = {}
     for s in placed:
         spots.setdefault(s.size, []).append((s.first, s.each, s.sequence))
-    before = spark.createDataFrame(offsets, "_size long, _part int, _before long")
     spots_of = spark.createDataFrame(list(spots.items()), "_size long, _spots array<struct<first:long,each:long,sequence:long>>")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_size", "_part").orderBy("doc_id", "start", "length")) - 1)
-    # A number per class and part, and each class's shelves: bounded by the parameters, whatever the input.
-    ranked = ranked.join(F.broadcast(before), ["_size", "_part"]).join(F.broadcast(spots_of), "_size").withColumn("_rank", F.col("_rank") + F.col("_before"))
+    # A number of parts and the shelves of each class are broadcast: bounded by the parameters, whatever the input.
+    rows = rows.join(F.broadcast(parts), "_size").withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.col("_parts")))
+    earlier = Window.partitionBy("_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_size", "_part").count().select("_size", "_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_size", "_part").orderBy("doc_id", "start", "length", "ids_crc32")) - 1)
+    ranked = ranked.join(counts, ["_size", "_part"]).join(F.broadcast(spots_of), "_size").withColumn("_rank", F.col("_rank") + F.col("_before"))
     spot = F.element_at(F.filter("_spots", lambda s: s["first"] <= F.col("_rank")), -1)
     ranked = ranked.withColumn("_spot", spot)
     ranked = ranked.withColumn("sequence_id", F.col("_spot.sequence") + F.floor((F.col("_rank") - F.col("_spot.first")) / F.col("_spot.each")))

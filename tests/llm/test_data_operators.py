@@ -86,8 +86,8 @@ def test_packing(spark):
     rng = random.Random(9)
     texts = [prose(rng, 1 + int(math.exp(rng.gauss(5, 1.2)))) for _ in range(400)] + [prose(rng, 5000)]
     texts += [None, "", "Don't STOP!!! it's ΣΑΣ İ é \x1c a\x1cb c, x.'s 'tis <|endoftext|> word'. 12,5 A1!", "日本語 テキスト, naïve x.", "é É", "a" * 20_000, "₂ ² ½ ٣"]
+    texts += ["hello <|endoftext|> there", "a<|endoftext|>, b<|startoftext|><|endoftext|>! <|endoftext| <|ENDOFTEXT|>x éa<|endoftext|>É"]
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for i, x in enumerate(texts)}
     docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(texts)], DOCS)
     rows = packing.pack_documents(docs, WORDS, keep_ids=True).collect()
