@@ -10,7 +10,9 @@ No table labels personal data, so the trees are fitted on :data:`EXAMPLES` made-
 without such values, and the thresholds are calibrated on a held-out fifth of them.
 
 Null texts count as empty. Positions are code points, ends are exclusive. All patterns are possessive
-or bounded, so long runs neither overflow the stack nor backtrack.
+or bounded, so long runs in texts of any length neither overflow the stack nor backtrack. Equal texts have equal
+spans, and repeated rows and ids stay as they are. An empty table gives an empty result. Columns of any name are kept;
+:func:`find_spans` alone adds one, ``pii_spans``, and replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 _MAIL = "[A-Za-z0-9._%+-]"
 #: Fixed-format kinds, in the order in which they are listed: pattern, and the cheap test for texts that can match.
 BASE = {
@@ -247,33 +251,34 @@ def fit_spans(spark: SparkSession) -> SpanModel:
     return SpanModel(trees, thresholds)
 
 
-def find_spans(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """``docs`` with ``pii_spans``: array<struct<s int, k int, kind string, e int, base boolean>>, by start and kind.
+def find_spans(docs: DataFrame, model: SpanModel, name: str = "pii_spans") -> DataFrame:
+    """``docs`` with a column ``name``: array<struct<s int, k int, kind string, e int, base boolean>>, by start and kind.
 
-    A column of that name is replaced."""
-    kept = [c for c in docs.columns if c not in ("pii_spans", "_text", "_loose", *(f"_{k}" for k in BASE))]
-    text = F.col("_text")
-    rows = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    A column of that name is replaced. Candidates are taken in order of start, kind and end, one pass over them: one
+    stays where no fixed-format span and no candidate that stayed before it overlaps it."""
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    text_, fixed_, loose_, free_ = unused([*kept, name], "text_", "fixed_", "loose_", "free_")
+    text = F.col(text_)
+    rows = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text_))
 
     def fixed(kind: str, pattern: str, needs: str) -> Column:
         possible = F.contains(text, F.lit(needs)) if needs else F.lit(True)
         valid = F.filter(_matches(text, pattern, possible if kind == "email" else possible & text.rlike("[0-9]")), lambda x: _valid(kind, x["m"]))
         return F.transform(valid, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), x["e"].alias("e"), F.lit(True).alias("base")))
 
-    found = {f"_{kind}": fixed(kind, *how) for kind, how in BASE.items()}
-    rows = rows.withColumns(found)
+    rows = rows.withColumn(fixed_, F.concat(*(fixed(kind, *how) for kind, how in BASE.items())))
     limit = F.create_map(*(F.lit(v) for k in KINDS for v in (k, model.thresholds[k])))
     accepted = F.filter(_candidates(text), lambda c: model.score(c["f"]) >= limit[c["kind"]])
-    rows = rows.withColumn("_loose", accepted)
-    base = F.concat(*(F.col(c) for c in found))
     order = F.create_map(*(F.lit(v) for i, k in enumerate(KINDS) for v in (k, i)))
-    loose = F.array_sort(F.transform("_loose", lambda c: F.struct(c["s"].alias("s"), order[c["kind"]].alias("k"), c["kind"].alias("kind"), c["e"].alias("e"), F.lit(False).alias("base"))))
-    rows = rows.withColumn("pii_spans", base)
-    overlaps = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    free = F.filter(loose, lambda c: ~F.exists("pii_spans", lambda b: overlaps(b, c)))
-    free = F.filter(free, lambda c: ~F.exists(free, lambda b: overlaps(b, c) & (F.struct(b["s"], b["k"], b["e"]) < F.struct(c["s"], c["k"], c["e"]))))
-    spans = F.when(F.size("_loose") > 0, F.concat("pii_spans", free)).otherwise(F.col("pii_spans"))
-    return rows.withColumn("pii_spans", F.array_sort(spans)).select(*kept, "pii_spans")
+    rows = rows.withColumn(loose_, F.transform(accepted, lambda c: F.struct(c["s"].alias("s"), order[c["kind"]].alias("k"), c["kind"].alias("kind"), c["e"].alias("e"), F.lit(False).alias("base"))))
+    clear = F.filter(loose_, lambda c: ~F.exists(fixed_, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    rows = rows.withColumn(free_, F.when(F.size(loose_) > 0, F.array_sort(clear)).otherwise(F.col(loose_)))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(dict(rows.dtypes)[free_]).alias("a"))
+    taken = F.aggregate(
+        free_, start, lambda s, x: F.when(x["s"] >= s["end"], F.struct(x["e"].alias("end"), F.concat(s["a"], F.array(x)).alias("a"))).otherwise(s), lambda s: s["a"]
+    )
+    spans = F.when(F.size(free_) > 0, F.concat(F.col(fixed_), taken)).otherwise(F.col(fixed_))
+    return rows.withColumn(name, F.array_sort(spans)).select(*kept, name)
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -291,7 +296,8 @@ def redact(docs: DataFrame, mask: str = "[{}]") -> DataFrame:
     """``docs``, same rows and columns, with every span replaced by its kind; n_chars follows where there is one.
 
     Of spans that overlap the one that starts first is replaced, and the rest of the others with it."""
-    rows = find_spans(docs, fit_spans(docs.sparkSession))
+    spans = unused(docs.columns, "pii_spans")[0]
+    rows = find_spans(docs, fit_spans(docs.sparkSession), spans)
     state = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("a"))
 
     def step(s: Column, x: Column) -> Column:
@@ -299,9 +305,9 @@ def redact(docs: DataFrame, mask: str = "[{}]") -> DataFrame:
         tag = F.when(x["s"] >= s["p"], F.format_string(mask.replace("{}", "%s"), F.upper(x["kind"]))).otherwise("")
         return F.struct(F.greatest(s["p"], x["e"]).alias("p"), F.concat(s["a"], F.array(F.concat(gap, tag))).alias("a"))
 
-    done = F.aggregate("pii_spans", state, step, lambda s: F.concat(F.array_join(s["a"], ""), F.substring(F.col("text"), s["p"] + 1, F.length("text"))))
-    text = F.when(F.size("pii_spans") > 0, done).otherwise(F.col("text"))
+    done = F.aggregate(spans, state, step, lambda s: F.concat(F.array_join(s["a"], ""), F.substring(F.col("text"), s["p"] + 1, F.length("text"))))
+    text = F.when(F.size(spans) > 0, done).otherwise(F.col("text"))
     out = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
