@@ -6,8 +6,10 @@ is computed once and sent with the scoring tasks. The score is the logistic func
 difference of the two Gaussian log densities (log determinant plus Mahalanobis distance) and the
 log prior odds.
 
-Null texts count as empty texts. An empty table gives an empty result. Without labels of both
-classes the model is undecided and every score is 1.0, so nothing is rejected unseen.
+Null texts count as empty texts; texts of any length are read whole. Equal texts get equal scores, and repeated
+rows and ids stay as they are. A column named ``quality_score`` is replaced; other columns are kept, whatever their
+names. An empty table gives an empty result. Without labels of both classes the model is undecided and every
+score is 1.0, so nothing is rejected unseen.
 """
 
 from __future__ import annotations
@@ -41,14 +43,15 @@ TEMPERATURE = 4.0
 THRESHOLD = 0.7
 
 _OTHER, _UPPER, _LETTER, _DIGIT, _SPACE = range(5)
+_LAST = 0x20000
 _classes: np.ndarray | None = None
 
 
 def _char_classes() -> np.ndarray:
-    """The class of each code point of the basic plane."""
+    """The class of each code point of the first two planes, and of the third's first, a letter, for all beyond."""
     global _classes
     if _classes is None:
-        chars = map(chr, range(65536))
+        chars = map(chr, range(_LAST + 1))
         _classes = np.array(
             [_UPPER if c.isupper() else _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SPACE if c.isspace() else _OTHER for c in chars],
             dtype=np.uint8,
@@ -63,7 +66,7 @@ def text_features(text: str | None) -> np.ndarray:
     words = text.split()
     if not words:
         return out
-    points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+    points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _LAST)
     other, upper, letters, digits, _ = np.bincount(_char_classes()[points], minlength=5)
     seen = max(1, other + upper + letters + digits)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -129,8 +132,8 @@ def model_from(moments: dict[int, Moments]) -> QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> QualityModel:
     """Fits on the documents of at most ``max_labelled`` labelled rows outside the held-out fold.
 
-    The label rows are broadcast: ``max_labelled`` rows of 16 bytes. Each task sends one set of
-    moments per class."""
+    The label rows are broadcast: ``max_labelled`` rows of 16 bytes. Each task makes one set of moments
+    per class; Spark adds them up, and the driver gets one set per class."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -150,12 +153,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
 
     sample = labelled(labels, "quality", 4, 2, max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "y")
-    found: dict[int, Moments] = {}
-    for r in rows.mapInArrow(moments, "y int, n double, total array<double>, outer array<double>").toLocalIterator():
-        t, o = np.array(r.total), np.array(r.outer).reshape(len(r.total), -1)
-        was = found.get(r.y, Moments(0.0, np.zeros_like(t), np.zeros_like(o)))
-        found[r.y] = Moments(was.n + r.n, was.total + t, was.outer + o)
-    return model_from(found)
+    parts = rows.mapInArrow(moments, "y int, n double, total array<double>, outer array<double>")
+    parts = parts.select("y", F.posexplode(F.concat(F.array("n"), "total", "outer")).alias("at", "x")).groupBy("y", "at").agg(F.sum("x").alias("x"))
+    sums: dict[int, dict[int, float]] = {}
+    for r in parts.collect():  # numbers of two classes
+        sums.setdefault(r.y, {})[r["at"]] = r.x
+    d = len(FEATURES)
+    found = {y: np.array([x[k] for k in range(1 + d + d * d)]) for y, x in sums.items()}
+    return model_from({y: Moments(x[0], x[1 : 1 + d], x[1 + d :].reshape(d, d)) for y, x in found.items()})
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
