@@ -1,13 +1,15 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, and only documents are labelled.
 
-A sentence's probability is logistic in the distinct words it holds and their stems (leading letters); a document is toxic unless all its
-sentences are clean, so its score is the noisy-or ``1 - prod(1 - p)``. Weights are trained on document labels
-through that formula, for words and stems that toxic documents hold significantly more often. The sentences' own probabilities then
-locate what offends.
-
-Null texts count as empty. A text without words scores as one sentence without words. An empty table gives an
-empty result; without training labels of both classes every score is 0. Columns named like the outputs are
-replaced.
+A sentence's probability is logistic in the distinct words it holds and their stems (leading letters), and 0 where it
+holds none that has a weight, so that no number of clean sentences makes a document toxic. A document is toxic unless
+all its sentences are clean, so its score is the noisy-or ``1 - prod(1 - p)``. Weights are trained on document labels
+through that formula, for words and stems that toxic documents hold significantly more often. The sentences' own
+probabilities then locate what offends.
+
+Null texts count as empty; they and texts without words score 0. Texts of any length are read whole. Equal texts get
+equal scores, and repeated rows and ids stay as they are; a labelled id is trained on one of its texts. An empty table
+gives an empty result; without training labels of both classes every score is 0. Columns named like the outputs are
+replaced; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,19 +67,20 @@ class ToxicityModel:
     bias: float | None = None
     weights: dict[int, float] = field(default_factory=dict)
 
-    def sentence_logits(self, bag: list[set[str]], known: dict[str, float]) -> list[float]:
-        """Logits of sentences; ``known`` caches the weights of words."""
+    def sentence_logits(self, bag: list[set[str]], known: dict[str, float | None]) -> list[float]:
+        """Logits of sentences, -inf for those without a weight; ``known`` caches the weights of words."""
         if len(known) > 500_000:
             known.clear()
         out = []
         for words in bag:
-            s = self.bias
+            found = []
             for w in words:
-                v = known.get(w)
-                if v is None:
-                    v = known[w] = sum(self.weights.get(k, 0.0) for k in word_ids(w))
-                s += v
-            out.append(s)
+                if w not in known:
+                    own = [self.weights[k] for k in word_ids(w) if k in self.weights]
+                    known[w] = sum(own) if own else None
+                if known[w] is not None:
+                    found.append(known[w])
+            out.append(self.bias + sum(found) if found else -math.inf)
         return out
 
 
@@ -86,15 +89,16 @@ def noisy_or(logits: list[float]) -> float:
     return -math.expm1(-sum(max(s, 0.0) + math.log1p(math.exp(-abs(s))) for s in logits))
 
 
-def train(bags: list[list[np.ndarray]], y: np.ndarray) -> ToxicityModel:
-    """Weights from documents (each a list of word-id arrays, one per sentence) and their labels.
+def train(bags: list[list[np.ndarray]], others: np.ndarray, y: np.ndarray) -> ToxicityModel:
+    """Weights from documents (each a list of word-id arrays, one per sentence that has any, and the number of its
+    other sentences, of which the bias alone is learnt) and their labels.
 
     Adam on the mean log loss of the noisy-or; a proximal step after each
     update sets small weights to zero."""
-    if not (y == 1).any() or not (y == 0).any():
+    sents = [s for bag in bags for s in bag]
+    if not (y == 1).any() or not (y == 0).any() or not sents:
         return ToxicityModel()
-    sents = [s for bag in bags for s in (bag or [np.empty(0, np.int64)])]
-    doc = np.repeat(np.arange(len(bags)), [max(1, len(b)) for b in bags])
+    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     ids = np.concatenate(sents)
     sent = np.repeat(np.arange(len(sents)), [len(s) for s in sents])
     vocabulary, column = np.unique(ids, return_inverse=True)
@@ -104,10 +108,10 @@ def train(bags: list[list[np.ndarray]], y: np.ndarray) -> ToxicityModel:
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
         s = b + np.bincount(sent, w[column], len(sents))
-        a = np.bincount(doc, np.logaddexp(0, s), len(bags))
+        a = np.bincount(doc, np.logaddexp(0, s), len(bags)) + others * np.logaddexp(0, b)
         outer = np.where(y == 1, -1 / np.expm1(np.clip(a, 1e-9, 500)), 1.0) * share
         g = outer[doc] / (1 + np.exp(-np.clip(s, -500, 500)))
-        grad = np.append(np.bincount(column, g[sent], len(w)), g.sum())
+        grad = np.append(np.bincount(column, g[sent], len(w)), g.sum() + (outer * others).sum() / (1 + np.exp(-b)))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -147,9 +151,11 @@ def telling_features(rows: DataFrame) -> np.ndarray:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Fits on the documents of at most ``max_labelled`` labelled rows outside the held-out fold.
 
-    The label rows are broadcast (16 bytes each); the driver gets the telling words of those documents' sentences."""
+    The label rows are broadcast (16 bytes each); the driver gets the telling words of those documents' sentences.
+    Of rows that share a labelled id one text is taken, so repeated ids add nothing to what the driver gets."""
     sample = labelled(labels, "toxic", 5, 0, max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     wanted = telling_features(rows)
     telling = frozenset(wanted.tolist())
 
@@ -158,13 +164,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
         for batch in batches:
             found = [[[k for w in words for k in ids(w)] for _, _, words in sentences(t.as_py())] for t in batch.column(0)]
             full = [[s for s in bag if s] for bag in found]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(map(len, found)), pa.int32()), pa.array(full, pa.list_(pa.list_(pa.int64())))], ["y", "n", "bag"])
+            others = [max(1, len(a)) - len(b) for a, b in zip(found, full, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(others, pa.int64()), pa.array(full, pa.list_(pa.list_(pa.int64())))], ["y", "others", "bag"])
 
-    found = rows.select("text", "y").mapInArrow(bags, "y int, n int, bag array<array<long>>").toArrow()
-    y, n = np.array(found["y"].to_pylist(), np.int64), found["n"].to_pylist()
-    full = found["bag"].to_pylist()
-    none = np.empty(0, np.int64)
-    return train([[np.array(s, np.int64) for s in bag] + [none] * (k - len(bag)) for bag, k in zip(full, n, strict=True)], y)
+    found = rows.select("text", "y").mapInArrow(bags, "y int, others long, bag array<array<long>>").toArrow()
+    return train([[np.array(s, np.int64) for s in bag] for bag in found["bag"].to_pylist()], found["others"].to_numpy(), found["y"].to_numpy().astype(np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, locate: bool = False) -> DataFrame:
@@ -180,10 +184,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, locate: bool = False)
             scores, found = [], []
             for text in batch.column(at):
                 parts = sentences(text.as_py()) if model.bias is not None else []
-                logits = model.sentence_logits([p[2] for p in parts], known) if parts else [model.bias] * (model.bias is not None)
-                scores.append(noisy_or(logits) if logits else 0.0)
+                logits = model.sentence_logits([p[2] for p in parts], known)
+                scores.append(noisy_or([s for s in logits if s > -math.inf]))
                 if locate:
-                    found.append([{"start": p[0], "end": p[1], "score": noisy_or([s])} for p, s in zip(parts, logits, strict=False) if s >= 0])
+                    found.append([{"start": p[0], "end": p[1], "score": noisy_or([s])} for p, s in zip(parts, logits, strict=True) if s >= 0])
             arrays, names = [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "toxicity"]
             if locate:
                 arrays, names = [*arrays, pa.array(found, span)], [*names, "offending"]
@@ -197,12 +201,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, locate: bool = False)
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, held_out (crc32 of the id mod 5 is 0), score, predicted (score of :data:`THRESHOLD` or more)."""
+    """doc_id, held_out (crc32 of the id mod 5 is 0), score, predicted (score of :data:`THRESHOLD` or more) and the
+    offending sentences (start, end and score of each)."""
     model = fit_toxicity(docs, labels, max_labelled)
-    rows = score_toxicity(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
+    rows = score_toxicity(docs.select("doc_id", F.col("text").cast("string").alias("text")), model, locate=True)
     return rows.select(
         "doc_id",
         (id_crc("doc_id") % 5 == 0).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"),
+        "offending",
     )
