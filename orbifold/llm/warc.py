@@ -6,8 +6,9 @@ in a response, the payload. The reader decompresses member by member as bytes ar
 Content-Length and verifies block and payload digests, so a task holds one record at a time.
 
 Null html is the empty payload. Pages with a null page_id are written and read like others, with a null id; they
-are never referred to. Rows that share the smallest page_id are all responses. Null urls leave out the target.
-An empty table gives no archive and an empty result. Other columns are ignored.
+are never referred to. Repeated rows are written one by one; rows that share the smallest page_id are all responses.
+Null urls leave out the target. A record's payload is held whole, however long. An empty table gives no archive and
+an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import shared_path
+from ..storage import Stored, shared_path
 from .common import stored
 
 LEAST_REVISIT = 100
 #: An archive is closed when it has reached this size.
 ARCHIVE_BYTES = 64_000_000
 CHUNK = 1 << 16
+#: Parts that the ids of one payload are dealt into, as one payload may be that of many pages.
+SALTS = 32
+#: Tasks that read archives at most; each reads its archives one after another.
+READERS = 20_000
 _ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -114,11 +119,23 @@ def with_references(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = rows.where(F.length("payload") >= LEAST_REVISIT)
+    # Revisits are found by ids and digests alone; a payload moves only where too many are to be broadcast.
+    large = rows.where(F.length("payload") >= LEAST_REVISIT).select("page_id", "digest")
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    out = rows.join(firsts.select("digest", "first"), "digest", "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return out.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    again = salted.join(firsts, ["digest", "salt"]).where(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
+    again = Stored(again.groupBy("page_id", "digest").agg(F.min("first").alias("refers_to")), "revisits").df
+    same = rows["page_id"].eqNullSafe(again["page_id"]) & (rows["digest"] == again["digest"])
+    return rows.join(again, same, "left").select(rows["page_id"], "url", "payload", rows["digest"], "refers_to")
+
+
+def _opened(uri: str):
+    """pyarrow's file system of a URI and the path in it."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -127,10 +144,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     Every attempt at a task has its own file names, and only those of the attempt that succeeded are listed."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        where, base = fs.FileSystem.from_uri(folder)
+        where, base = _opened(folder)
         where.create_dir(base, recursive=True)
         task = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}"
         done: list[tuple[str, int]] = []
@@ -160,14 +176,12 @@ def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
     fields = [f for f in fields if payload or f[0] != "payload"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         def packed(rows: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in fields], [n for n, _ in fields])
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                where, name = fs.FileSystem.from_uri(path)
+                where, name = _opened(path)
                 with where.open_input_stream(name, compression=None) as stream:
                     rows, size = [], 0
                     for member in members(stream):
@@ -180,7 +194,9 @@ def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
                         yield packed(rows)
 
     schema = "page_id long, url string, " + "payload binary, " * payload + "payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return archives.select("path").repartition("path").mapInArrow(read, schema)
+    # A stated number of partitions, as adaptive execution would put the short rows of paths into one task.
+    tasks = min(READERS, max(1, archives.count()))
+    return archives.select("path").repartition(tasks, "path").mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
