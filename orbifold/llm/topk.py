@@ -1,19 +1,25 @@
-"""Exact top-k by integer inner product: ball-tree branch and bound per shard.
+"""Exact top-k by integer inner product: ball-tree branch and bound per shard, with shared k-th scores.
 
-Components x become floor(1024 x). Vectors are dealt into shards of about :data:`SHARD` rows and queries into
-blocks of about :data:`QUERIES`; a task holds one shard and one block. It builds a ball tree over the shard and
-searches it for each query from the node of greatest upper bound ``q.c + |q| r`` on, until no bound reaches the
-query's current k-th score. The first shard's k-th scores are sent along with the queries to all others.
+Components x become floor(1024 x). The splits of a ball tree over a bounded sample deal all vectors into cells, whose
+centres and exact radii the tasks get; cells of more than :data:`SHARD` rows are cut into shards. Queries go out in
+:data:`WAVES`: first to the cell of greatest upper bound ``q.c + |q| r``, then to the next few, then to all others, and
+only to cells whose bound reaches the query's k-th score so far. A task holds one shard and the queries sent there (at
+most a block of :data:`QUERIES`), builds a ball tree over the shard and searches it for each query from the node of
+greatest bound on, until no bound reaches the k-th score.
 
-Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id. Vectors are
-compared with those of their own length. A query's own id is no candidate for it, however often it occurs; other
-repeated rows are candidates each, listed in order of score and id. Ties go to the smaller id. Scores beyond 64
-bits raise OverflowError. An empty table gives an empty result. Other columns are ignored.
+Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; components of
+:data:`LARGEST` or more in size count as non-finite. Empty vectors score 0 with one another. Vectors are compared with
+those of their own length. A query's own id is no candidate for it, however often it occurs; of rows that repeat a
+query's id the one with the least vector asks. Other repeated rows are candidates each, listed in order of score and
+id. Ties go to the smaller id. Scores beyond 64 bits count as the nearest number of 64 bits. An empty table gives an
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..storage import Stored
+from .common import in_task
 
-SHARD, QUERIES, LEAF = 8192, 4096, 64
-SCALE = 1024
+SHARD, QUERIES, LEAF = 16_384, 65_536, 64
+#: Rows of a cell aimed at, cells of vectors of one length at most, and sampled rows that the splits are taken from.
+CELL, CELLS, SAMPLE = 4_096, 1_024, 8_192
+#: Lengths of vectors that have cells of their own, the most frequent ones; others are always searched, in so many shards.
+LENGTHS, OTHER_SHARDS = 8, 64
+#: Places in the order of bounds at which the waves of cells end.
+WAVES = (1, 8, None)
+SCALE, LARGEST = 1024, 1e150
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass
@@ -37,37 +51,54 @@ class Ball:
     children: tuple[Ball, Ball] | None = None
 
 
+def spread(own: np.ndarray) -> np.ndarray:
+    """The direction between two far-apart rows."""
+    a = own[((own - own.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+    return own[((own - a) ** 2).sum(axis=1).argmax()] - a
+
+
 def ball_tree(x: np.ndarray, rows: np.ndarray | None = None) -> Ball:
     """Splits at the median along the direction between two far-apart rows until leaves are small."""
     rows = np.arange(len(x)) if rows is None else rows
-    own = x[rows].astype(float)
+    own = x[rows]
     centre = own.mean(axis=0)
-    far = np.sqrt(((own - centre) ** 2).sum(axis=1))
-    ball = Ball(rows, centre, float(far.max()) * (1 + 1e-12))
-    if len(rows) > LEAF and far.max() > 0:
-        a = own[far.argmax()]
-        b = own[((own - a) ** 2).sum(axis=1).argmax()]
-        order = np.argsort(own @ (b - a), kind="stable")
+    far = float(np.sqrt(((own - centre) ** 2).sum(axis=1)).max())
+    ball = Ball(rows, centre, far * (1 + 1e-12))
+    if len(rows) > LEAF and far > 0:
+        order = np.argsort(own @ spread(own), kind="stable")
         half = len(rows) // 2
         ball.children = (ball_tree(x, rows[order[:half]]), ball_tree(x, rows[order[half:]]))
     return ball
 
 
+def upper_bounds(centres: np.ndarray, radii: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of ``q`` with points of balls, rounding included."""
+    norm = math.sqrt(float(q @ q))
+    u = centres @ q
+    return u + norm * radii + 1e-9 * (np.abs(u) + norm * radii) + 1e-11 * norm * np.sqrt((centres * centres).sum(axis=-1)) + 1e-3
+
+
+def products(x: np.ndarray, q: np.ndarray) -> list[int]:
+    """Exact inner products of rows of whole numbers, cut to 64 bits."""
+    if not x.size or x.shape[1] * np.abs(x).max() * np.abs(q).max() < 2.0**53:
+        return [int(s) for s in (x @ q).tolist()]
+    whole = [int(v) for v in q.tolist()]
+    return [max(_LOW, min(_HIGH, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in x.tolist()]
+
+
 def search(tree: Ball, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, least: int | None) -> list[tuple[int, int]]:
     """The k best (score, id) of the tree for query ``q``, best first; those below ``least`` may be missing."""
     best: list[tuple[int, int]] = []  # a heap of (score, -id): its first is the current k-th
-    norm = float(np.sqrt((q.astype(float) ** 2).sum()))
     count = 0
 
     def bound(ball: Ball) -> float:
-        u = float(ball.centre @ q) + norm * ball.radius
-        return u + 1e-9 * (abs(u) + norm * ball.radius) + 1e-3
+        return float(upper_bounds(ball.centre, ball.radius, q))
 
     heap = [(-bound(tree), count, tree)]
     while heap:
         u, _, ball = heapq.heappop(heap)
         kth = best[0][0] if len(best) == k else None
-        reach = max(v for v in (kth, least, -np.inf) if v is not None)
+        reach = max(v for v in (kth, least, -math.inf) if v is not None)
         if -u < reach:
             break
         if ball.children:
@@ -75,10 +106,8 @@ def search(tree: Ball, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int,
                 count += 1
                 heapq.heappush(heap, (-bound(child), count, child))
             continue
-        scores = x[ball.rows] @ q
-        for s, i in zip(scores.tolist(), ids[ball.rows].tolist(), strict=True):
-            s = int(s)
-            if i == own or (least is not None and s < least):
+        for s, i in zip(products(x[ball.rows], q), ids[ball.rows].tolist(), strict=True):
+            if s < reach or i == own:
                 continue
             if len(best) < k:
                 heapq.heappush(best, (s, -i))
@@ -87,22 +116,97 @@ def search(tree: Ball, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int,
     return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def whole_numbers(vectors: list[list[float]]) -> np.ndarray:
-    """floor(1024 x), as doubles where every inner product is then exact, else as Python integers."""
-    x = np.floor(SCALE * np.array(vectors, float))
-    if len(x) and x.shape[1] * np.abs(x).max() ** 2 >= 2.0**53:
-        return np.array([[int(v) for v in row] for row in x.tolist()], object)
-    return x
+def matrix(column: pa.Array) -> np.ndarray:
+    """floor(1024 x) of a column of arrays of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return np.floor(SCALE * flat).reshape(len(column), -1)
+
+
+class Cells:
+    """The splits of a complete tree over sampled vectors of one length, and the cells' centres."""
+
+    def __init__(self, x: np.ndarray, depth: int) -> None:
+        self.depth, inner = depth, (1 << depth) - 1
+        self.directions, self.cuts = np.zeros((inner, x.shape[1])), np.zeros(inner)
+        self.centres = np.zeros((1 << depth, x.shape[1]))
+        self._split(x, x.mean(axis=0), 0)
+
+    def _split(self, x: np.ndarray, centre: np.ndarray, node: int) -> None:
+        centre = x.mean(axis=0) if len(x) else centre
+        if node >= len(self.cuts):
+            self.centres[node - len(self.cuts)] = centre
+            return
+        right = np.zeros(len(x), bool)
+        if len(x):
+            self.directions[node] = spread(x)
+            along = x @ self.directions[node]
+            self.cuts[node] = np.median(along)
+            right = along > self.cuts[node]
+        self._split(x[~right], centre, 2 * node + 1)
+        self._split(x[right], centre, 2 * node + 2)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row."""
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + ((x * self.directions[node]).sum(axis=1) > self.cuts[node])
+        return node - len(self.cuts)
+
+
+def placed(base: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """``base`` (vec_id, v, dim) with its cell and its distance to the cell's centre."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            cell, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for d, c in cells.items():
+                at = np.flatnonzero(dims == d)
+                if len(at):
+                    x = matrix(batch.column(1).take(pa.array(at)))
+                    cell[at] = own = c.of(x)
+                    far[at] = np.sqrt(((x - c.centres[own]) ** 2).sum(axis=1)) * (1 + 1e-9)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], ["vec_id", "v", "dim", "cell", "far"])
+
+    return base.mapInArrow(place, "vec_id long, v array<double>, dim int, cell int, far double")
+
+
+def routed(asked: DataFrame, cells: dict[int, Cells], sizes: dict[tuple[int, int], tuple[int, float]], first: int, last: int | None) -> DataFrame:
+    """``asked`` (vec_id, v, dim, block, least) once for each shard (cell, shard) of the cells whose places in the order
+    of bounds are ``first`` to ``last`` and whose bounds reach ``least``."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {d: [c for c in range(len(t.centres)) if (d, c) in sizes] for d, t in cells.items()}
+        for batch in batches:
+            dims, least = batch.column(2).to_numpy(), batch.column(4).to_pylist()
+            rows, cell, shard = [], [], []
+            for k, d in enumerate(dims.tolist()):
+                if d not in cells:
+                    wanted = [(0, OTHER_SHARDS)] if first == 0 else []
+                else:
+                    own = known[d]
+                    u = upper_bounds(cells[d].centres[own], np.array([sizes[d, c][1] for c in own]), matrix(batch.column(1).slice(k, 1))[0])
+                    order = np.argsort(-u, kind="stable")[first:last].tolist()
+                    wanted = [(own[j], sizes[d, own[j]][0]) for j in order if least[k] is None or u[j] >= least[k]]
+                for c, shards in wanted:
+                    rows += [k] * shards
+                    cell += [c] * shards
+                    shard += range(shards)
+                if len(rows) > 50_000 or k + 1 == len(dims):
+                    some = batch.take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell, pa.int32()), pa.array(shard, pa.int32())], [*batch.schema.names, "cell", "shard"])
+                    rows, cell, shard = [], [], []
+
+    return asked.mapInArrow(route, "vec_id long, v array<double>, dim int, block int, least long, cell int, shard int")
 
 
 def _searched(k: int):
     def task(queries: pa.Table, shard: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         if queries.num_rows and shard.num_rows:
-            both = whole_numbers(shard["v"].to_pylist() + queries["v"].to_pylist())
-            x, ids = both[: shard.num_rows], shard["vec_id"].to_numpy()
+            x, ids = matrix(shard["v"].combine_chunks()), shard["vec_id"].to_numpy()
             tree = ball_tree(x)
-            for q, own, least in zip(both[shard.num_rows :], queries["vec_id"].to_pylist(), queries["least"].to_pylist(), strict=True):
+            for q, own, least in zip(matrix(queries["v"].combine_chunks()), queries["vec_id"].to_pylist(), queries["least"].to_pylist(), strict=True):
                 found += [(own, i, s) for s, i in search(tree, x, ids, q, own, k, least)]
         columns = zip(*found, strict=True) if found else ([], [], [])
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
@@ -112,32 +216,59 @@ def _searched(k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of ``vectors`` for each row of ``queries`` (both vec_id, embedding)."""
+    spark = vectors.sparkSession
 
     def usable(df: DataFrame) -> DataFrame:
-        v = F.col("embedding").cast("array<double>")
-        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-        finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-        return df.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite).withColumn("dim", F.size("v"))
-
-    def dealt(df: DataFrame, name: str, n: int, size: int) -> DataFrame:
-        return df.withColumn(name, F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(max(1, -(-n // size)))).cast("int"))
-
-    base, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id"])
-    n, m = base.count(), asked.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERIES))
-    base = dealt(base, "shard", n, SHARD).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = dealt(asked, "block", m, QUERIES)
-    keys = ["shard", "block", "dim"]
-
-    def run(asked: DataFrame, base: DataFrame) -> DataFrame:
-        return asked.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(_searched(k), "query_id long, vec_id long, score long")
-
-    first = stored(run(asked.withColumn("shard", F.lit(0)).withColumn("least", F.lit(None).cast("long")), base.where("shard = 0")), "top")
-    kth = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
-    later = asked.join(kth.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left")
-    found = first
-    if shards > 1:
-        later = later.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
-        found = first.union(run(later, base.where("shard > 0")))
+        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+        finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
+        return df.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
+
+    base = usable(vectors).withColumn("dim", F.size("v"))
+    counts = {r.dim: r["count"] for r in base.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()}
+    n = sum(counts.values())
+    sample = base.where(F.col("dim").isin(list(counts))).orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(SAMPLE).select("dim", "v").toArrow()
+    dims, by = sample["dim"].to_numpy(), sample["v"].combine_chunks()
+
+    def splits() -> dict[int, Cells]:
+        found = {}
+        for d, m in counts.items():
+            at = np.flatnonzero(dims == d)
+            if len(at) and d:
+                found[d] = Cells(matrix(by.take(pa.array(at))), max(0, math.ceil(math.log2(min(CELLS, m / CELL, len(at))))))
+        return found
+
+    cells = in_task(spark, splits) if n else {}
+    base = Stored(placed(base, cells).withColumn("row", F.monotonically_increasing_id()), "cells")
+    told = base.df.where(F.col("dim").isin(list(cells))).groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # LENGTHS x CELLS rows at most
+    sizes = {(r.dim, r.cell): (-(-r.n // SHARD), r.far) for r in told}
+    parts = spark.createDataFrame([(d, c, s) for (d, c), (s, _) in sizes.items()], "dim int, cell int, shards int")
+    shard = F.pmod(F.col("row"), F.coalesce("shards", F.lit(OTHER_SHARDS))).cast("int")
+    shards = base.df.join(F.broadcast(parts), ["dim", "cell"], "left").select("vec_id", "v", "dim", "cell", shard.alias("shard"))
+
+    asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    blocks = max(1, -(-queries.count() // QUERIES))
+    asked = Stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
+
+    keys = ["dim", "cell", "shard", "block"]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top, first = None, 0
+    for last in WAVES:
+        if top is None:
+            now = asked.df.withColumn("least", F.lit(None).cast("long"))
+        else:
+            kth = top.df.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+            now = asked.df.join(kth.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left")
+        sent = Stored(routed(now.select("vec_id", "v", "dim", "block", "least"), cells, sizes, first, last), "sent")
+        asking = spark.read.schema(sent.df.schema).parquet(sent.path).select(*keys).distinct()
+        here = shards.join(asking, ["dim", "cell", "shard"]).select("vec_id", "v", *keys)  # a shard once for each block that asks it
+        found = sent.df.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInArrow(_searched(k), "query_id long, vec_id long, score long")
+        if top is not None:
+            found = found.union(top.df.select("query_id", "vec_id", "score"))
+        better = Stored(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
+        sent.discard()
+        if top is not None:
+            top.discard()
+        top, first = better, last
+    base.discard()
+    asked.discard()
+    return top.df
