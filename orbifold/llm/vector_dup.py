@@ -1,17 +1,22 @@
 """Near-duplicate vectors: iterative quantisation codes, multi-index Hamming tables, exact cosine reranking.
 
 Vectors are compared only under equal labels. A rotation of the principal components is learnt so that signs
-lose least (iterative quantisation) and codes are balanced; every vector is then indexed in several tables, each
-keyed by a stretch of a code. Pairs at the threshold are made of sampled vectors, and tables, from as many rotations
-as that needs, are added until the share :data:`RECALL` of these pairs has met in one; they are as wide as costs
-least. A label that is compared whole for less has one table with one key, which misses no link. Buckets are cut
-into blocks and a task compares two of them by cosine in double precision. A pair
-that meets in several tables counts in the first only, so no pair leaves a task: counts per vector and the links
-that join components do.
+lose least (iterative quantisation), and each bit is cut at the sample's median, so codes are balanced. Every vector
+is indexed in several tables, each keyed by a stretch of a code. Pairs at the threshold are made of sampled vectors,
+and tables, from as many rotations as that needs, are added until the share :data:`RECALL` of these pairs has met in
+one; they are as wide as costs least. The radius in which the Hamming distances of nearly all made pairs
+(:data:`WITHIN`) lie is taken for the search.
+
+Tables hold ids and codes of 8 bytes. Buckets are cut into blocks; a task searches two of them for codes within
+the radius, and only vectors that have such a neighbour are sent to the bucket, once for each, and
+reranked there by cosine in double precision. A pair that meets in several tables counts in the first only, so no
+pair leaves a task: counts per vector and the links that join components do. A label that is compared whole for less
+has one table with one key and no radius, which misses no link.
 
 Exact copies are one vector with a count. Null labels, null, empty or zero vectors and vectors with null or
 non-finite components link with nothing and are their own component. Null ids are left out of links, with null
-component. Rows that repeat an id count as vectors of their own. An empty table gives an empty result.
+component. Rows that repeat an id count as vectors of their own. An empty table gives an empty result. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Stored
 from .common import in_task, stored
 from .components import components
 
@@ -32,13 +38,16 @@ FIT_ROWS = 10_000
 ROUNDS = 30
 #: Share of the made pairs at the threshold, of each kind, that have to meet in a table, and how many are made.
 RECALL, PROBES = 0.985, 2_000
+#: Share of the made pairs of each kind whose codes are within the radius.
+WITHIN = 0.998
 #: Comparisons that take as long as moving a vector to a bucket.
 MOVE = 2_000
 BLOCK = 1024
 
 
 def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): principal components turned so that their signs approximate them best."""
+    """(cuts, projection): principal components turned so that their signs approximate them best, and where each of
+    these is cut in two equal halves."""
     mean = x.mean(axis=0)
     y = x - mean
     _, _, axes = np.linalg.svd(y.T @ y)
@@ -47,7 +56,8 @@ def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) ->
     for _ in range(rounds):
         u, _, v = np.linalg.svd(np.where(y @ r >= 0, 1.0, -1.0).T @ y)
         r = (u @ v).T
-    return mean, axes[:bits].T @ r
+    projection = axes[:bits].T @ r
+    return np.median(x @ projection, axis=0), projection
 
 
 def made_pairs(x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +79,14 @@ def share_met(met: np.ndarray) -> float:
 
 
 def signs(rotation: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
-    mean, projection = rotation
-    return ((x - mean) @ projection >= 0).astype(np.int64)
+    cuts, projection = rotation
+    return (x @ projection >= cuts).astype(np.int64)
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """The first 64 bits of each code as one number."""
+    bits = bits[:, :64].astype(np.uint64)
+    return bits @ (np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64))
 
 
 def stretches(bits: np.ndarray, width: int) -> np.ndarray:
@@ -115,6 +131,8 @@ class Tables:
         a, y = made_pairs(x, cosine)
         self.maps = [learn_rotation(x, bits, 0)]
         self.width = least_width(signs(self.maps[0], x), labels, (signs(self.maps[0], a) == signs(self.maps[0], y)).mean(axis=1), most)
+        apart = (signs(self.maps[0], a)[:, :64] != signs(self.maps[0], y)[:, :64]).sum(axis=1)
+        self.radius = int(max(np.quantile(part, WITHIN, method="higher") for part in (apart[:PROBES], apart[PROBES:])))
         self.number, met = 0, np.zeros(len(a), bool)
         while self.width:
             before = share_met(met)
@@ -127,6 +145,9 @@ class Tables:
             # rotations that end in the same optimum add nothing: then any rotation is taken
             self.maps.append(learn_rotation(x, bits, len(self.maps), ROUNDS if share_met(met) > before else 0))
 
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return packed(signs(self.maps[0], x))
+
     def keys(self, x: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros((len(x), 1), np.int64)
@@ -145,14 +166,14 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite, F.lit(False))
     rows = rows.withColumn("usable", usable).withColumns({f"h{k}": F.xxhash64(F.lit(k), F.col("label").cast("string"), "v") for k in (0, 1)})
-    groups = rows.where("usable").groupBy("h0", "h1").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    groups = stored(groups.withColumn("dim", F.size("v")), "vectors")
+    groups = rows.where("usable").groupBy("h0", "h1").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    groups = stored(groups.withColumn("dim", F.size("v")).withColumn("id", F.monotonically_increasing_id()), "vectors")  # as ids of vectors may repeat
 
     found = []
     for r in groups.groupBy("dim").count().collect():  # vectors of different lengths do not link
         same = groups.where(F.col("dim") == r.dim)
         most = same.groupBy("label").count().agg(F.max("count").alias("m")).first().m
-        sample = same.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(FIT_ROWS).select("v", F.col("label").cast("string").alias("label")).toArrow()
+        sample = same.orderBy(F.xxhash64(F.lit(5), "vec_id", "v"), "vec_id").limit(FIT_ROWS).select("v", F.col("label").cast("string").alias("label")).toArrow()
         x, labels = units(sample["v"].to_pylist()), np.array(sample["label"].to_pylist())
         tables = in_task(rows.sparkSession, lambda x=x, labels=labels, most=most: Tables(x, labels, most, cosine))
         found.append(_compared(same, tables, cosine))
@@ -164,14 +185,18 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             out = out.union(df)
         out = stored(out, "links")
         counts = out.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
-        pairs = stored(components(out.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "components")
+        pairs = components(out.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
 
     base = rows.select("vec_id", "usable", "h0", "h1")
     if counts is None:
         out = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     else:
-        told = groups.select("h0", "h1", "id", "copies").join(counts, "id", "left").join(pairs, "id", "left")
-        told = told.select("h0", "h1", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        ids = groups.select("id", "vec_id")
+        least = stored(pairs.join(ids, "id").groupBy("component").agg(F.min("vec_id").alias("component_id")), "least")
+        pairs = pairs.join(least, "component").select("id", "component_id")
+        told = groups.select("h0", "h1", "id", "vec_id", "copies").join(counts, "id", "left").join(pairs, "id", "left")
+        told = told.select("h0", "h1", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        told = stored(told, "told")
         out = base.where("usable").join(told, ["h0", "h1"]).select("vec_id", "n_links", "component_id")
         out = out.union(base.where("NOT usable").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
@@ -183,16 +208,35 @@ def _compared(groups: DataFrame, tables: Tables, cosine: float) -> DataFrame:
     def keyed(batches):
         for batch in batches:
             if batch.num_rows:
-                keys = tables.keys(units(batch.column(2).to_pylist()))
+                x = units(batch.column(2).to_pylist())
+                keys = tables.keys(x)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "copies", "v", "label", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tables.codes(x).view(np.int64)), lists], ["id", "label", "code", "keys"])
+
+    def sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        side = group["side"].to_numpy()
+        return (np.arange(len(side)),) * 2 if group["own"][0].as_py() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+
+    def near(group: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        code = group["code"].to_numpy().view(np.uint64)
+        return np.bitwise_count(code[left][:, None] ^ code[right][None, :]) <= tables.radius
+
+    def search(group: pa.Table) -> pa.Table:
+        left, right = sides(group)
+        close = near(group, left, right)
+        if group["own"][0].as_py():
+            np.fill_diagonal(close, False)
+        rows = np.unique(np.concatenate([left[close.any(axis=1)], right[close.any(axis=0)]]))
+        return group.select(["id", "label", "table", "key"]).take(pa.array(rows))
 
     def compare(group: pa.Table) -> pa.Table:
         ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
-        side, own, table = group["side"].to_numpy(), group["own"][0].as_py(), group["table"][0].as_py()
+        own, table = group["own"][0].as_py(), group["table"][0].as_py()
+        left, right = sides(group)
         x, keys = units(group["v"].to_pylist()), np.array(group["keys"].to_pylist(), np.int64)
-        left, right = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         linked = x[left] @ x[right].T >= cosine
+        if tables.width:
+            linked &= near(group, left, right)
         i, j = np.nonzero(linked)
         keep = (left[i] < right[j]) if own else np.ones(len(i), bool)
         i, j = left[i[keep]], right[j[keep]]
@@ -224,16 +268,24 @@ def _compared(groups: DataFrame, tables: Tables, cosine: float) -> DataFrame:
             }
         )
 
-    rows = groups.select("id", "copies", "v", "label").mapInArrow(keyed, f"id long, copies long, v array<double>, label {dict(groups.dtypes)['label']}, keys array<long>")
-    rows = rows.select("id", "copies", "v", "label", "keys", F.posexplode("keys").alias("table", "key"))
-    rows = stored(rows, "tables")
-    sizes = rows.groupBy("label", "table", "key").agg(F.count("*").alias("m")).where("m > 1")
-    rows = rows.join(sizes, ["label", "table", "key"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "id", "copies", "v", "label", "keys", "table", "key",
-        F.least("block", "against").alias("lo"), F.greatest("block", "against").alias("hi"),
-        (F.col("block") > F.col("against")).cast("int").alias("side"), (F.col("block") == F.col("against")).alias("own"),
-    )
-    return rows.groupBy("label", "table", "key", "lo", "hi").applyInArrow(compare, "id long, n long, other long")
+    label = dict(groups.dtypes)["label"]
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """The rows of buckets of several once for each block of their bucket."""
+        sizes = rows.groupBy("label", "table", "key").agg(F.count("*").alias("m")).where("m > 1")
+        rows = rows.join(sizes, ["label", "table", "key"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.withColumns(
+            {"lo": F.least("block", "against"), "hi": F.greatest("block", "against"), "side": (F.col("block") > F.col("against")).cast("int"), "own": F.col("block") == F.col("against")}
+        ).drop("m", "blocks", "block", "against")
+
+    keys = ["label", "table", "key", "lo", "hi"]
+    coded = Stored(groups.select("id", "label", "v").mapInArrow(keyed, f"id long, label {label}, code long, keys array<long>"), "codes")
+    live = coded.df.select("id", "label", "code", F.posexplode("keys").alias("table", "key"))
+    if tables.width:
+        found = in_blocks(live).groupBy(*keys).applyInArrow(search, f"id long, label {label}, table int, key long")
+        live = Stored(found.distinct(), "near").df
+    whole = groups.select("id", "copies", "v").join(coded.df.select("id", "code", "keys"), "id")
+    out = in_blocks(live.select("id", "label", "table", "key")).join(whole, "id")
+    return stored(out.groupBy(*keys).applyInArrow(compare, "id long, n long, other long"), "links")
