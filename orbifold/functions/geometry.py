@@ -84,6 +84,11 @@ class Euclidean(Space):
         w = np.divide(a, d, out=np.zeros_like(a), where=d > 0)
         return w.sum(axis=1)[:, None] * x - w @ y
 
+    def pulls(self, x: np.ndarray, y: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Gradient at each row of x of a d, d being its distance to the same row of y."""
+        d = np.sqrt(((x - y) ** 2).sum(axis=1))
+        return np.divide(a, d, out=np.zeros_like(a), where=d > 0)[:, None] * (x - y)
+
 
 class Sphere(Space):
     def __post_init__(self) -> None:
@@ -121,10 +126,14 @@ class Sphere(Space):
         return points
 
     def pull(self, x: np.ndarray, y: np.ndarray, d: np.ndarray, a: np.ndarray) -> np.ndarray:
-        u = _sums(x, y, lambda p, q, c: p * q) / self.r2
+        return self._weights(_sums(x, y, lambda p, q, c: p * q) / self.r2, a) @ y
+
+    def pulls(self, x: np.ndarray, y: np.ndarray, a: np.ndarray) -> np.ndarray:
+        return self._weights((x * y).sum(axis=1) / self.r2, a)[:, None] * y
+
+    def _weights(self, u: np.ndarray, a: np.ndarray) -> np.ndarray:
         free = np.abs(u) < 1 - CLAMP
-        w = np.where(free, -a * self.r / self.r2 / np.sqrt(np.where(free, 1 - u * u, 1.0)), 0.0)
-        return w @ y
+        return np.where(free, -a * self.r / self.r2 / np.sqrt(np.where(free, 1 - u * u, 1.0)), 0.0)
 
 
 class Hyperboloid(Space):
@@ -180,10 +189,18 @@ class Hyperboloid(Space):
         return points.withColumn("vec", let(boosted, self.lift))
 
     def pull(self, x: np.ndarray, y: np.ndarray, d: np.ndarray, a: np.ndarray) -> np.ndarray:
-        u = self._u(x, y)
+        return self._weights(self._u(x, y), a) @ self._mirrored(y)
+
+    def pulls(self, x: np.ndarray, y: np.ndarray, a: np.ndarray) -> np.ndarray:
+        mirrored = self._mirrored(y)
+        return self._weights(-(x * mirrored).sum(axis=1) / self.r2, a)[:, None] * mirrored
+
+    def _mirrored(self, y: np.ndarray) -> np.ndarray:
+        return y * np.array([-1.0] + [1.0] * (y.shape[1] - 1))
+
+    def _weights(self, u: np.ndarray, a: np.ndarray) -> np.ndarray:
         free = u > 1 + CLAMP
-        w = np.where(free, -a * self.r / self.r2 / np.sqrt(np.where(free, u * u - 1, 1.0)), 0.0)
-        return w @ (y * np.array([-1.0] + [1.0] * (y.shape[1] - 1)))
+        return np.where(free, -a * self.r / self.r2 / np.sqrt(np.where(free, u * u - 1, 1.0)), 0.0)
 
 
 def space(k: float) -> Euclidean | Sphere | Hyperboloid:

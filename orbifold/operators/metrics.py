@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import space
 from ..functions.vectors import dot
+from ..sources.registry import drawn
 from .pairs import Block, _between, knn, kth_distance, pair_blocks, ranks
 
 SMALL, FLOOR = 1e-12, 1e-10
@@ -28,7 +29,7 @@ def _value(df: DataFrame, value: Column) -> DataFrame:
 
 def trustworthiness(high: DataFrame, low: DataFrame, k: int = 10, curvature: float = 0.0) -> DataFrame:
     """1 less the normalised ranks in ``high`` beyond k of the k nearest in ``low`` (by distance of ``curvature``)."""
-    near = knn(low, k, curvature).select("i", "j").withColumn("d", F.lit(0.0))
+    near = knn(low, k, curvature).select("i", "j")
     n = high.agg(F.count("*").alias("n"))
     over = ranks(high, near).select(F.greatest(F.col("rank") - k, F.lit(0)).alias("over")).crossJoin(n)
     factor = 2 / (F.max("n") * k * (2 * F.max("n") - 3 * k - 1))
@@ -141,7 +142,7 @@ def label_sums(points: DataFrame, curvature: float = 0.0) -> DataFrame:
 
     def work(a: Block, b: Block) -> pa.Table:
         d = _between(a, b, at)
-        names, inverse = np.unique(np.array(b.labels), return_inverse=True)
+        names, inverse = np.unique(b.labels, return_inverse=True)
         parts = []
         for c, name in enumerate(names):
             own = d[:, inverse == c]
@@ -223,12 +224,26 @@ def class_density(low: DataFrame) -> DataFrame:
     det = F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
     good = (F.col("n") >= 2) & (det > 1e-15 * F.col("sxx") * F.col("syy"))
     stats = stats.where(good).select("label", (F.col("syy") / det / h).alias("a"), (-F.col("sxy") / det / h).alias("b"), (F.col("sxx") / det / h).alias("c"))
-    spark = low.sparkSession
-    step = lambda c, k: F.col(f"{c}0") - 0.05 * (F.col(f"{c}1") - F.col(f"{c}0")) + 1.1 * (F.col(f"{c}1") - F.col(f"{c}0")) * k / (GRID - 1)
-    grid = spark.range(GRID * GRID).crossJoin(box).select(F.col("id").alias("cell"), step("x", F.col("id") % GRID).alias("gx"), step("y", F.floor(F.col("id") / GRID)).alias("gy"))
-    dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    power = F.col("a") * dx * dx + 2 * F.col("b") * dx * dy + F.col("c") * dy * dy
-    images = rows.join(stats, "label").crossJoin(F.broadcast(grid)).groupBy("label", "cell").agg(F.sum(F.exp(-power / 2)).alias("p"))  # the grid has a fixed size
+    edges = box.first()  # four numbers
+    gx, gy = (np.linspace(lo - 0.05 * (hi - lo), hi + 0.05 * (hi - lo), GRID) if lo is not None else np.zeros(GRID) for lo, hi in ((edges.x0, edges.x1), (edges.y0, edges.y1)))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The images of a task's points: GRID x GRID sums for each class in it."""
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            labels = batch.column(0).to_numpy()
+            x, y, a, b, c = (batch.column(k).to_numpy() for k in range(1, 6))
+            for start in range(0, len(labels), 256):
+                s = slice(start, start + 256)
+                dx, dy = gx[None, None, :] - x[s, None, None], gy[None, :, None] - y[s, None, None]
+                image = np.exp(-(a[s, None, None] * dx * dx + 2 * b[s, None, None] * dx * dy + c[s, None, None] * dy * dy) / 2)
+                for label in np.unique(labels[s]).tolist():
+                    sums[label] = sums.get(label, 0.0) + image[labels[s] == label].sum(axis=0)
+        for label, image in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(GRID * GRID, label, np.int64)), pa.array(np.arange(GRID * GRID)), pa.array(image.ravel())], ["label", "cell", "p"])
+
+    parts = rows.join(stats, "label").select(F.col("label").cast("long"), "x", "y", "a", "b", "c").mapInArrow(drawn, "label long, cell long, p double")
+    images = parts.groupBy("label", "cell").agg(F.sum("p").alias("p"))
     peaks = images.groupBy("label").agg(F.max("p").alias("peak"))
     images = images.join(peaks, "label").select("cell", "label", (F.col("p") / F.col("peak")).alias("p"))
     # Blank classes differ from each other class by its image.
@@ -240,8 +255,8 @@ def class_density(low: DataFrame) -> DataFrame:
 
 
 def sampled_ids(points: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """(id) of all points, or of ``most`` of them in the order of a hash."""
-    return points.select("id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)
+    """(id) of all points, or of ``most`` of them in the order of what their ids draw."""
+    return points.select("id").orderBy(drawn(seed), "id").limit(most)
 
 
 def evaluate(high: DataFrame, low: DataFrame, k: int = 5, most: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import space
 from ..functions.vectors import scaled
+from ..storage import Stored
 from .pairs import Block, _between, all_pairs, gather_pairs, pair_blocks
 
 TINY = 1e-12
@@ -49,52 +52,62 @@ def kl_loss(points: DataFrame, v: DataFrame, k: float = 0.0, exaggeration: float
 
 
 def gradient(points: DataFrame, v: DataFrame, k: float = 0.0, exaggeration: float = 1.0) -> DataFrame:
-    """(id, grad): gradient of the divergence in ambient coordinates.
+    """(id, grad): gradient of the divergence in ambient coordinates."""
+    return loss_and_gradient(points, v, k, exaggeration)[1]
+
+
+def loss_and_gradient(points: DataFrame, v: DataFrame, k: float = 0.0, exaggeration: float = 1.0) -> tuple[float, DataFrame, list[Stored]]:
+    """The divergence of ``points`` (id, vec) from ``v`` (i, j, v), (id, grad): its gradient in ambient coordinates, and
+    the tables that the gradient is read from.
 
     With kernels K, their sum Z, Q = K / Z and W = V Q / (Q + 1e-12), the derivative by a distance is
     4 d K (W - S Q), S being the sum of W. The part with W lives on V's pairs, gathered by joins; the other is
-    summed over blocks. Both take the space's chain rule for distances."""
+    summed over blocks, in the one pass over all pairs. Both take the space's chain rule for distances and are
+    stored, as the sums Z and S (two numbers on the driver) are needed before they are put together."""
     at = space(k)
+    first = points.select(F.size("vec").alias("d")).first()
+    d = first.d if first else 0
 
     def repel(a: Block, b: Block) -> pa.Table:
         d = _between(a, b, at)
         kernel = 1 / (1 + d * d)
         d[~np.isfinite(d)] = 0.0
-        return pa.table({"id": a.ids, "z": kernel.sum(axis=1), "away": at.pull(a.x, b.x, d, 4 * d * kernel * kernel).tolist()})
-
-    def attract(i, x, y, w):
-        d = np.array([at.distances(p[None], q[None])[0, 0] for p, q in zip(x, y, strict=True)])
-        coeff = 4 * d / (1 + d * d) * w
-        return np.array([at.pull(p[None], q[None], np.array([[dd]]), np.array([[c]]))[0] for p, q, dd, c in zip(x, y, d, coeff, strict=True)])
+        return pa.table({"id": a.ids, "z": kernel.sum(axis=1), "away": as_lists(at.pull(a.x, b.x, d, 4 * d * kernel * kernel))})
 
-    def attracted(batches):
+    def attract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = np.array(batch.column(1).to_pylist(), float), np.array(batch.column(2).to_pylist(), float)
-                near = attract(None, x, y, np.ones(batch.num_rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(near.tolist())], ["id", "v", "kernel", "pull"])
-
-    sums = vector_sum(pair_blocks(points, repel, "id long, z double, away array<double>"), "id", "away", ["z"])
-    z = sums.agg(F.sum("z").alias("whole"))
+                x, y = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in (1, 2))
+                v, d = batch.column(3).to_numpy() * exaggeration, batch.column(4).to_numpy()
+                kernel = 1 / (1 + d * d)
+                q = kernel / z
+                w = v * q / (q + TINY)
+                pull = at.pulls(x, y, 4 * d * kernel * w)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(-v * np.log(q + TINY)), as_lists(pull)], ["id", "w", "loss", "pull"])
+
+    away = Stored(vector_sum(pair_blocks(points, repel, "id long, z double, away array<double>"), "id", "away", d, ["z"]), "away")
+    z = away.df.agg(F.sum("z").alias("z")).first().z or 1e-10
     x = points.select(F.col("id").alias("i"), F.col("vec").alias("x"))
     y = points.select(F.col("id").alias("j"), F.col("vec").alias("y"))
-    near = v.join(x, "i").join(y, "j").select(F.col("i").alias("id"), "x", "y", (F.col("v") * exaggeration).alias("v"), student_t(at.distance(F.col("x"), F.col("y"))).alias("kernel"))
-    near = near.mapInArrow(attracted, "id long, v double, kernel double, pull array<double>").crossJoin(z)
-    w = F.col("v") * (F.col("kernel") / F.col("whole")) / (F.col("kernel") / F.col("whole") + TINY)
-    near = near.withColumn("w", w).withColumn("pull", scaled(F.col("w"), F.col("pull")))
-    pulled = vector_sum(near, "id", "pull", ["w"])
-    s = pulled.agg(F.sum("w").alias("s"))
-    out = sums.join(pulled.select("id", "pull"), "id", "left").crossJoin(s).crossJoin(z)
+    near = v.join(x, "i").join(y, "j").select("i", "x", "y", "v", at.distance(F.col("x"), F.col("y")).alias("d"))
+    near = Stored(vector_sum(near.mapInArrow(attract, "id long, w double, loss double, pull array<double>"), "id", "pull", d, ["w", "loss"]), "near")
+    sums = near.df.agg(F.sum("w").alias("w"), F.sum("loss").alias("loss")).first()
     zero = F.transform("away", lambda a: F.lit(0.0))
-    both = F.zip_with(F.coalesce("pull", zero), "away", lambda p, a: p - a * F.col("s") / F.col("whole"))
-    return out.select("id", both.alias("grad"))
+    share = (sums.w or 0.0) / z
+    out = away.df.join(near.df.select("id", "pull"), "id", "left")
+    grad = F.zip_with(F.coalesce("pull", zero), "away", lambda p, a: p - a * share)
+    return float(sums.loss or 0.0), out.select("id", grad.alias("grad")), [away, near]
+
+
+def as_lists(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as arrays."""
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
 
 
-def vector_sum(df: DataFrame, key: str, vec: str, sums: list[str]) -> DataFrame:
-    """Sums of ``vec`` by coordinate, and of further columns, per ``key``."""
-    rows = df.select(key, *sums, F.posexplode(vec).alias("c", "x"))
-    by = rows.groupBy(key, "c").agg(F.sum("x").alias("x"), *(F.sum(s).alias(s) for s in sums))
-    return by.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda e: e["x"]).alias(vec), *(F.max(s).alias(s) for s in sums))
+def vector_sum(df: DataFrame, key: str, vec: str, d: int, sums: list[str]) -> DataFrame:
+    """Sums of the ``d`` coordinates of ``vec``, and of further columns, per ``key``."""
+    by = df.groupBy(key).agg(*(F.sum(F.col(vec)[c]).alias(f"c{c}") for c in range(d)), *(F.sum(s).alias(s) for s in sums))
+    return by.select(key, F.array(*(f"c{c}" for c in range(d))).cast("array<double>").alias(vec), *sums)
 
 
 def scaling_gradient(points: DataFrame, k: float, kind: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import os
 import tomllib
+from collections.abc import Callable, Iterable, Iterator
 
 from ..operators.projection import PROJECTIONS
 from ..sources.registry import names
@@ -34,48 +35,61 @@ def _number(x: object) -> bool:
     return isinstance(x, int | float) and not isinstance(x, bool)
 
 
-def _whole(x: object, least: int) -> bool:
-    return isinstance(x, int) and not isinstance(x, bool) and x >= least
+def _numbers(x: object) -> bool:
+    return bool(x) and isinstance(x, list) and all(map(_number, x))
+
+
+def _whole(least: int, *others: int) -> tuple[Callable[[object], bool], str]:
+    said = f"must be a whole number from {least} on" + "".join(f", or {o}" for o in others)
+    return lambda x: isinstance(x, int) and not isinstance(x, bool) and (x >= least or x in others), said
+
+
+def _one_of(choices: Iterable[str]) -> tuple[Callable[[object], bool], str]:
+    choices = list(choices)
+    return lambda x: x in choices, f"must be one of {', '.join(choices)}"
+
+
+_POSITIVE = (lambda x: _number(x) and x > 0, "must be positive")
+_SHARE = (lambda x: _number(x) and 0 <= x <= 1, "must be from 0 to 1")
+#: What a value has to be: section, setting, test and what to say; ``?`` marks settings that may be missing.
+RULES = (
+    ("data", "dataset", *_one_of(names())),
+    ("data", "n_samples?", *_whole(1, -1)),
+    ("embedding", "embed_dim", *_whole(1)),
+    ("embedding", "init_method", *_one_of(INITS)),
+    ("embedding", "scaling_loss_type", *_one_of(SCALING)),
+    ("embedding", "n_iterations", *_whole(1)),
+    ("embedding", "early_exaggeration_iterations", *_whole(0)),
+    ("embedding", "early_exaggeration_factor", *_POSITIVE),
+    ("embedding", "perplexity", *_POSITIVE),
+    ("embedding", "momentum_early", *_SHARE),
+    ("embedding", "momentum_main", *_SHARE),
+    ("embedding", "centering_weight", lambda x: _number(x) and x >= 0, "must not be negative"),
+    ("experiments", "curvatures", _numbers, "must be a list of numbers"),
+    ("hyperparameters", "learning_rates", lambda x: isinstance(x, dict) and all(map(_POSITIVE[0], x.values())), "must be positive numbers by curvature"),
+    ("visualization?", "spherical_projection", *_one_of(PROJECTIONS)),
+)
 
 
 def validate(config: dict) -> tuple[bool, str]:
     """(ok, message): the first rule that the configuration breaks."""
     try:
-        for ok, message in _rules(config):
-            if not ok:
-                return False, message
+        return next(((False, said) for said in _faults(config)), (True, "ok"))
     except Exception as e:  # noqa: BLE001  any malformed value is a finding
         return False, f"Validation error: {e}"
-    return True, "ok"
-
-
-def _rules(config: dict):
-    yield "data" in config, "section data is missing"
-    data = config["data"]
-    yield data.get("dataset") in names(), f"unknown data set {data.get('dataset')!r}"
-    n = data.get("n_samples", -1)
-    yield n == -1 or _whole(n, 1), "n_samples must be a whole number from 1 on, or -1"
-    yield "embedding" in config, "section embedding is missing"
-    e = config["embedding"]
-    yield _whole(e.get("embed_dim"), 1), "embed_dim must be a whole number from 1 on"
-    yield _whole(e.get("n_iterations"), 1), "n_iterations must be a whole number from 1 on"
-    yield e.get("init_method") in INITS, "init_method must be random or pca"
-    yield _number(e.get("perplexity")) and e["perplexity"] > 0, "perplexity must be positive"
-    early = e.get("early_exaggeration_iterations")
-    yield _whole(early, 0), "early_exaggeration_iterations must be a whole number from 0 on"
-    yield early < e["n_iterations"], "early_exaggeration_iterations must be less than n_iterations"
-    yield _number(e.get("early_exaggeration_factor")) and e["early_exaggeration_factor"] > 0, "early_exaggeration_factor must be positive"
-    for key in ("momentum_early", "momentum_main"):
-        yield _number(e.get(key)) and 0 <= e[key] <= 1, f"{key} must be from 0 to 1"
-    yield _number(e.get("centering_weight")) and e["centering_weight"] >= 0, "centering_weight must not be negative"
-    yield e.get("scaling_loss_type") in SCALING, f"scaling_loss_type must be one of {', '.join(SCALING)}"
-    yield "hyperparameters" in config, "section hyperparameters is missing"
-    rates = config["hyperparameters"].get("learning_rates")
-    yield isinstance(rates, dict) and all(_number(r) and r > 0 for r in rates.values()), "learning_rates must be positive numbers by curvature"
-    curvatures = config.get("experiments", {}).get("curvatures")
-    yield isinstance(curvatures, list) and bool(curvatures) and all(map(_number, curvatures)), "curvatures must be a list of numbers"
-    if "visualization" in config:
-        yield config["visualization"].get("spherical_projection") in PROJECTIONS, f"spherical_projection must be one of {', '.join(PROJECTIONS)}"
+
+
+def _faults(config: dict) -> Iterator[str]:
+    for section, key, good, said in RULES:
+        name, setting = section.rstrip("?"), key.rstrip("?")
+        if name not in config:
+            if section == name:
+                yield f"section {name} is missing"
+        elif not (setting not in config[name] and key != setting) and not good(config[name].get(setting)):
+            yield f"{setting} {said}, not {config[name].get(setting)!r}"
+    steps = config["embedding"]
+    if steps["early_exaggeration_iterations"] >= steps["n_iterations"]:
+        yield "early_exaggeration_iterations must be less than n_iterations"
 
 
 def learning_rate(config: dict, k: float) -> float:

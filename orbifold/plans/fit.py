@@ -20,8 +20,9 @@ from ..functions.geometry import scaling_loss, space
 from ..functions.vectors import combined, literal, scaled
 from ..operators.affinities import affinities, affinities_of_pairs
 from ..operators.descent import momentum_step
+from ..operators.metrics import all_metrics
 from ..operators.pairs import all_pairs
-from ..operators.similarity import gradient, kl_loss, scaling_gradient
+from ..operators.similarity import loss_and_gradient, scaling_gradient
 from ..storage import Stored
 
 #: Called after each iteration with (iteration, loss, points, phase); False ends the fit.
@@ -96,29 +97,42 @@ def fit_embedding(
     at = space(k)
     v = Stored(affinities(data, perplexity) if distances is None else affinities_of_pairs(distances, perplexity), "affinities")
     current = Stored(initial_points(data, data.select("id"), k, d, method, scale, seed), "state")
-    moving, old = None, []
+    moving, rows, old = None, current.df, []
     out = Fit(k, current.df)
     for iteration in range(iterations):
         early = iteration < early_iterations
         factor, phase = (early_factor, "early") if early else (1.0, "main")
-        points = current.df.select("id", "vec")
-        loss = kl_loss(points, v.df, k, factor).first().loss or 0.0
-        grads = gradient(points, v.df, k, factor)
+        points = rows.select("id", "vec")
+        loss, grads, used = loss_and_gradient(points, v.df, k, factor)
         if scaling_weight:
             loss += scaling_weight * scaling_loss(points, at, scaling_kind).first().loss
             more = scaling_gradient(points, k, scaling_kind).withColumnRenamed("grad", "more")
             grads = grads.join(more, "id").select("id", combined(1.0, F.col("grad"), scaling_weight, F.col("more")).alias("grad"))
         stepped = Stored(momentum_step(points, grads, moving, rate, momentum_early if early else momentum_main, k), "state")
         old.append(current)
-        moving = stepped.df
-        current = Stored(at.centred(stepped.df), "state")
-        old.append(stepped)
-        moving = current.df.select("id", "velocity", "prev")
-        for table in old[:-2]:
+        for table in [*used, *old[:-2]]:  # callbacks may still read the last states
             table.discard()
         old = old[-2:]
-        out.points = current.df.select("id", "vec")
+        current, rows = stepped, at.centred(stepped.df)  # a map of the stored rows
+        moving = rows.select("id", "velocity", "prev")
+        out.points = rows.select("id", "vec")
         out.losses.append((iteration, float(loss), phase))
         if callback and callback(iteration, float(loss), out.points, phase) is False:
             break
     return out
+
+
+def sweep(data: DataFrame, curvatures: list[float], **options: object) -> DataFrame:
+    """(curvature, and a column per metric): an embedding fitted in the space of each curvature, and how good it is.
+
+    ``options`` are those of :func:`fit_embedding`; ``data`` is (id, vec[, label])."""
+    out = None
+    for k in curvatures:
+        low = fit_embedding(data.select("id", "vec"), k, **options).points
+        if "label" in data.columns:
+            low = low.join(data.select("id", "label"), "id")
+        row = all_metrics(data, low, k).select(F.lit(float(k)).alias("curvature"), "*")
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("no curvatures are given")
+    return out

@@ -91,10 +91,10 @@ def _maps() -> dict[str, str]:
     return out
 
 
-def _sigma(k: int) -> list[str]:
+def _sigma(k: int, pairs: str = HIGH_PAIRS, name: str = "hi") -> list[str]:
     goal = math.log(PERPLEXITY)
     return [
-        HIGH_PAIRS, _near("nn", "hi", k),
+        pairs, _near("nn", name, k),
         "d2 AS (SELECT i, list(j ORDER BY d, j) AS js, list(d * d ORDER BY d, j) AS d2 FROM nn GROUP BY i)",
         f"""b AS (
           SELECT i, d2, {LOW}::DOUBLE AS lo, {HIGH}::DOUBLE AS hi, {START}::DOUBLE AS s, false AS done, 0 AS it FROM d2
@@ -129,6 +129,99 @@ def _db(name: str, pairs: str) -> list[str]:
     ]
 
 
+AFFINITIES = "af AS (SELECT i, j, sum(p) / (SELECT 2 * sum(p) FROM cp) AS v FROM (SELECT i, j, p FROM cp UNION ALL SELECT j, i, p FROM cp) GROUP BY i, j)"
+
+
+def _momentum() -> str:
+    """Two steps on the sphere with gradients that stay the same."""
+    dot = lambda a, b: f"({a}[1] * {b}[1] + {a}[2] * {b}[2] + {a}[3] * {b}[3])"
+    mix = lambda a, x, b, y: "[" + ", ".join(f"({a}) * {x}[{c}] + ({b}) * {y}[{c}]" for c in (1, 2, 3)) + "]"
+
+    def clipped(name: str, source: str) -> str:
+        return f"{name} AS (SELECT * EXCLUDE (v), [c * v[1], c * v[2], c * v[3]] AS v FROM (SELECT *, CASE WHEN s > 10 THEN 10 / s ELSE 1 END AS c FROM (SELECT *, sqrt(sum{dot('v', 'v')} OVER ()) AS s FROM {source})))"
+
+    def moved(name: str, source: str, x: str, y: str) -> list[str]:
+        step = f"CASE WHEN n < 1e-10 THEN {x} ELSE {mix('cos(n)', x, 'sin(n) / greatest(n, 1e-10)', 'v')} END"
+        return [f"{name}0 AS (SELECT *, {step} AS m FROM (SELECT *, sqrt{dot('v', 'v')} AS n FROM {source}))", f"{name} AS (SELECT * EXCLUDE (m, n), [m[1] / q, m[2] / q, m[3] / q] AS {y} FROM (SELECT *, sqrt{dot('m', 'm')} AS q FROM {name}0))"]
+
+    return _with(
+        "g AS (SELECT id, vec AS x, [-0.3 * vec[2], 0.3 * vec[1], 0.15 * vec[3]] AS g FROM sph3)",
+        f"a AS (SELECT *, [-0.5 * t[1], -0.5 * t[2], -0.5 * t[3]] AS v FROM (SELECT *, {mix('1', 'g', '-' + dot('g', 'x'), 'x')} AS t FROM g))",
+        clipped("b", "a"), *moved("e", "(SELECT id, x, g, v FROM b)", "x", "y"),
+        f"f AS (SELECT *, {dot('y', 'v')} / greatest(1 + {dot('x', 'y')}, 1e-8) AS f, {mix('1', 'g', '-' + dot('g', 'y'), 'y')} AS t FROM (SELECT id, x, g, v, y FROM e))",
+        "h AS (SELECT id, y, t, [v[1] - f * (x[1] + y[1]), v[2] - f * (x[2] + y[2]), v[3] - f * (x[3] + y[3])] AS o FROM f)",
+        f"i AS (SELECT id, y, {mix('0.5', 'w', '-0.5', 't')} AS v FROM (SELECT id, y, t, {mix('1', 'o', '-' + dot('y', 'o'), 'y')} AS w FROM h))",
+        clipped("k", "i"), *moved("l", "(SELECT id, y, v FROM k)", "y", "z"),
+    ) + _coordinates("l", "z", 3)
+
+
+def _all_metrics(found: dict[str, str]) -> str:
+    """Each metric's SQL over the same stand-ins; those of the plane over the disc."""
+    disc = VIEWS.replace("[vec[1], vec[2]] AS vec", "[vec[2] / (1 + sqrt(1 + vec[2] * vec[2] + vec[3] * vec[3])), vec[3] / (1 + sqrt(1 + vec[2] * vec[2] + vec[3] * vec[3]))] AS vec")
+    wanted = {"trustworthiness": "trustworthiness", "continuity": "continuity", "knn_overlap": "knn_overlap", "db_ratio": "db_index_ratio"}
+    plane = {"area_utilisation": "area_utilisation", "radial_distribution": "radial_distribution", "class_density": "class_density_measure", "cluster_density": "cluster_density_measure"}
+    parts = [f"({found[k]}) AS {name}" for k, name in wanted.items()] + [f"({found[k].replace(VIEWS, disc)}) AS {name}" for k, name in plane.items()]
+    return "SELECT " + ", ".join(parts)
+
+
+def _more(found: dict[str, str], k: int) -> dict[str, str]:
+    """SQL that builds on that of other queries."""
+    g = "acosh(greatest(vec[1], 1 + 1e-7))"
+    drawn = "('0x' || substring(md5(id::VARCHAR || ':42'), 1, 8))::BIGINT"
+    flat = _pairs("em", "emb2", _DISTANCE["euclid"])
+    lifted = {
+        -1.0: ("lf AS (SELECT id, label, [sqrt(1 + vec[1] * vec[1] + vec[2] * vec[2]), vec[1], vec[2]] AS vec FROM emb2)", _DISTANCE["hyper"]),
+        0.0: ("lf AS (SELECT id, label, vec FROM emb2)", _DISTANCE["euclid"]),
+        1.0: ("lf AS (SELECT id, label, [sqrt(1 - f * f * (vec[1] * vec[1] + vec[2] * vec[2])), f * vec[1], f * vec[2]] AS vec FROM (SELECT *, least(1, sqrt(1 - 1e-7) / greatest(sqrt(vec[1] * vec[1] + vec[2] * vec[2]), 1e-300)) AS f FROM emb2))", _DISTANCE["sphere"]),
+    }
+    distorted = [f"SELECT {c}::DOUBLE AS curvature, (" + _with(HIGH_PAIRS, lift, _pairs("ld", "lf", d)) + "SELECT avg(abs(pow(ld.d / hi.d, 2) - 1)) FROM hi JOIN ld USING (i, j) WHERE i < j) AS value" for c, (lift, d) in lifted.items()]
+    trust = _with(HIGH_PAIRS, FLAT_PAIRS, *_trust("fl", "hi", 5)) + "SELECT value FROM tv", _with(HIGH_PAIRS, FLAT_PAIRS, *_trust("hi", "fl", 5)) + "SELECT value FROM tv"
+    means = "SELECT 'set_' || label AS \"Dataset\", unnest([-1.0, 0.0, 1.0])::DOUBLE AS \"Curvature\", unnest([avg(vec[1]), avg(vec[2]), avg(vec[3])]) AS \"Metric\" FROM u GROUP BY label"
+    tree = found["generate_tree_structured"].replace("range(200)", "range(60)")
+    arc = "asin(least(1, sqrt(1 - 1 / pow(1.25::DOUBLE, 2)) / 0.75))"
+    lines = ", ".join(
+        [
+            """[0, printf('<line x1="0.00" y1="%.2f" x2="%.2f" y2="%.2f" stroke="%s"/>', a, 600.0::DOUBLE, a, colour)]""",
+            """[1, printf('<line x1="%.2f" y1="0.00" x2="%.2f" y2="%.2f" stroke="%s"/>', a, a, 600.0::DOUBLE, colour)]""",
+        ]
+    ).replace("[0, ", "{'way': 0, 'value': ").replace("[1, ", "{'way': 1, 'value': ").replace(")]", ")}")
+    return {
+        "momentum_step": _momentum(),
+        "all_metrics": _all_metrics(found),
+        "evaluate": f"SELECT ({trust[0]}) AS trustworthiness, ({trust[1]}) AS continuity",
+        "q_matrix": _with(LOW_PAIRS) + "SELECT i, j, 1e6 * k / sum(k) OVER () AS q FROM (SELECT i, j, 1 / (1 + d * d) AS k FROM lo)",
+        "geodesic_arc": f"SELECT s AS step, 1.25 + 0.75 * cos(a) AS x, 0.75 * sin(a) AS y FROM (SELECT s, pi() - {arc} + s * (2 * {arc} / 64) AS a FROM range(65) t(s))",
+        "colored_points": f"SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, red, green, blue FROM embeddings JOIN ({found['label_colors']}) USING (label)",
+        "update_messages": """SELECT '{"type":"update","run_id":"run","iteration":' || i || ',"loss":' || [3.0, 2.0, 1.5][i + 1]::DOUBLE || ',"phase":"main"}' AS value FROM range(3) t(i)""",
+        "status_messages": """SELECT '{"type":"status","run_id":"run","done":3,"total":10,"loss":1.5,"running":true}' AS value""",
+        "metric_messages": "SELECT '{\"type\":\"metrics\",\"dunn\":\"' || printf('%.6f', value) || '\"}' AS value FROM (" + found["dunn"] + ")",
+        "boundary_messages": "SELECT '{\"type\":\"boundary\",\"degrees\":' || a || ',\"radius\":\"' || printf('%.6f', sin(radians(a))) || '\"}' AS value FROM range(30, 91, 30) t(a)",
+        "loss_chart": """SELECT 'run' AS run_id, '<polyline fill="none" stroke="steelblue" points="' || string_agg(printf('%.2f,%.2f', i / 2.0::DOUBLE * 600, 300 - (l - 1.5) / 1.5 * 300), ' ' ORDER BY i) || '"/>' AS value FROM (SELECT i, [3.0, 2.0, 1.5][i + 1]::DOUBLE AS l FROM range(3) t(i))""",
+        "grid_lines": f"SELECT s * 2 + r.way AS line, r.value AS value FROM (SELECT s, unnest([{lines}]) AS r FROM (SELECT s, s * 75.0::DOUBLE AS a, CASE WHEN s = 4 THEN 'gray' ELSE 'lightgray' END AS colour FROM range(9) t(s)))",
+        "affinity_loss": _with(*_sigma(k), AFFINITIES, LOW_PAIRS, "ke AS (SELECT i, j, 1 / (1 + d * d) AS k, (sum(1 / (1 + d * d)) OVER ()) AS z FROM lo)", recursive=True) + "SELECT sum(-v * ln(k / z + 1e-12)) AS loss FROM ke JOIN af USING (i, j)",
+        "exaggerated_loss": f"SELECT 12 * loss AS loss FROM ({found['kl_loss']})",
+        "regularised_loss": f"SELECT a.loss + 0.1 * b.loss AS loss FROM ({found['kl_loss']}) a, ({found['scaling_rms']}) b",
+        "distance_losses": _with(HIGH_PAIRS, LOW_PAIRS) + "SELECT sum(pow(lo.d - hi.d, 2)) AS mse, sum(abs(pow(lo.d / hi.d, 2) - 1)) AS gu FROM hi JOIN lo USING (i, j)",
+        "curvature_distortion": " UNION ALL ".join(distorted),
+        "sql_distances": _with(*(_pairs(f"p{t[0]}", t, _DISTANCE[kind]) for kind, t in _TABLE.items())) + "SELECT i, j, e.d AS euclid, s.d AS sphere, h.d AS hyper FROM pe e JOIN ps s USING (i, j) JOIN ph h USING (i, j) WHERE j = (i + 1) % (SELECT count(*) FROM u)",
+        "norm_pairs": _with(HIGH_PAIRS) + "SELECT i, j, round(d, 6) AS d FROM hi",
+        "normalized_pairs": _with(flat) + "SELECT i, j, d / avg(d) OVER () AS d FROM em",
+        "precomputed_affinities": _with(*_sigma(k, flat, "em"), recursive=True) + "SELECT i, j, sum(p) / (SELECT 2 * sum(p) FROM cp) AS v FROM (SELECT i, j, p FROM cp UNION ALL SELECT j, i, p FROM cp) GROUP BY i, j",
+        "pair_statistics": _with(flat) + "SELECT stddev_samp(d) AS std, quantile_disc(d, 0.5) AS median, quantile_cont(d, 0.25) AS quarter FROM em",
+        "tree_distances": f"WITH t AS ({tree}), v AS (SELECT id, max(CASE WHEN c = 0 THEN x END) AS a, max(CASE WHEN c = 1 THEN x END) AS b, max(CASE WHEN c = 2 THEN x END) AS c FROM t GROUP BY id) SELECT p.id AS i, q.id AS j, round(acosh(greatest(p.a * q.a - p.b * q.b - p.c * q.c, 1)), 6) AS d FROM v p JOIN v q ON p.id <> q.id",
+        "poincare_lift": _with("q AS (SELECT id, vec[1] / 2 AS x, vec[2] / 2 AS y, (vec[1] * vec[1] + vec[2] * vec[2]) / 4 AS s FROM emb2)", "l AS (SELECT id, [(1 + s) / (1 - s), 2 * x / (1 - s), 2 * y / (1 - s)] AS y FROM q)") + _coordinates("l", "y", 3),
+        "split_train": _with() + f"SELECT id, label FROM u WHERE {drawn} % 7 <> 0",
+        "split_test": _with() + f"SELECT id, label FROM u WHERE {drawn} % 7 = 0",
+        "head_points": _with() + "SELECT id, label FROM u WHERE id < 100",
+        "random_points": _with() + f"SELECT id, label FROM u ORDER BY {drawn}, id LIMIT 100",
+        "evaluation_sample": _with() + f"SELECT id FROM u ORDER BY {drawn}, id LIMIT 200",
+        "experiment_results": _with(f"e AS ({means})") + "SELECT *, 'Set ' || substring(\"Dataset\", 5) AS \"Title\" FROM e WHERE \"Curvature\" <> 0",
+        "experiment_pivot": _with() + "SELECT 'set_' || label AS \"Dataset\", avg(vec[1]) AS \"-1.0\", avg(vec[2]) AS \"0.0\", avg(vec[3]) AS \"1.0\" FROM u GROUP BY label",
+        "stereographic_small_sphere": found["stereographic"],
+        "poincare_curved": found["poincare"],
+    }
+
+
 def _gradient() -> dict[str, str]:
     out = {}
     unit = {
@@ -150,6 +243,9 @@ def _gradient() -> dict[str, str]:
         ]
         parts = [f"SELECT p.i AS id, {c}::INTEGER AS c, 1e3 * sum(CASE WHEN p.d > {least[kind]} THEN p.a * {unit[kind][c].format(c=c + 1)} ELSE 0 END) AS x FROM p JOIN {table} a ON a.id = p.i JOIN {table} b ON b.id = p.j GROUP BY p.i" for c in range(n)]
         out[f"gradient_{kind}"] = _with(*ctes) + " UNION ALL ".join(parts)
+        if kind == "hyper":
+            ctes[1:3] = ["p1 AS (SELECT i, j, d, 1 / (1 + d * d) AS k, coalesce(v, 0) AS v FROM p0 LEFT JOIN af USING (i, j))"]
+            out["affinity_gradient"] = _with(*_sigma(int(3 * PERPLEXITY + 1)), AFFINITIES, *(x.replace("p AS (", "pp AS (") if x.startswith("p AS") else x for x in ctes), recursive=True) + " UNION ALL ".join(parts).replace("FROM p JOIN", "FROM pp p JOIN")
     return out
 
 
@@ -207,7 +303,6 @@ def oracle_sql() -> dict[str, str]:
         "conditional_p": _with(*_sigma(k), recursive=True) + "SELECT i, j, p FROM cp",
         "affinities": _with(*_sigma(k), recursive=True) + "SELECT i, j, sum(p) / (SELECT 2 * sum(p) FROM cp) AS v FROM (SELECT i, j, p FROM cp UNION ALL SELECT j, i, p FROM cp) GROUP BY i, j",
         "t_kernel": _with(_pairs("p", "emb2", _DISTANCE["euclid"])) + "SELECT i, j, 1 / (1 + d * d) AS kernel, -2 * d / pow(1 + d * d, 2) AS slope FROM p",
-        "q_matrix": _with(LOW_PAIRS, "ke AS (SELECT i, j, 1 / (1 + d * d) AS k FROM lo)") + "SELECT i, j, 1e6 * (k / (SELECT sum(k) FROM ke)) AS q FROM ke",
         "kl_loss": _with(LOW_PAIRS, "ke AS (SELECT i, j, 1 / (1 + d * d) AS k, (SELECT count(*) FROM u) AS n FROM lo)") + "SELECT sum(-1.0 / (2 * n) * ln(k / (SELECT sum(k) FROM ke) + 1e-12)) AS loss FROM ke WHERE j = (i + 1) % n OR i = (j + 1) % n",
         "trustworthiness": _with(HIGH_PAIRS, FLAT_PAIRS, *_trust("fl", "hi", 10)) + "SELECT value FROM tv",
         "continuity": _with(HIGH_PAIRS, FLAT_PAIRS, *_trust("hi", "fl", 10)) + "SELECT value FROM tv",
@@ -257,4 +352,4 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT id, label, 1::INTEGER, 2 * x / (1 - x * x - y * y) FROM p UNION ALL SELECT id, label, 2::INTEGER, 2 * y / (1 - x * x - y * y) FROM p
         """,
     }
-    return out
+    return out | _more(out, k)

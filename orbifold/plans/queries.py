@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions.geometry import scaling_loss, space
 from ..operators import affinities as aff
 from ..operators import descent, metrics, pairs, projection, samplers, similarity
@@ -157,6 +158,60 @@ def _gradient(kind: str) -> Query:
     return query
 
 
+def affinity_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.kl_loss(hyp3(spark, sf_dir), affinities(spark, sf_dir), -1.0)
+
+
+def affinity_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = similarity.gradient(hyp3(spark, sf_dir), affinities(spark, sf_dir), -1.0)
+    return rows.select("id", F.posexplode(F.transform("grad", lambda g: g * 1e3)).alias("c", "x"))
+
+
+def regularised_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kl_loss(spark, sf_dir).crossJoin(scaling_loss(hyp3(spark, sf_dir), space(-1.0), "rms").toDF("more"))
+    return rows.select((F.col("loss") + 0.1 * F.col("more")).alias("loss"))
+
+
+def distance_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over all ordered pairs of what the distances of an embedding are off by."""
+    h, e = pairs.all_pairs(points(spark, sf_dir)), pairs.all_pairs(hyp3(spark, sf_dir), -1.0).withColumnRenamed("d", "e")
+    ratio = F.abs(F.pow(F.col("e") / F.col("d"), 2) - 1)
+    return h.join(e, ["i", "j"]).agg(F.sum(F.pow(F.col("e") - F.col("d"), 2)).alias("mse"), F.sum(ratio).alias("gu"))
+
+
+def curvature_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plane points in the spaces of three curvatures."""
+    flat, out = emb2(spark, sf_dir), None
+    for k in (-1.0, 0.0, 1.0):
+        lifted = flat.select("id", space(k).lift(F.col("vec")).alias("vec"))
+        row = metrics.distortion(points(spark, sf_dir), lifted, "gu", k).select(F.lit(k).alias("curvature"), "value")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def sql_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances of each point to the next, by the functions registered for SQL."""
+    sql.register(spark)
+    rows = emb2(spark, sf_dir).select("id", F.col("vec").alias("e")).join(sph3(spark, sf_dir).select("id", F.col("vec").alias("s")), "id").join(hyp3(spark, sf_dir).select("id", F.col("vec").alias("h")), "id")
+    return spark.sql(
+        """SELECT a.id AS i, b.id AS j, euclid_distance(a.e, b.e) AS euclid, sphere_distance(a.s, b.s, 1D) AS sphere, hyper_distance(a.h, b.h, -1D) AS hyper
+           FROM {rows} a JOIN {rows} b ON b.id = (a.id + 1) % (SELECT count(*) FROM {rows})""",
+        rows=rows,
+    )
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of results: means of three coordinates of each label, as of three curvatures, written and read again."""
+    from ..storage import shared_path
+
+    u = F.col("vec")
+    means = points(spark, sf_dir).groupBy("label").agg(F.avg(u[0]).alias("a"), F.avg(u[1]).alias("b"), F.avg(u[2]).alias("c"))
+    rows = means.select(F.concat(F.lit("set_"), "label").alias("Dataset"), F.explode(F.array(*(F.struct(F.lit(k).alias("Curvature"), F.col(c).alias("Metric")) for k, c in ((-1.0, "a"), (0.0, "b"), (1.0, "c"))))).alias("r"))
+    path = shared_path(spark, "results")
+    rows.select("Dataset", "r.*").write.csv(path, sep=";", header=True)
+    return registry.experiments(spark, path)
+
+
 def rsgd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = hyp3(spark, sf_dir)
     grads = x.select("id", F.transform(_TURN["hyper"](F.col("vec")), lambda a: a * 0.3).alias("grad"))
@@ -255,6 +310,31 @@ def queries() -> dict[str, Query]:
         "update_messages": lambda s, d: sinks.messages(run_log_losses(s, d), "update"),
         "run_log": run_log_losses, "pca_init": pca_init,
     }
+    found |= {
+        "affinity_loss": affinity_loss, "affinity_gradient": affinity_gradient, "regularised_loss": regularised_loss,
+        "exaggerated_loss": lambda s, d: similarity.kl_loss(hyp3(s, d), _ring(s, d), -1.0, 12.0),
+        "distance_losses": distance_losses, "curvature_distortion": curvature_distortion, "sql_distances": sql_distances,
+        "norm_pairs": lambda s, d: pairs.pairs_by_norms(points(s, d)).select("i", "j", F.round("d", 6).alias("d")),
+        "normalized_pairs": lambda s, d: pairs.normalized_pairs(pairs.all_pairs(emb2(s, d))),
+        "precomputed_affinities": lambda s, d: aff.affinities_of_pairs(pairs.all_pairs(emb2(s, d)), PERPLEXITY),
+        "pair_statistics": lambda s, d: pairs.all_pairs(emb2(s, d)).agg(F.stddev_samp("d").alias("std"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("median"), F.percentile("d", F.lit(0.25)).alias("quarter")),
+        "tree_distances": lambda s, d: synthetic.generated_distances(synthetic.tree_structured(s, 60), -1.0).withColumn("d", F.round("d", 6)),
+        "poincare_lift": lambda s, d: emb2(s, d).select("id", F.posexplode(synthetic.poincare_to_hyperboloid(F.transform("vec", lambda x: x * 0.5))).alias("c", "x")),
+        "split_train": lambda s, d: registry.split(points(s, d), "train").select("id", "label"),
+        "split_test": lambda s, d: registry.split(points(s, d), "test").select("id", "label"),
+        "head_points": lambda s, d: registry.head(registry.Dataset(points(s, d)), 100).points.select("id", "label"),
+        "random_points": lambda s, d: registry.sample(registry.Dataset(points(s, d)), 100).points.select("id", "label"),
+        "evaluation_sample": lambda s, d: metrics.sampled_ids(points(s, d), 200),
+        "experiment_results": lambda s, d: registry.results_of(_results(s, d), [-1.0, 1.0]),
+        "experiment_pivot": lambda s, d: registry.experiment_table(_results(s, d), "Metric"),
+        "status_messages": lambda s, d: sinks.state_messages(run_log_losses(s, d), 10),
+        "metric_messages": lambda s, d: sinks.messages(metrics.dunn(hyp3(s, d), -1.0).select(F.format_string("%.6f", "value").alias("dunn")), "metrics"),
+        "boundary_messages": lambda s, d: sinks.messages(projection.sphere_parallels(s, "orthographic").select("degrees", F.format_string("%.6f", "radius").alias("radius")), "boundary"),
+        "loss_chart": lambda s, d: sinks.loss_chart(run_log_losses(s, d)),
+        "grid_lines": lambda s, d: sinks.grid_lines(s),
+        "stereographic_small_sphere": lambda s, d: projection.project(sph3(s, d).withColumn("vec", F.transform("vec", lambda x: x * 0.5)), 4.0).select("id", "x", "y"),
+        "poincare_curved": lambda s, d: projection.project(hyp3(s, d).withColumn("vec", F.transform("vec", lambda x: x * 0.5)), -4.0).select("id", "x", "y"),
+    }
     found |= {f"generate_{name}": _generated(name) for name in synthetic.GENERATORS}
     found |= {f"sample_{kind}": _sampled(kind) for kind in ("random", "knn", "stratified", "negative")}
     found |= {"fit_euclid": _fit(0.0), "fit_sphere": _fit(1.0), "fit_hyper": _fit(-1.0)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .synthetic import GENERATORS, generated_distances
@@ -29,11 +29,16 @@ def embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("label"))
 
 
+def drawn(seed: int) -> Column:
+    """A number below 2^32 that an id draws: the first eight digits of the MD5 of ``id:seed``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def split(points: DataFrame, kind: str = "all", seed: int = 42) -> DataFrame:
     """All points, or the six sevenths of training and one of test points that a hash of the id makes."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}")
-    test = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(7)) == 0
+    test = drawn(seed) % 7 == 0
     return points if kind == "all" else points.where(test if kind == "test" else ~test)
 
 
@@ -59,7 +64,7 @@ def head(data: Dataset, n: int) -> Dataset:
 
 def sample(data: Dataset, n: int, seed: int = 42) -> Dataset:
     """``n`` points in the order of a hash of their ids, and their distances."""
-    chosen = data.points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    chosen = data.points.orderBy(drawn(seed), "id").limit(n)
     d = data.distances
     if d is not None:
         ids = chosen.select("id")
@@ -75,3 +80,17 @@ def experiments(spark: SparkSession, path: str) -> DataFrame:
 def experiment_table(results: DataFrame, metric: str) -> DataFrame:
     """A metric by data set (rows) and curvature (columns)."""
     return results.groupBy("Dataset").pivot("Curvature").agg(F.first(metric)).orderBy("Dataset")
+
+
+#: How data sets are called in tables of results. Fixed values.
+TITLES = {"mnist": "MNIST", "embeddings": "Embeddings"}
+
+
+def results_of(results: DataFrame, curvatures: list[float] | None = None, datasets: list[str] | None = None) -> DataFrame:
+    """The results of some curvatures and data sets, all by default, with a ``Title`` for each data set."""
+    if curvatures is not None:
+        results = results.where(F.col("Curvature").isin([float(k) for k in curvatures]))
+    if datasets is not None:
+        results = results.where(F.col("Dataset").isin(datasets))
+    known = F.create_map(*(F.lit(x) for pair in TITLES.items() for x in pair))
+    return results.withColumn("Title", F.coalesce(known[F.col("Dataset")], F.initcap(F.regexp_replace("Dataset", "_", " "))))

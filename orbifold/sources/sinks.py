@@ -19,7 +19,7 @@ def colored(plane: DataFrame) -> DataFrame:
 
 
 def packed_floats(plane: DataFrame) -> DataFrame:
-    """(part, data): little-endian float32 x, y, red, green, blue of each point, by id within a part."""
+    """(first_id, data): little-endian float32 x, y, red, green, blue of each point, by id within a part."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,6 +34,34 @@ def messages(df: DataFrame, kind: str) -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit(kind).alias("type"), *df.columns)).alias("value"))
 
 
+def state_messages(log: DataFrame, total: int) -> DataFrame:
+    """(value): a JSON status message for each run of a log (run_id, iteration, loss): how far it is and its last loss."""
+    last = log.groupBy("run_id").agg(F.max(F.struct("iteration", "loss")).alias("last"))
+    done = (F.col("last.iteration") + 1).alias("done")
+    return messages(last.select("run_id", done, F.lit(total).alias("total"), F.col("last.loss").alias("loss"), (F.col("last.iteration") + 1 < total).alias("running")), "status")
+
+
+def loss_chart(log: DataFrame, width: int = 600, height: int = 300) -> DataFrame:
+    """(run_id, value): an SVG polyline of the losses (run_id, iteration, loss) of each run, scaled to the drawing.
+
+    A run's losses, one number an iteration, are put together in one row."""
+    ends = log.groupBy("run_id").agg(F.min("loss").alias("lo"), F.max("loss").alias("hi"), F.max("iteration").alias("last"))
+    x = F.when(F.col("last") > 0, F.col("iteration") / F.col("last") * width).otherwise(0.0)
+    y = F.when(F.col("hi") > F.col("lo"), height - (F.col("loss") - F.col("lo")) / (F.col("hi") - F.col("lo")) * height).otherwise(height / 2)
+    rows = log.join(ends, "run_id").select("run_id", "iteration", F.format_string("%.2f,%.2f", x, y).alias("p"))
+    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("iteration", "p"))), lambda r: r["p"]), " ")
+    return rows.groupBy("run_id").agg(F.concat(F.lit('<polyline fill="none" stroke="steelblue" points="'), path, F.lit('"/>')).alias("value"))
+
+
+def grid_lines(spark: SparkSession, size: int = 600, steps: int = 4) -> DataFrame:
+    """(line, value): SVG lines of a square grid with ``steps`` cells to each side of the axes, which are drawn darker."""
+    at = F.col("id") * (size / (2.0 * steps))
+    colour = F.when(F.col("id") == steps, "gray").otherwise("lightgray")
+    flat = F.format_string('<line x1="0.00" y1="%.2f" x2="%.2f" y2="%.2f" stroke="%s"/>', at, F.lit(float(size)), at, colour)
+    tall = F.format_string('<line x1="%.2f" y1="0.00" x2="%.2f" y2="%.2f" stroke="%s"/>', at, at, F.lit(float(size)), colour)
+    return spark.range(2 * steps + 1).select(F.posexplode(F.array(flat, tall)).alias("way", "value"), "id").select((F.col("id") * 2 + F.col("way")).alias("line"), "value")
+
+
 def file_name(title: str) -> str:
     """A title as a file name."""
     return "".join(c if c.isalnum() or c in "-_" else "_" for c in title.lower())
