@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it to the shared folder and
 reads it again as the next stage's ``docs``. All stages but the last return the columns of ``documents``.
+
+Null and empty texts are documents like any other: they are scored as empty texts, and stay where these are not
+rejected. Rows with a null doc_id are kept by all stages and belong to no class of copies; of rows that repeat a doc_id
+and its text one stays. Null sources are one source. Texts of any length are read whole. Ties go to the smaller
+doc_id, or to an order fixed by hashes. Empty tables give empty results. Further columns of ``documents`` pass through
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
