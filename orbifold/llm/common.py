@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -10,7 +11,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Stored
+from .. import storage
+
+#: Rows of texts that Spark and a worker exchange at once while tables are stored.
+ROWS_AT_ONCE = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches to :data:`ROWS_AT_ONCE` rows."""
+    before = int(spark.conf.get(_BATCH))
+    spark.conf.set(_BATCH, str(min(before, ROWS_AT_ONCE) if before > 0 else ROWS_AT_ONCE))
+
+class Stored(storage.Stored):
+    """A table in the shared folder, written with Arrow batches of :data:`ROWS_AT_ONCE` rows at most, as texts may be long."""
+
+    def __init__(self, df: DataFrame, name: str) -> None:
+        before = df.sparkSession.conf.get(_BATCH)
+        small_batches(df.sparkSession)
+        try:
+            super().__init__(df, name)
+        finally:
+            df.sparkSession.conf.set(_BATCH, before)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task; what it has freed goes back to the system, as Spark keeps workers for later tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""

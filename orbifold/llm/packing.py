@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_task, stored
+from .common import in_task, stored, tidy
 
 SEQUENCE = 4096
 CLASSES = 256
@@ -36,7 +36,7 @@ END_ID = 2
 #: Pieces of a class that are ranked together.
 RANK_ROWS = 500_000
 #: Characters that are encoded together.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 1_000_000
 #: Column generation ends within this share of the least possible number of sequences.
 GAP = 2e-4
 #: Column generation ends after so many columns even if a better one is left; the packing stays valid.
@@ -53,18 +53,20 @@ class WordIds(dict):
     the number of a piece in the table; unseen ones get the next."""
 
     SIMPLE = ".,;:!?*#%$&"
-    KEPT = 1_000_000
+    KEPT = 500_000
 
-    def __init__(self, tokenizer_path: str) -> None:
+    def __init__(self, tokenizer_path: str, kept: int = KEPT) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {t[0] for t in self.added}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         self.tails: dict[str, np.ndarray] = {}
+        self.kept = kept
         self._forget()
 
     def _forget(self) -> None:
@@ -96,7 +98,9 @@ class WordIds(dict):
         parts = []
         for p in self.new:
             core = p.rstrip(self.SIMPLE)
-            plain = core and core[-1].isalnum() and not any(t in p.lower() for t in self.added)  # added tokens are told by their case
+            plain = core and core[-1].isalnum()
+            if plain and any(m in p for m in self.marks):  # added tokens are told by their case
+                plain = not any(t in p.lower() for t in self.added)
             parts.append((core.lower() if core.isascii() else core, p[len(core) :]) if plain else (p, ""))
         cores = self._cores(list(dict.fromkeys(c for c, _ in parts)))
         tails = [t for t in {t for _, t in parts} if t not in self.tails]
@@ -112,7 +116,7 @@ class WordIds(dict):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self) > self.KEPT:
+        if len(self) > self.kept:
             self._forget()
         pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         numbers = [np.fromiter(map(self.__getitem__, p), np.int64, len(p)) for p in pieces]
@@ -127,11 +131,11 @@ class WordIds(dict):
         return out
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, keep_ids: bool = False, kept: int = WordIds.KEPT) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) of the full sequences and remainders of ``docs``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = WordIds(tokenizer_path, kept)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
 
@@ -164,7 +168,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut), schema)
 
 
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -296,7 +300,9 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, classes: int = CLAS
     return ranked.withColumn("offset", offset).select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
-    """One row per piece of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset."""
-    pieces = stored(tokenized_pieces(docs, tokenizer_path, sequence, keep_ids), "pieces")
+def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, keep_ids: bool = False, kept: int = WordIds.KEPT) -> DataFrame:
+    """One row per piece of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset.
+
+    A task keeps the ids of ``kept`` words; fewer take less memory and more time."""
+    pieces = stored(tokenized_pieces(docs, tokenizer_path, sequence, keep_ids, kept), "pieces")
     return pack_pieces(pieces, sequence)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc, labelled
+from .common import id_crc, labelled, tidy
 
 #: What each component of a feature vector measures.
 FEATURES = (
@@ -174,7 +174,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
                 x = np.array([text_features(t.as_py()) for t in batch.column(at)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(tidy(scored), T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

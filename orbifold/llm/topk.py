@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import Stored
-from .common import in_task
+from .common import Stored, in_task
 
 SHARD, QUERIES, LEAF = 16_384, 65_536, 64
 #: Rows of a cell aimed at, cells of vectors of one length at most, and sampled rows that the splits are taken from.

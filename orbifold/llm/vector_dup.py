@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Stored
-from .common import in_task, stored
+from .common import Stored, in_task, stored
 from .components import components
 
 COSINE = 0.93

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Stored, shared_path
-from .common import stored
+from ..storage import shared_path
+from .common import Stored, stored
 
 LEAST_REVISIT = 100
 #: An archive is closed when it has reached this size.

@@ -137,7 +137,8 @@ def test_consistent_samples_agree_as_often_as_texts_are_alike():
     s = near_dup.consistent_samples(np.concatenate([ha, hb]), np.concatenate([weights.of(ha, ca), weights.of(hb, cb)]), np.array([0, len(ha)]))
     j = near_dup.weighted_jaccard((ha, weights.of(ha, ca)), (hb, weights.of(hb, cb)))
     assert abs((s[0] == s[1]).mean() - j) < 0.3
-    assert near_dup.similar_pairs([a, b, a], weights, 0.999).sum() == 5
+    assert near_dup.similar_pairs([a, b, a], weights, 0.999, np.arange(3), np.arange(3)).sum() == 5
+    assert near_dup.similar_pairs([a, b, a], weights, 0.999, np.array([0]), np.array([1, 2])).tolist() == [[False, True]]
 
 
 def test_common_shingles_are_counted_exactly(spark):
