@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orbifold.llm import mixing, near_dup, packing, pii, quality
-from orbifold.llm.common import stored, table
+from orbifold.llm.common import small_batches, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,6 +28,7 @@ MIX = mixing.Mix(entropy=0.95, max_passes=2.0)
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    small_batches(spark)  # several stages share the executors' memory
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -48,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in the training sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept=200_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
