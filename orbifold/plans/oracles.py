@@ -201,7 +201,7 @@ def _more(found: dict[str, str], k: int) -> dict[str, str]:
         "affinity_loss": _with(*_sigma(k), AFFINITIES, LOW_PAIRS, "ke AS (SELECT i, j, 1 / (1 + d * d) AS k, (sum(1 / (1 + d * d)) OVER ()) AS z FROM lo)", recursive=True) + "SELECT sum(-v * ln(k / z + 1e-12)) AS loss FROM ke JOIN af USING (i, j)",
         "exaggerated_loss": f"SELECT 12 * loss AS loss FROM ({found['kl_loss']})",
         "regularised_loss": f"SELECT a.loss + 0.1 * b.loss AS loss FROM ({found['kl_loss']}) a, ({found['scaling_rms']}) b",
-        "distance_losses": _with(HIGH_PAIRS, LOW_PAIRS) + "SELECT sum(pow(lo.d - hi.d, 2)) AS mse, sum(abs(pow(lo.d / hi.d, 2) - 1)) AS gu FROM hi JOIN lo USING (i, j)",
+        "distance_losses": _with(HIGH_PAIRS, LOW_PAIRS) + "SELECT round(sum(pow(lo.d - hi.d, 2)), 6) AS mse, round(sum(abs(pow(lo.d / hi.d, 2) - 1)), 6) AS gu FROM hi JOIN lo USING (i, j)",
         "curvature_distortion": " UNION ALL ".join(distorted),
         "sql_distances": _with(*(_pairs(f"p{t[0]}", t, _DISTANCE[kind]) for kind, t in _TABLE.items())) + "SELECT i, j, e.d AS euclid, s.d AS sphere, h.d AS hyper FROM pe e JOIN ps s USING (i, j) JOIN ph h USING (i, j) WHERE j = (i + 1) % (SELECT count(*) FROM u)",
         "norm_pairs": _with(HIGH_PAIRS) + "SELECT i, j, round(d, 6) AS d FROM hi",

@@ -176,7 +176,9 @@ def distance_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over all ordered pairs of what the distances of an embedding are off by."""
     h, e = pairs.all_pairs(points(spark, sf_dir)), pairs.all_pairs(hyp3(spark, sf_dir), -1.0).withColumnRenamed("d", "e")
     ratio = F.abs(F.pow(F.col("e") / F.col("d"), 2) - 1)
-    return h.join(e, ["i", "j"]).agg(F.sum(F.pow(F.col("e") - F.col("d"), 2)).alias("mse"), F.sum(ratio).alias("gu"))
+    squares = F.pow(F.col("e") - F.col("d"), 2)
+    # Sums of all pairs depend on their order in the last digits.
+    return h.join(e, ["i", "j"]).agg(F.round(F.sum(squares), 6).alias("mse"), F.round(F.sum(ratio), 6).alias("gu"))
 
 
 def curvature_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
