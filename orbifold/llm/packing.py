@@ -36,7 +36,7 @@ END_ID = 2
 #: Pieces of a class that are ranked together.
 RANK_ROWS = 500_000
 #: Characters that are encoded together.
-RUN_CHARS = 1_000_000
+RUN_CHARS = 2_000_000
 #: Column generation ends within this share of the least possible number of sequences.
 GAP = 2e-4
 #: Column generation ends after so many columns even if a better one is left; the packing stays valid.
@@ -62,6 +62,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = {t[0] for t in self.added}
+        self.plain_marks = not any(m.isalnum() or m in self.SIMPLE for m in self.marks)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
@@ -82,34 +83,45 @@ class WordIds(dict):
     def _alone(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cores(self, cores: list[str]) -> dict[str, np.ndarray]:
-        """Ids by core."""
+    def _cores(self, cores: list[str]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+        """The ``cores`` in another order, their ids one after another, and how many each has."""
         latin = [c for c in cores if c.isalpha() and c.isascii()] + [c for c in cores if not c.isascii() and c.isalpha() and max(c) <= "\xff"]
-        found: dict[str, np.ndarray] = {}
-        if latin:
-            ids = self._alone([" ".join(latin)])[0]
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(latin):
-                found = dict(zip(latin, np.split(ids, cuts[:-1]), strict=True))
-        rest = [c for c in cores if c not in found]
-        return found | dict(zip(rest, self._alone(rest), strict=True))
+        ids = self._alone([" ".join(latin)])[0]
+        lengths = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+        if len(lengths) != len(latin):
+            latin, ids, lengths = [], ids[:0], lengths[:0]
+        known = set(latin)
+        rest = [c for c in cores if c not in known]
+        apart = self._alone(rest)
+        return latin + rest, [ids, *apart], np.append(lengths, np.fromiter(map(len, apart), np.int64, len(apart)))
+
+    def _part(self, piece: str) -> tuple[str, str]:
+        """Core and tail of a piece."""
+        core = piece.rstrip(self.SIMPLE)
+        plain = self.plain_marks and core.isalnum()  # so it holds no mark
+        if not plain:
+            plain = core and core[-1].isalnum()
+            if plain and any(m in piece for m in self.marks):  # added tokens are told by their case
+                plain = not any(t in piece.lower() for t in self.added)
+            if not plain:
+                return piece, ""
+        return core.lower() if core.isascii() else core, piece[len(core) :]
 
     def _learn(self) -> None:
-        parts = []
-        for p in self.new:
-            core = p.rstrip(self.SIMPLE)
-            plain = core and core[-1].isalnum()
-            if plain and any(m in p for m in self.marks):  # added tokens are told by their case
-                plain = not any(t in p.lower() for t in self.added)
-            parts.append((core.lower() if core.isascii() else core, p[len(core) :]) if plain else (p, ""))
-        cores = self._cores(list(dict.fromkeys(c for c, _ in parts)))
-        tails = [t for t in {t for _, t in parts} if t not in self.tails]
-        self.tails |= dict(zip(tails, self._alone(tails), strict=True))
-        pieces = [x for c, t in parts for x in (cores[c], self.tails[t])]
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)).reshape(-1, 2).sum(axis=1)
-        self.start = np.append(self.start, len(self.flat) + np.cumsum(lengths) - lengths)
-        self.length = np.append(self.length, lengths)
-        self.flat = np.concatenate([self.flat, *pieces])
+        parts = list(map(self._part, self.new))
+        cores, ids, lengths = self._cores(list(dict.fromkeys(c for c, _ in parts)))
+        ends = list(dict.fromkeys(t for _, t in parts))
+        unseen = [t for t in ends if t not in self.tails]
+        self.tails |= dict(zip(unseen, self._alone(unseen), strict=True))
+        ids = np.concatenate([*ids, *(self.tails[t] for t in ends)])
+        lengths = np.append(lengths, [len(self.tails[t]) for t in ends]).astype(np.int64)
+        core, end = ({x: k for k, x in enumerate(xs)} for xs in (cores, ends))
+        numbers = np.array([(core[c], end[t]) for c, t in parts], np.int64).reshape(-1, 2) + [0, len(cores)]
+        starts = np.cumsum(lengths) - lengths
+        of = lengths[numbers].sum(axis=1)
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(of) - of)
+        self.length = np.append(self.length, of)
+        self.flat = np.append(self.flat, strung(ids, starts[numbers.ravel()], lengths[numbers.ravel()]))
         self.new = []
         if len(self.tails) > 10_000:
             self.tails.clear()
@@ -122,13 +134,13 @@ class WordIds(dict):
         numbers = [np.fromiter(map(self.__getitem__, p), np.int64, len(p)) for p in pieces]
         if self.new:
             self._learn()
-        out = []
-        for k in numbers:
-            lengths = self.length[k]
-            ends = np.cumsum(lengths)
-            at = np.repeat(self.start[k] - ends + lengths, lengths) + np.arange(ends[-1])
-            out.append(self.flat[at])
-        return out
+        return [strung(self.flat, self.start[k], self.length[k]) for k in numbers]
+
+
+def strung(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with these starts and lengths, one after another."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, keep_ids: bool = False, kept: int = WordIds.KEPT) -> DataFrame:
