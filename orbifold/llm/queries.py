@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, near_dup, packing, pii, quality, topk, toxicity, vector_dup, warc
+from . import clusters, lexical, licenses, mixing, near_dup, packing, pii, quality, topk, toxicity, url_filter, vector_dup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +59,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_near_dup": op4_near_dup, "op5_vector_dup": op5_vector_dup, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_topk": op9_topk, "op10_quality": op10_quality}
+    return {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_near_dup": op4_near_dup, "op5_vector_dup": op5_vector_dup, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_topk": op9_topk, "op10_quality": op10_quality, "op11_lexical": op11_lexical, "op12_clusters": op12_clusters, "op13_url_filter": op13_url_filter}
 
 
 WARC_SQL = """
@@ -84,6 +96,56 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+LEXICAL_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT i, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT i, doc_id, term, count(*) AS tf FROM t GROUP BY i, doc_id, term),
+l AS (SELECT i, sum(tf)::BIGINT AS n FROM c GROUP BY i),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM l),
+m AS (SELECT i, 100 - 25 + ((25 * n * docs) // total) AS m FROM l, g),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, g GROUP BY term),
+b AS (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM b)
+  GROUP BY item_id, term
+), s AS (
+  SELECT item_id, i, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN c USING (term) JOIN m USING (i) GROUP BY item_id, i, doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+def cluster_sql(k: int = 40, rounds: int = 5, seed: int = 2, dim: int = 64) -> str:
+    """Rounds one after another: the assignment, then the new centroids."""
+    parts = [f"""x AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, [floor(256 * c::DOUBLE)::BIGINT for c in embedding] AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS cluster, v FROM x
+  QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) <= {k}
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT row, vec_id, x.v, min(struct_pack(d := list_sum([(x.v[i] - c.v[i]) * (x.v[i] - c.v[i]) for i in range(1, {dim + 1})])::BIGINT, cluster := c.cluster)) AS best
+  FROM x CROSS JOIN c{r} AS c GROUP BY row, vec_id, x.v
+)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.v, c.v) AS v FROM c{r} AS c LEFT JOIN (
+    SELECT cluster, list(m ORDER BY i) AS v FROM (
+      SELECT best.cluster AS cluster, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS m
+      FROM a{r}, range(1, {dim + 1}) AS t(i) GROUP BY best.cluster, i
+    ) GROUP BY cluster
+  ) AS m USING (cluster)
+)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, best.cluster::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.cluster)::BIGINT AS cluster_inertia,
+       sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c ON c.cluster = best.cluster
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": WARC_SQL, "op9_topk": TOPK_SQL}
+    return {"op7_warc": WARC_SQL, "op9_topk": TOPK_SQL, "op11_lexical": LEXICAL_SQL, "op12_clusters": cluster_sql()}
