@@ -18,17 +18,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orbifold.llm import mixing, near_dup, packing, pii, quality
-from orbifold.llm.common import small_batches, stored, table
+from orbifold.llm.common import Stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: No source is used more than twice; within that, the budget is the least with which every document is used.
-MIX = mixing.Mix(entropy=0.95, max_passes=2.0)
+#: Sources as even as can be with none used more than twice; the budget is the least with which every document is used.
+MIX = mixing.Mix(entropy=0.9999, max_passes=2.0)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    small_batches(spark)  # several stages share the executors' memory
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -66,7 +65,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = Stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if read:
+            read.discard()
+        docs, read = made.df, made
     return docs

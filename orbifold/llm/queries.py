@@ -17,8 +17,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-#: Target entropy and repetition limit of the mixing query; its budget is the least that leaves no document out.
-MIX = mixing.Mix(entropy=0.95, max_passes=4.0)
+#: Target entropy (above that of the tables' own shares) and repetition limit of the mixing query; its budget is the least
+#: that leaves no document out.
+MIX = mixing.Mix(entropy=0.9999, max_passes=4.0)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ import gzip
 import hashlib
 import io
 import math
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orbifold.llm import components as cc
-from orbifold.llm import mixing, near_dup, packing, topk, vector_dup, warc
+from orbifold.llm import mixing, near_dup, packing, queries, topk, vector_dup, warc
+from orbifold.storage import shared_path
 
 from .conftest import DOCS, prose
 
@@ -251,3 +254,47 @@ def test_pipeline(spark, tmp_path):
     assert counts <= 2
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
     assert near_dup.SIMILARITY == 0.8
+
+
+def test_mixing_query_tempers_shares(spark):
+    """The registered query on a whole table, against plain sums: an exponent between 0 and 1, repeats, and a block that is split."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").collect()
+    size = {r.doc_id: max(1, len(re.split(r"[ \t\n\x0b\f\r]+", (r.text or "").strip(" ")))) for r in docs}
+    source = {r.doc_id: r.source for r in docs}
+    tokens = {s: sum(size[i] for i, x in source.items() if x == s) for s in set(source.values())}
+    w, exponent = mixing.weights(tokens, queries.MIX)
+    assert 0 < exponent < 1
+    budget = max(tokens[s] / x for s, x in w.items())
+    rows = queries.op2_mixing(spark, path).collect()
+    assert {r["pass"] for r in rows} > {0} and {r.doc_id for r in rows} == set(source)
+    split = 0
+    for s, n in tokens.items():
+        own = [r for r in rows if r.source == s]
+        whole = int(budget * w[s] / n + 1e-9)
+        assert all(abs(r.weight - w[s]) < 1e-12 for r in own)
+        for k in range(whole):
+            assert sorted(r.doc_id for r in own if r["pass"] == k) == sorted(i for i, x in source.items() if x == s)
+        last = [r for r in own if r["pass"] == whole]
+        left = budget * w[s] - whole * n
+        assert left - 1e-3 <= sum(size[r.doc_id] for r in last) < left + max(size.values())
+        by = {}
+        for r in last:
+            by.setdefault((r.order, r.block), set()).add(r.doc_id)
+        for (_, b), ids in sorted(by.items())[:-1]:
+            assert ids == {r.doc_id for r in own if r["pass"] == 0 and r.block == b}
+        if by and len(max(by.items())[1]) < len({r.doc_id for r in own if r["pass"] == 0 and r.block == max(by)[1]}):
+            split += 1
+        assert max((r["pass"] for r in own), default=0) <= whole
+    assert max(r["pass"] for r in rows) <= 4
+
+
+def test_pipeline_leaves_the_session_as_it_was(spark):
+    import corpus_pipeline
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    files = shared_path(spark, "x").rpartition("/")[0].removeprefix("file:")
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and {k: spark.conf.get(k) for k in before} == before
+    assert [f.split("-")[1] for f in os.listdir(files) if f.startswith("stage-")].count("packing") >= 1
+    assert not [f for f in os.listdir(files) if f.startswith("stage-") and not f.startswith("stage-packing")]
