@@ -27,6 +27,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +155,12 @@ class WordIds(dict):
         return [strung(self.flat, self.start[k], self.length[k]) for k in numbers]
 
 
+@lru_cache(maxsize=1)
+def word_ids(tokenizer_path: str, kept: int) -> WordIds:
+    """The table of this process, which later tasks in it go on with."""
+    return WordIds(tokenizer_path, kept)
+
+
 def strung(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The stretches of ``flat`` with these starts and lengths, one after another."""
     ends = np.cumsum(length)
@@ -166,7 +173,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
     unit = -(-sequence // classes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path, kept)
+        words = word_ids(tokenizer_path, kept)
         for batch in batches:
             out: list[list] = [[] for _ in names]
 
