@@ -17,6 +17,7 @@ spans, and repeated rows and ids stay as they are. An empty table gives an empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,6 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
 from .common import unused
 
 _MAIL = "[A-Za-z0-9._%+-]"
@@ -52,6 +54,45 @@ EXAMPLES, TREES, DEPTH = 4_000, 12, 3
 #: Share of true spans that a calibrated threshold keeps to among the held-out candidates of its kind.
 PRECISION = 0.95
 _BLOCK = 256
+#: Code points of the chunks that long texts are cut into, so that no place is sought from the beginning.
+CHUNK = 4_096
+_SPAN = "struct<s:int,k:int,kind:string,e:int,base:boolean>"
+
+
+def _blocks(items: Column) -> Column:
+    """The items (at least one, a column or bound by ``let``) in blocks: an array that grows by one item at a time costs its whole length each time."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int")), lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+
+def _scanned(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step`` (state, item) -> (state, array<kind>) adds for each of the items (at least one), in their order."""
+
+    def one(s: Column, x: Column) -> Column:
+        after, more = step(s["st"], x)
+        return F.struct(after.alias("st"), F.concat(s["a"], more).alias("a"))
+
+    def block(s: Column, items: Column) -> Column:
+        start = F.struct(s["st"].alias("st"), F.array().cast(f"array<{kind}>").alias("a"))
+        return let(F.aggregate(items, start, one), lambda t: F.struct(t["st"].alias("st"), F.concat(s["a"], F.array(t["a"])).alias("a")))
+
+    start = F.struct(state.alias("st"), F.array().cast(f"array<array<{kind}>>").alias("a"))
+    return let(items, lambda items: F.aggregate(_blocks(items), start, block, lambda s: F.flatten(s["a"])))
+
+
+def _chunks(text: Column) -> Column:
+    """The chunks of a long text; null for others."""
+    return F.when(F.length(text) > 2 * CHUNK, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+
+
+def _between(text: Column, chunks: Column | None, start: Column, end: Column) -> Column:
+    """The code points of a text from ``start`` to ``end``."""
+    plain = F.substring(text, start + 1, end - start)
+    if chunks is None:
+        return plain
+    i, j = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    of = lambda k: F.coalesce(F.try_element_at(chunks, k + 1), F.lit(""))
+    over = F.concat(F.substring(of(i), start % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, j - i - 1), ""), F.substring(of(j), F.lit(1), end % CHUNK))
+    return F.when(chunks.isNull(), plain).when(i == j, F.substring(of(i), start % CHUNK + 1, end - start)).otherwise(over)
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
@@ -74,7 +115,7 @@ def _matches(text: Column, pattern: str, possible: Column) -> Column:
         )
 
     def in_blocks(steps: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")), lambda b: F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)))
+        blocks = _blocks(steps)
         offsets = F.aggregate(
             blocks,
             F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("a")),
@@ -83,8 +124,11 @@ def _matches(text: Column, pattern: str, possible: Column) -> Column:
         )
         return F.flatten(F.zip_with(blocks, offsets, placed))
 
-    small = F.size(steps) <= _BLOCK
-    return F.when(F.size(steps) > 0, F.when(small, placed(steps, F.lit(0))).otherwise(in_blocks(steps))).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    def spans(steps: Column) -> Column:
+        short = F.when(F.size(steps) <= _BLOCK, placed(steps, F.lit(0))).otherwise(in_blocks(steps))
+        return F.when(F.size(steps) > 0, short).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+
+    return let(steps, spans)  # found once, however often they are looked at
 
 
 def _luhn(digits: Column) -> Column:
@@ -113,10 +157,13 @@ def _share(m: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(m, f"[^{chars}]", "")) / F.length(m)
 
 
-def _features(x: Column, text: Column, generator: int) -> Column:
+def _features(x: Column, text: Column, generator: int, chunks: Column | None) -> Column:
     """Format and context features of a candidate (s, e, m)."""
-    m = x["m"]
-    before = F.lower(F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))))
+    before = F.lower(_between(text, chunks, F.greatest(x["s"] - CONTEXT, F.lit(0)), x["s"]))
+    return let(before, lambda before: _told(x["m"], before, generator))
+
+
+def _told(m: Column, before: Column, generator: int) -> Column:
     flag = lambda c: c.cast("double")
     return F.array(
         F.lit(float(generator)),
@@ -137,14 +184,14 @@ def _features(x: Column, text: Column, generator: int) -> Column:
     )
 
 
-def _candidates(text: Column) -> Column:
-    """array<struct<kind, s, e, f>> of all generators."""
+def _candidates(text: Column, chunks: Column | None = None) -> Column:
+    """array<struct<kind, s, e, f>> of all generators; ``chunks`` are those of the text, if known."""
 
     def part(g: int, kind: str, pattern: str) -> Column:
         possible = text.rlike("[0-9]") if kind != "email" else text.rlike(r"(?i)[\[(]at[\])]")
         return F.transform(
             _matches(text, pattern, possible),
-            lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _features(x, text, g).alias("f")),
+            lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _features(x, text, g, chunks).alias("f")),
         )
 
     return F.concat(*(part(g, *x) for g, x in enumerate(LOOSE)))
@@ -254,12 +301,13 @@ def fit_spans(spark: SparkSession) -> SpanModel:
 def find_spans(docs: DataFrame, model: SpanModel, name: str = "pii_spans") -> DataFrame:
     """``docs`` with a column ``name``: array<struct<s int, k int, kind string, e int, base boolean>>, by start and kind.
 
-    A column of that name is replaced. Candidates are taken in order of start, kind and end, one pass over them: one
-    stays where no fixed-format span and no candidate that stayed before it overlaps it."""
+    A column of that name is replaced. Candidates are taken in order of start, kind and end: one stays where no
+    fixed-format span and no candidate that stayed before it overlaps it. Both are found in one pass over sorted spans,
+    so time grows with the number of spans but for the sort."""
     kept = [c for c in docs.columns if c.lower() != name.lower()]
-    text_, fixed_, loose_, free_ = unused([*kept, name], "text_", "fixed_", "loose_", "free_")
+    text_, chunks_, fixed_, loose_, free_ = unused([*kept, name], "text_", "chunks_", "fixed_", "loose_", "free_")
     text = F.col(text_)
-    rows = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text_))
+    rows = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text_)).withColumn(chunks_, _chunks(text))
 
     def fixed(kind: str, pattern: str, needs: str) -> Column:
         possible = F.contains(text, F.lit(needs)) if needs else F.lit(True)
@@ -268,17 +316,18 @@ def find_spans(docs: DataFrame, model: SpanModel, name: str = "pii_spans") -> Da
 
     rows = rows.withColumn(fixed_, F.concat(*(fixed(kind, *how) for kind, how in BASE.items())))
     limit = F.create_map(*(F.lit(v) for k in KINDS for v in (k, model.thresholds[k])))
-    accepted = F.filter(_candidates(text), lambda c: model.score(c["f"]) >= limit[c["kind"]])
+    accepted = F.filter(_candidates(text, F.col(chunks_)), lambda c: model.score(c["f"]) >= limit[c["kind"]])
     order = F.create_map(*(F.lit(v) for i, k in enumerate(KINDS) for v in (k, i)))
     rows = rows.withColumn(loose_, F.transform(accepted, lambda c: F.struct(c["s"].alias("s"), order[c["kind"]].alias("k"), c["kind"].alias("kind"), c["e"].alias("e"), F.lit(False).alias("base"))))
-    clear = F.filter(loose_, lambda c: ~F.exists(fixed_, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    rows = rows.withColumn(free_, F.when(F.size(loose_) > 0, F.array_sort(clear)).otherwise(F.col(loose_)))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(dict(rows.dtypes)[free_]).alias("a"))
-    taken = F.aggregate(
-        free_, start, lambda s, x: F.when(x["s"] >= s["end"], F.struct(x["e"].alias("end"), F.concat(s["a"], F.array(x)).alias("a"))).otherwise(s), lambda s: s["a"]
-    )
+    # Fixed spans by start and candidates by end, in one order: those a candidate may overlap come before it.
+    place = lambda x, key, turn: F.struct(key.alias("key"), F.lit(turn).alias("turn"), x.alias("x"))
+    both = F.sort_array(F.concat(F.transform(fixed_, lambda b: place(b, b["s"], 1)), F.transform(loose_, lambda c: place(c, c["e"], 0))))
+    none = F.array().cast(f"array<{_SPAN}>")
+    clear = _scanned(both, F.lit(0), _SPAN, lambda end, y: (F.when(y["turn"] == 1, F.greatest(end, y["x"]["e"])).otherwise(end), F.when((y["turn"] == 0) & (end <= y["x"]["s"]), F.array(y["x"])).otherwise(none)))
+    rows = rows.withColumn(free_, F.when(F.size(loose_) > 0, F.sort_array(clear)).otherwise(F.col(loose_)))
+    taken = _scanned(F.col(free_), F.lit(0), _SPAN, lambda end, x: (F.when(x["s"] >= end, x["e"]).otherwise(end), F.when(x["s"] >= end, F.array(x)).otherwise(none)))
     spans = F.when(F.size(free_) > 0, F.concat(F.col(fixed_), taken)).otherwise(F.col(fixed_))
-    return rows.withColumn(name, F.array_sort(spans)).select(*kept, name)
+    return rows.withColumn(name, F.sort_array(spans)).select(*kept, name)
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -296,16 +345,16 @@ def redact(docs: DataFrame, mask: str = "[{}]") -> DataFrame:
     """``docs``, same rows and columns, with every span replaced by its kind; n_chars follows where there is one.
 
     Of spans that overlap the one that starts first is replaced, and the rest of the others with it."""
-    spans = unused(docs.columns, "pii_spans")[0]
-    rows = find_spans(docs, fit_spans(docs.sparkSession), spans)
-    state = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("a"))
+    spans, chunks = unused(docs.columns, "pii_spans", "chunks_")
+    rows = find_spans(docs, fit_spans(docs.sparkSession), spans).withColumn(chunks, _chunks(F.col("text")))
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), s["p"] + 1, F.greatest(x["s"] - s["p"], F.lit(0)))
-        tag = F.when(x["s"] >= s["p"], F.format_string(mask.replace("{}", "%s"), F.upper(x["kind"]))).otherwise("")
-        return F.struct(F.greatest(s["p"], x["e"]).alias("p"), F.concat(s["a"], F.array(F.concat(gap, tag))).alias("a"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        gap = _between(F.col("text"), F.col(chunks), at, F.greatest(x["s"], at))
+        tag = F.when(x["s"] >= at, F.format_string(mask.replace("{}", "%s"), F.upper(x["kind"]))).otherwise("")
+        return F.greatest(at, x["e"]), F.array(F.concat(gap, tag))
 
-    done = F.aggregate(spans, state, step, lambda s: F.concat(F.array_join(s["a"], ""), F.substring(F.col("text"), s["p"] + 1, F.length("text"))))
+    last = F.array_max(F.transform(spans, lambda x: x["e"]))
+    done = F.concat(F.array_join(_scanned(F.col(spans), F.lit(0), "string", step), ""), F.substring(F.col("text"), last + 1, F.length("text")))
     text = F.when(F.size(spans) > 0, done).otherwise(F.col("text"))
     out = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
