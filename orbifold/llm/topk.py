@@ -4,8 +4,9 @@ Components x become floor(1024 x). The splits of a ball tree over a bounded samp
 centres and exact radii the tasks get; cells of more than :data:`SHARD` rows are cut into shards. Queries go out in
 :data:`WAVES`: first to the cell of greatest upper bound ``q.c + |q| r``, then to the next few, then to all others, and
 only to cells whose bound reaches the query's k-th score so far. A task holds one shard and the queries sent there (at
-most a block of :data:`QUERIES`), builds a ball tree over the shard and searches it for each query from the node of
-greatest bound on, until no bound reaches the k-th score.
+most a block of :data:`QUERIES`), builds a ball tree over the shard and bounds its nodes for some queries at a time; each
+query takes leaves in the order of its own bounds, in :data:`TURNS`, and none whose bound does not reach its k-th score.
+The queries that take a leaf in the same turn are multiplied with its vectors together.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; components of
 :data:`LARGEST` or more in size count as non-finite. Empty vectors score 0 with one another. Vectors are compared with
@@ -17,7 +18,6 @@ empty result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +36,8 @@ CELL, CELLS, SAMPLE = 4_096, 1_024, 8_192
 LENGTHS, OTHER_SHARDS = 8, 64
 #: Places in the order of bounds at which the waves of cells end.
 WAVES = (1, 8, None)
+#: Queries that a task bounds at once, and places in a query's order of leaves at which turns end.
+TOGETHER, TURNS = 512, (1, 4, 16, None)
 SCALE, LARGEST = 1024, 1e150
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -85,34 +87,53 @@ def products(x: np.ndarray, q: np.ndarray) -> list[int]:
     return [max(_LOW, min(_HIGH, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in x.tolist()]
 
 
-def search(tree: Ball, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, least: int | None) -> list[tuple[int, int]]:
-    """The k best (score, id) of the tree for query ``q``, best first; those below ``least`` may be missing."""
-    best: list[tuple[int, int]] = []  # a heap of (score, -id): its first is the current k-th
-    count = 0
-
-    def bound(ball: Ball) -> float:
-        return float(upper_bounds(ball.centre, ball.radius, q))
-
-    heap = [(-bound(tree), count, tree)]
-    while heap:
-        u, _, ball = heapq.heappop(heap)
-        kth = best[0][0] if len(best) == k else None
-        reach = max(v for v in (kth, least, -math.inf) if v is not None)
-        if -u < reach:
-            break
-        if ball.children:
-            for child in ball.children:
-                count += 1
-                heapq.heappush(heap, (-bound(child), count, child))
-            continue
-        for s, i in zip(products(x[ball.rows], q), ids[ball.rows].tolist(), strict=True):
-            if s < reach or i == own:
+def leaf_bounds(tree: Ball, q: np.ndarray) -> tuple[list[Ball], np.ndarray]:
+    """The leaves, and for each query (a row of ``q``) upper bounds of its products with them: a leaf has no more than the
+    nodes above it."""
+    norm, leaves, bounds = np.sqrt((q * q).sum(axis=1)), [], []
+
+    def go(ball: Ball, above: np.ndarray) -> None:
+        u = q @ ball.centre
+        far = norm * ball.radius
+        u = np.minimum(above, u + far + 1e-9 * (np.abs(u) + far) + 1e-11 * norm * math.sqrt(float(ball.centre @ ball.centre)) + 1e-3)
+        for child in ball.children or ():
+            go(child, u)
+        if not ball.children:
+            leaves.append(ball)
+            bounds.append(u)
+
+    go(tree, np.full(len(q), np.inf))
+    return leaves, np.stack(bounds, axis=1)
+
+
+def search(tree: Ball, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of ``q``, ids, scores) of the k best vectors of the tree for each query; those below ``least`` may be missing."""
+    leaves, bounds = leaf_bounds(tree, q)
+    place = np.empty(bounds.shape, np.int64)
+    np.put_along_axis(place, np.argsort(-bounds, axis=1, kind="stable"), np.broadcast_to(np.arange(len(leaves)), bounds.shape), axis=1)
+    reach = least.copy()
+    score, found, has = np.full((len(q), k), _LOW), np.zeros((len(q), k), np.int64), np.zeros((len(q), k), bool)
+    narrow = x.size and x.shape[1] * float(np.abs(x).max()) * float(np.abs(q).max()) < 2.0**53
+    first = 0
+    for last in TURNS:
+        for n, leaf in enumerate(leaves):
+            rows = np.flatnonzero((place[:, n] >= first) & (place[:, n] < (last or len(leaves))) & (bounds[:, n] >= reach.astype(float)))
+            if not len(rows):
                 continue
-            if len(best) < k:
-                heapq.heappush(best, (s, -i))
-            elif (s, -i) > best[0]:
-                heapq.heapreplace(best, (s, -i))
-    return [(s, -i) for s, i in sorted(best, reverse=True)]
+            members, points = ids[leaf.rows], x[leaf.rows]
+            s = (q[rows] @ points.T).astype(np.int64) if narrow else np.array([products(points, q[r]) for r in rows], np.int64)
+            counts = (s >= reach[rows, None]) & (members != own[rows, None])
+            better = counts.any(axis=1)
+            rows, s, counts = rows[better], s[better], counts[better]
+            if len(rows):
+                every = np.concatenate([score[rows], s], axis=1), np.concatenate([found[rows], np.broadcast_to(members, s.shape)], axis=1), np.concatenate([has[rows], counts], axis=1)
+                order = np.lexsort((every[1], ~every[0], ~every[2]), axis=1)[:, :k]  # what counts, by falling score and rising id
+                score[rows], found[rows], has[rows] = (np.take_along_axis(e, order, axis=1) for e in every)
+                full = rows[has[rows, k - 1]]
+                reach[full] = np.maximum(reach[full], score[full, k - 1])
+        first = last or first
+    rows, at = np.nonzero(has)
+    return rows, found[rows, at], score[rows, at]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -201,14 +222,16 @@ def routed(asked: DataFrame, cells: dict[int, Cells], sizes: dict[tuple[int, int
 
 def _searched(k: int):
     def task(queries: pa.Table, shard: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
+        found = [(np.zeros(0, np.int64),) * 3]
         if queries.num_rows and shard.num_rows:
             x, ids = matrix(shard["v"].combine_chunks()), shard["vec_id"].to_numpy()
             tree = ball_tree(x)
-            for q, own, least in zip(matrix(queries["v"].combine_chunks()), queries["vec_id"].to_pylist(), queries["least"].to_pylist(), strict=True):
-                found += [(own, i, s) for s, i in search(tree, x, ids, q, own, k, least)]
-        columns = zip(*found, strict=True) if found else ([], [], [])
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+            q, own, least = matrix(queries["v"].combine_chunks()), queries["vec_id"].to_numpy(), queries["least"].fill_null(_LOW).to_numpy()
+            for at in range(0, len(q), TOGETHER):
+                s = slice(at, at + TOGETHER)
+                rows, others, scores = search(tree, x, ids, q[s], own[s], k, least[s])
+                found.append((own[s][rows], others, scores))
+        return pa.table({n: pa.array(np.concatenate(c), pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
     return task
 
