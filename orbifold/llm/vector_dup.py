@@ -5,7 +5,7 @@ lose least (iterative quantisation), and each bit is cut at the sample's median,
 is indexed in several tables, each keyed by a stretch of a code. Pairs at the threshold are made of sampled vectors,
 and tables, from as many rotations as that needs, are added until the share :data:`RECALL` of these pairs has met in
 one; they are as wide as costs least. The radius in which the Hamming distances of nearly all made pairs
-(:data:`WITHIN`) lie is taken for the search.
+(:data:`WITHIN`) lie is taken for the search. With ``exact`` every label is compared whole, which misses nothing.
 
 Tables hold ids and codes of 8 bytes. Buckets are cut into blocks; a task searches two of them for codes within
 the radius, and only vectors that have such a neighbour are sent to the bucket, once for each, and
@@ -41,7 +41,8 @@ RECALL, PROBES = 0.985, 2_000
 WITHIN = 0.998
 #: Comparisons that take as long as moving a vector to a bucket.
 MOVE = 2_000
-BLOCK = 1024
+#: Vectors of a bucket that a task compares with as many others, and those of them at a time.
+BLOCK, TOGETHER = 4_096, 256
 
 
 def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +126,11 @@ def least_width(codes: np.ndarray, labels: np.ndarray, equal: np.ndarray, most:
 class Tables:
     """The keys of a vector in each table."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray, most: int, cosine: float) -> None:
+    def __init__(self, x: np.ndarray, labels: np.ndarray, most: int, cosine: float, exact: bool = False) -> None:
         bits = x.shape[1]
         a, y = made_pairs(x, cosine)
         self.maps = [learn_rotation(x, bits, 0)]
-        self.width = least_width(signs(self.maps[0], x), labels, (signs(self.maps[0], a) == signs(self.maps[0], y)).mean(axis=1), most)
+        self.width = 0 if exact else least_width(signs(self.maps[0], x), labels, (signs(self.maps[0], a) == signs(self.maps[0], y)).mean(axis=1), most)
         apart = (signs(self.maps[0], a)[:, :64] != signs(self.maps[0], y)[:, :64]).sum(axis=1)
         self.radius = int(max(np.quantile(part, WITHIN, method="higher") for part in (apart[:PROBES], apart[PROBES:])))
         self.number, met = 0, np.zeros(len(a), bool)
@@ -159,7 +160,7 @@ def units(vectors: list[list[float]]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def linked_vectors(vectors: DataFrame, cosine: float = COSINE, exact: bool = False) -> DataFrame:
     """One row (vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -174,7 +175,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         most = same.groupBy("label").count().agg(F.max("count").alias("m")).first().m
         sample = same.orderBy(F.xxhash64(F.lit(5), "vec_id", "v"), "vec_id").limit(FIT_ROWS).select("v", F.col("label").cast("string").alias("label")).toArrow()
         x, labels = units(sample["v"].to_pylist()), np.array(sample["label"].to_pylist())
-        tables = in_task(rows.sparkSession, lambda x=x, labels=labels, most=most: Tables(x, labels, most, cosine))
+        tables = in_task(rows.sparkSession, lambda x=x, labels=labels, most=most: Tables(x, labels, most, cosine, exact))
         found.append(_compared(same, tables, cosine))
     if not found:
         counts, pairs = None, None
@@ -216,47 +217,44 @@ def _compared(groups: DataFrame, tables: Tables, cosine: float) -> DataFrame:
         side = group["side"].to_numpy()
         return (np.arange(len(side)),) * 2 if group["own"][0].as_py() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
 
-    def near(group: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        code = group["code"].to_numpy().view(np.uint64)
-        return np.bitwise_count(code[left][:, None] ^ code[right][None, :]) <= tables.radius
+    def near(code: np.ndarray, some: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(code[some][:, None] ^ code[right][None, :]) <= tables.radius
 
     def search(group: pa.Table) -> pa.Table:
         left, right = sides(group)
-        close = near(group, left, right)
-        if group["own"][0].as_py():
-            np.fill_diagonal(close, False)
-        rows = np.unique(np.concatenate([left[close.any(axis=1)], right[close.any(axis=0)]]))
-        return group.select(["id", "label", "table", "key"]).take(pa.array(rows))
+        code, found = group["code"].to_numpy().view(np.uint64), np.zeros(group.num_rows, bool)
+        for at in range(0, len(left), TOGETHER):
+            some = left[at : at + TOGETHER]
+            close = near(code, some, right) & (some[:, None] != right[None, :])
+            found[some] |= close.any(axis=1)
+            found[right] |= close.any(axis=0)
+        return group.select(["id", "label", "table", "key"]).take(pa.array(np.flatnonzero(found)))
 
     def compare(group: pa.Table) -> pa.Table:
         ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
         own, table = group["own"][0].as_py(), group["table"][0].as_py()
         left, right = sides(group)
-        x, keys = units(group["v"].to_pylist()), np.array(group["keys"].to_pylist(), np.int64)
-        linked = x[left] @ x[right].T >= cosine
-        if tables.width:
-            linked &= near(group, left, right)
-        i, j = np.nonzero(linked)
-        keep = (left[i] < right[j]) if own else np.ones(len(i), bool)
-        i, j = left[i[keep]], right[j[keep]]
-        first = np.ones(len(i), bool)
-        for t in range(table):  # a pair that met in an earlier table was counted there
-            first &= keys[i, t] != keys[j, t]
-        i, j = i[first], j[first]
-        n = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        parent = list(range(len(ids)))
-
-        def root(a: int) -> int:
-            while parent[a] != a:
-                parent[a] = a = parent[parent[a]]
-            return a
-
-        joins = []
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = root(a), root(b)
-            if p != q:
-                parent[p] = q
-                joins.append((a, b))
+        x, keys, code = units(group["v"].to_pylist()), np.array(group["keys"].to_pylist(), np.int64), group["code"].to_numpy().view(np.uint64)
+        n, part, joins = np.zeros(len(ids)), np.arange(len(ids)), []
+        for at in range(0, len(left), TOGETHER):
+            some = left[at : at + TOGETHER]
+            linked = x[some] @ x[right].T >= cosine
+            if tables.width:
+                linked &= near(code, some, right)
+            i, j = np.nonzero(linked)
+            i, j = some[i], right[j]
+            first = i < j if own else np.ones(len(i), bool)
+            for t in range(table):  # a pair that met in an earlier table was counted there
+                first &= keys[i, t] != keys[j, t]
+            i, j = i[first], j[first]
+            n += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+            ends = np.flatnonzero(np.append(i[1:] != i[:-1], True)) + 1 if len(i) else []
+            for start, end in zip([0, *ends[:-1]], ends, strict=False):  # the links of one vector
+                parts, where = np.unique(part[j[start:end]], return_index=True)
+                for p, w in zip(parts, where, strict=True):
+                    if p != part[i[start]]:
+                        joins.append((i[start], j[start + w]))
+                        part[part == p] = part[i[start]]
         at = np.flatnonzero(n)
         a, b = np.array(joins, np.int64).reshape(-1, 2).T
         return pa.table(

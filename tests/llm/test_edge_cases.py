@@ -250,3 +250,36 @@ def test_pipeline_of_odd_rows(spark, tmp_path, rows):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == {r[0] for r in rows} - {4}  # a copy of document 3 with a greater id
+
+
+def test_tens_of_thousands_of_spans_in_one_text(spark):
+    model = pii.SpanModel(((1.0, 1.0),), dict.fromkeys(pii.KINDS, 0.0))
+    text = " ".join(f"key{k:05d}abc ü u{k}@host.host.org" for k in range(25_000))
+    start = time.time()
+    spans = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().pii_spans
+    assert len(spans) == 50_000 and time.time() - start < 60
+
+
+def test_long_texts_are_redacted_as_short_ones(spark):
+    rng = random.Random(11)
+    parts = [rng.choice(["mail a.b@c.org now", "é" * rng.randint(1, 9_000), "𝔘 1.2.3.4", 'token = "24be64439e3e49cf24be6443"', prose(rng, 50)]) for _ in range(60)]
+    docs = spark.createDataFrame([(0, " ".join(parts)), *enumerate(parts, 1)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert len(docs.first().text) > 60_000 and out[0] == " ".join(out[i] for i in range(1, 61))
+
+
+def test_close_vectors_and_exact_links(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.ones((900, 16)) + 0.05 * rng.normal(size=(900, 16)), rng.normal(size=(600, 16))])
+    rows = vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.93
+    np.fill_diagonal(links, False)
+    monkeypatch.setattr(vector_dup, "BLOCK", 100)
+    monkeypatch.setattr(vector_dup, "TOGETHER", 30)
+    for move, exact in ((1, True), (1, False)):
+        monkeypatch.setattr(vector_dup, "MOVE", move)
+        got = {r.vec_id: r for r in vector_dup.linked_vectors(rows, exact=exact).collect()}
+        assert all(got[i].n_links == links[i].sum() for i in range(1500)) or not exact
+        assert sum(r.n_links for r in got.values()) >= 0.98 * links.sum() and all(got[i].n_links <= links[i].sum() for i in range(1500))
+        assert {got[i].component_id for i in range(900)} == {0} and {i for i, r in got.items() if r.kept} >= {0}
