@@ -42,6 +42,11 @@ class Space:
         """Number of coordinates of a point of the d-dimensional space."""
         return d if abs(self.k) <= FLAT else d + 1
 
+    def centred(self, points: DataFrame) -> DataFrame:
+        """``points`` moved so that their centre lies at the origin, or at the apex of the hyperboloid."""
+        mean = mean_vector(points)
+        return points if mean is None else points.withColumn("vec", self.recentred(F.col("vec"), mean))
+
 
 def _sums(x: np.ndarray, y: np.ndarray, term) -> np.ndarray:
     """Sum over coordinates, in order, of ``term`` of each pair: the same for (x, y) and (y, x)."""
@@ -74,10 +79,9 @@ class Euclidean(Space):
     def lift(self, s: Column) -> Column:
         return s
 
-    def centred(self, points: DataFrame) -> DataFrame:
+    def recentred(self, x: Column, mean: list[float]) -> Column:
         """The mean moved to the origin."""
-        mean = mean_vector(points)
-        return points if mean is None else points.withColumn("vec", combined(1.0, F.col("vec"), -1.0, literal(mean)))
+        return combined(1.0, x, -1.0, literal(mean))
 
     def pull(self, x: np.ndarray, y: np.ndarray, d: np.ndarray, a: np.ndarray) -> np.ndarray:
         """Gradient at the rows of x of the sum of a(i, j) d(i, j)."""
@@ -122,8 +126,8 @@ class Sphere(Space):
         most = math.sqrt(max(self.r2 - CLAMP, 0.0))
         return let(F.least(F.lit(1.0), most / F.greatest(norm(s), F.lit(1e-300))), lambda f: let(scaled(f, s), lambda t: F.concat(F.array(F.sqrt(self.r2 - dot(t, t))), t)))
 
-    def centred(self, points: DataFrame) -> DataFrame:
-        return points
+    def recentred(self, x: Column, mean: list[float]) -> Column:
+        return x
 
     def pull(self, x: np.ndarray, y: np.ndarray, d: np.ndarray, a: np.ndarray) -> np.ndarray:
         return self._weights(_sums(x, y, lambda p, q, c: p * q) / self.r2, a) @ y
@@ -170,23 +174,19 @@ class Hyperboloid(Space):
     def lift(self, s: Column) -> Column:
         return F.concat(F.array(F.sqrt(self.r2 + dot(s, s))), s)
 
-    def centred(self, points: DataFrame) -> DataFrame:
+    def recentred(self, x: Column, mean: list[float]) -> Column:
         """The boost that takes the normalised Lorentz centroid to the apex."""
-        mean = mean_vector(points)
-        if mean is None:
-            return points
         c = np.array(mean)
         square = c[0] ** 2 - (c[1:] ** 2).sum()
         if square <= 0:
             raise ValueError("the centroid is not time-like")
         c *= self.r / math.sqrt(square)
         if np.linalg.norm(c[1:]) <= 1e-10:
-            return points
+            return x
         # x0' = gamma (x0 - b.s); s' = s + ((gamma - 1) (b.s) / b.b - gamma x0) b, with b = c_s / c_0.
         b, gamma = c[1:] / c[0], c[0] / self.r
-        along = dot(spatial(F.col("vec")), literal(b.tolist()))
-        boosted = let(along, lambda p: combined(1.0, spatial(F.col("vec")), (gamma - 1) / float(b @ b) * p - gamma * F.col("vec")[0], literal(b.tolist())))
-        return points.withColumn("vec", let(boosted, self.lift))
+        along = dot(spatial(x), literal(b.tolist()))
+        return let(let(along, lambda p: combined(1.0, spatial(x), (gamma - 1) / float(b @ b) * p - gamma * x[0], literal(b.tolist()))), self.lift)
 
     def pull(self, x: np.ndarray, y: np.ndarray, d: np.ndarray, a: np.ndarray) -> np.ndarray:
         return self._weights(self._u(x, y), a) @ self._mirrored(y)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import let, total
-from .pairs import knn
+from .pairs import knn, nearest_of_pairs
 
 #: Bracket, start, tolerance and steps of the bandwidth bisection.
 LOW, HIGH, START, TOLERANCE, STEPS = 1e-10, 1e4, 1.0, 1e-5, 50
@@ -74,6 +74,4 @@ def affinities(points: DataFrame, perplexity: float = 30.0) -> DataFrame:
 def affinities_of_pairs(pairs: DataFrame, perplexity: float = 30.0) -> DataFrame:
     """The same for given distances (i, j, d)."""
     k = neighbours(pairs.select("i").distinct().count(), perplexity)
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    near = pairs.where("i <> j").withColumn("rank", rank).where(F.col("rank") <= k)
-    return symmetric(conditional(near, perplexity))
+    return symmetric(conditional(nearest_of_pairs(pairs, k), perplexity))

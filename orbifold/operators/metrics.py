@@ -7,7 +7,7 @@ denominators give 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import space
 from ..functions.vectors import dot
 from ..sources.registry import drawn
-from .pairs import Block, _between, knn, kth_distance, pair_blocks, ranks
+from ..storage import Stored
+from .pairs import Block, _between, knn, kth_distance, nearest_of_pairs, pair_blocks, ranks
 
 SMALL, FLOOR = 1e-12, 1e-10
 GRID = 100
@@ -27,18 +28,18 @@ def _value(df: DataFrame, value: Column) -> DataFrame:
     return df.agg(F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"))
 
 
-def trustworthiness(high: DataFrame, low: DataFrame, k: int = 10, curvature: float = 0.0) -> DataFrame:
-    """1 less the normalised ranks in ``high`` beyond k of the k nearest in ``low`` (by distance of ``curvature``)."""
-    near = knn(low, k, curvature).select("i", "j")
+def trustworthiness(high: DataFrame, low: DataFrame, k: int = 10, curvature: float = 0.0, near: DataFrame | None = None) -> DataFrame:
+    """1 less the normalised ranks in ``high`` beyond k of the k nearest in ``low`` (by distance of ``curvature``, or given)."""
+    near = (knn(low, k, curvature) if near is None else near).select("i", "j")
     n = high.agg(F.count("*").alias("n"))
     over = ranks(high, near).select(F.greatest(F.col("rank") - k, F.lit(0)).alias("over")).crossJoin(n)
     factor = 2 / (F.max("n") * k * (2 * F.max("n") - 3 * k - 1))
     return _value(over, 1 - factor * F.sum("over"))
 
 
-def continuity(high: DataFrame, low: DataFrame, k: int = 10) -> DataFrame:
-    """Trustworthiness with the roles of the spaces exchanged."""
-    return trustworthiness(low, high, k)
+def continuity(high: DataFrame, low: DataFrame, k: int = 10, near: DataFrame | None = None) -> DataFrame:
+    """Trustworthiness with the roles of the spaces exchanged; ``near`` are the k nearest in ``high``, if known."""
+    return trustworthiness(low, high, k, near=near)
 
 
 def knn_overlap(high: DataFrame, low: DataFrame, k: int = 10) -> DataFrame:
@@ -47,16 +48,20 @@ def knn_overlap(high: DataFrame, low: DataFrame, k: int = 10) -> DataFrame:
     k = min(k, n - 1)
     if k < 1:
         return _value(high, F.lit(0.0))
-    both = knn(high, k).select("i", "j").join(knn(low, k).select("i", "j"), ["i", "j"])
+    return overlap_of(knn(high, k), knn(low, k), n, k)
+
+
+def overlap_of(high: DataFrame, low: DataFrame, n: int, k: int) -> DataFrame:
+    """Mean share that two tables (i, j) of the k nearest of n points have in common."""
+    both = high.select("i", "j").join(low.select("i", "j"), ["i", "j"])
     return _value(both, F.count("*") / F.lit(float(n * k)))
 
 
-def distortion(high: DataFrame, low: DataFrame, kind: str = "gu", curvature: float = 0.0) -> DataFrame:
-    """Mean over pairs of |(e / h)^2 - 1| (gu) or (e - h)^2 (mse), e being distances in ``low``.
+def _both_distances(high: DataFrame, low: DataFrame, curvature: float, use: Callable[[np.ndarray, np.ndarray], dict[str, float]], names: str) -> DataFrame:
+    """(names..., n): what ``use`` makes of the distances in ``high`` and in ``low`` of the pairs i < j of two blocks, and their
+    number.
 
     Points carry both coordinates, so each pair's two distances are computed in the same task."""
-    if kind not in ("gu", "mse"):
-        raise ValueError(f"unknown distortion {kind!r}")
     at, flat = space(curvature), space(0.0)
     wide = high.select("id", "vec").join(low.select("id", F.col("vec").alias("e")), "id")
     split = wide.select("id", F.concat("vec", "e").alias("vec"))
@@ -67,10 +72,24 @@ def distortion(high: DataFrame, low: DataFrame, kind: str = "gu", curvature: flo
         own = a.ids[:, None] < b.ids[None, :]
         h, e = flat.distances(a.x[:, :d], b.x[:, :d])[own], at.distances(a.x[:, d:], b.x[:, d:])[own]
         with np.errstate(divide="ignore", invalid="ignore"):
-            x = np.abs((e / h) ** 2 - 1) if kind == "gu" else (e - h) ** 2
-        return pa.table({"s": [float(x.sum())], "n": [int(own.sum())]})
+            return pa.table({name: [value] for name, value in use(h, e).items()} | {"n": [int(own.sum())]})
+
+    return pair_blocks(split, work, f"{names}, n long")
+
+
+def distortion(high: DataFrame, low: DataFrame, kind: str = "gu", curvature: float = 0.0) -> DataFrame:
+    """Mean over pairs of |(e / h)^2 - 1| (gu) or (e - h)^2 (mse), e being distances in ``low``."""
+    if kind not in ("gu", "mse"):
+        raise ValueError(f"unknown distortion {kind!r}")
+    use = (lambda h, e: {"s": float(np.abs((e / h) ** 2 - 1).sum())}) if kind == "gu" else (lambda h, e: {"s": float(((e - h) ** 2).sum())})
+    return _value(_both_distances(high, low, curvature, use, "s double"), F.try_divide(F.sum("s"), F.sum("n")))
+
 
-    return _value(pair_blocks(split, work, "s double, n long"), F.try_divide(F.sum("s"), F.sum("n")))
+def distance_losses(high: DataFrame, low: DataFrame, curvature: float = 0.0) -> DataFrame:
+    """One row (gu, mse): over all pairs i < j, the sums of (e / (h + 1e-8) - 1)^2 and of (e - h)^2."""
+    use = lambda h, e: {"gu": float(((e / (h + 1e-8) - 1) ** 2).sum()), "mse": float(((e - h) ** 2).sum())}
+    parts = _both_distances(high, low, curvature, use, "gu double, mse double")
+    return parts.agg(F.coalesce(F.sum("gu"), F.lit(0.0)).alias("gu"), F.coalesce(F.sum("mse"), F.lit(0.0)).alias("mse"))
 
 
 def volume_distortion(high: DataFrame, low: DataFrame, k: int = 10, curvature: float = 0.0) -> DataFrame:
@@ -96,32 +115,97 @@ def convex_hull(xy: np.ndarray) -> np.ndarray:
     return np.array(chain(pts) + chain(pts[::-1]))
 
 
+def hull_facets(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(points without repeats, triples of them): the triangles around points in space, turned outwards; none if they lie flat.
+
+    Points are added one at a time: the triangles that see a new one give way to those between it and their rim."""
+    pts = np.unique(xyz, axis=0)
+    none = np.zeros((0, 3), np.int64)
+    if len(pts) < 4:
+        return pts, none
+    size = float(np.abs(pts - pts.mean(axis=0)).max())
+    a = 0
+    b = int(((pts - pts[a]) ** 2).sum(axis=1).argmax())
+    away = np.cross(pts - pts[a], pts[b] - pts[a])
+    c = int((away**2).sum(axis=1).argmax())
+    normal = np.cross(pts[b] - pts[a], pts[c] - pts[a])
+    off = (pts - pts[a]) @ normal
+    e = int(np.abs(off).argmax())
+    if abs(off[e]) <= 1e-12 * size**3:
+        return pts, none
+    if off[e] > 0:
+        b, c = c, b
+    tri = np.array([(a, b, c), (a, c, e), (c, b, e), (b, a, e)])
+
+    def planes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.cross(pts[t[:, 1]] - pts[t[:, 0]], pts[t[:, 2]] - pts[t[:, 0]])
+        n /= np.maximum(np.sqrt((n * n).sum(axis=1, keepdims=True)), 1e-300)
+        return n, (n * pts[t[:, 0]]).sum(axis=1)
+
+    n, o = planes(tri)
+    order = np.argsort(-((pts - pts.mean(axis=0)) ** 2).sum(axis=1), kind="stable")  # far ones first leave fewer to add
+    for p in order.tolist():
+        seen = n @ pts[p] - o > 1e-12 * size
+        if not seen.any():
+            continue
+        edges = tri[seen][:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2)
+        codes, back = edges[:, 0] * len(pts) + edges[:, 1], edges[:, 1] * len(pts) + edges[:, 0]
+        rim = edges[~np.isin(codes, back)]
+        new = np.column_stack([rim, np.full(len(rim), p)])
+        fresh = planes(new)
+        tri, n, o = np.concatenate([tri[~seen], new]), np.concatenate([n[~seen], fresh[0]]), np.concatenate([o[~seen], fresh[1]])
+    return pts, tri
+
+
+def hull_corners(x: np.ndarray) -> np.ndarray:
+    """Points on the hull of points of two or three dimensions; flat ones in space all count."""
+    if x.shape[1] == 2:
+        return convex_hull(x)
+    pts, tri = hull_facets(x)
+    return pts[np.unique(tri)] if len(tri) else pts
+
+
+def hull_share(x: np.ndarray) -> float:
+    """Area or volume of the hull by that of the bounding box."""
+    if len(x) <= x.shape[1]:
+        return 0.0
+    box = float(np.prod(np.ptp(x, axis=0)))
+    if box < SMALL:
+        return 0.0
+    if x.shape[1] == 2:
+        u, v = convex_hull(x).T
+        return float(abs((u * np.roll(v, -1) - np.roll(u, -1) * v).sum()) / 2 / box)
+    pts, tri = hull_facets(x)
+    a, b, c = (pts[tri[:, k]] - pts.mean(axis=0) for k in range(3))
+    return float(abs((a * np.cross(b, c)).sum()) / 6 / box)
+
+
 def area_utilisation(low: DataFrame) -> DataFrame:
-    """Area of the convex hull of the first two coordinates by that of the bounding box.
+    """Area (in space: volume) of the convex hull by that of the bounding box, for points of two or three coordinates.
 
-    Tasks reduce their points to hull corners, which are then few."""
+    Tasks reduce their points to hull corners, which are then few, unless all points lie on a curved surface."""
+    first = low.select(F.size("vec").alias("d")).first()
+    d = first.d if first else 2
+    if d not in (2, 3):
+        raise ValueError(f"no hull of {d} coordinates")
+    names = [f"x{k}" for k in range(d)]
 
-    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((0, 2))
+    def read(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        kept = np.empty((0, d))
         for batch in batches:
-            xy = np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1)
-            kept = convex_hull(np.concatenate([kept, xy]))
-        yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["x", "y"])
+            kept = hull_corners(np.concatenate([kept, np.stack([c.to_numpy() for c in batch.columns], axis=1)]))
+        return kept
 
-    def area(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hull = np.empty((0, 2))
-        for batch in batches:
-            hull = convex_hull(np.concatenate([hull, np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1)]))
-        value = 0.0
-        if len(hull) >= 3:
-            x, y = hull.T
-            box = np.ptp(x) * np.ptp(y)
-            value = float(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2 / box) if box >= SMALL else 0.0
-        yield pa.RecordBatch.from_arrays([pa.array([value])], ["value"])
-
-    xy = low.select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = read(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(kept[:, k]) for k in range(d)], names)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([hull_share(read(batches))])], ["value"])
+
+    rows = low.select(*(F.col("vec")[k].cast("double").alias(n) for k, n in enumerate(names)))
     # a shuffle, so that the corners are found where the points are and only they meet in one task
-    return _value(xy.mapInArrow(corners, "x double, y double").repartition(1).mapInArrow(area, "value double"), F.max("value"))
+    return _value(rows.mapInArrow(corners, ", ".join(f"{n} double" for n in names)).repartition(1).mapInArrow(share, "value double"), F.max("value"))
 
 
 def radial_distribution(low: DataFrame) -> DataFrame:
@@ -163,7 +247,11 @@ def label_sums(points: DataFrame, curvature: float = 0.0) -> DataFrame:
 
 def silhouette(points: DataFrame, curvature: float = 0.0) -> DataFrame:
     """Mean silhouette; points alone in their class count 0."""
-    sums = label_sums(points, curvature)
+    return silhouette_of(label_sums(points, curvature))
+
+
+def silhouette_of(sums: DataFrame) -> DataFrame:
+    """Mean silhouette from :func:`label_sums`."""
     same = F.col("label") == F.col("other")
     by = sums.groupBy("i").agg(
         F.max(F.when(same & (F.col("n") > 0), F.col("s") / F.col("n"))).alias("a"),
@@ -175,26 +263,42 @@ def silhouette(points: DataFrame, curvature: float = 0.0) -> DataFrame:
 
 def davies_bouldin(points: DataFrame, curvature: float = 0.0) -> DataFrame:
     """Mean over classes of the worst ratio of scatters to medoid distance; scatters include the medoid itself."""
-    sums = label_sums(points, curvature)
-    own = sums.where("label = other")
-    medoids = own.groupBy("label").agg(F.min_by("i", F.struct("s", "i")).alias("id"), (F.min("s") / F.count("*")).alias("scatter"))
-    x = medoids.join(points.select("id", "vec"), "id")
+    x = medoids_of(label_sums(points, curvature)).join(points.select("id", "vec"), "id")
     a, b = x.select(F.col("label").alias("la"), F.col("scatter").alias("sa"), F.col("vec").alias("x")), x.select(F.col("label").alias("lb"), F.col("scatter").alias("sb"), F.col("vec").alias("y"))
     d = space(curvature).distance(F.col("x"), F.col("y"))
-    both = a.join(b, F.col("la") != F.col("lb")).withColumn("d", d)  # one row per pair of classes
+    return worst_ratios(a.join(b, F.col("la") != F.col("lb")).withColumn("d", d))  # one row per pair of classes
+
+
+def medoids_of(sums: DataFrame) -> DataFrame:
+    """(label, id, scatter): each class's member of least total distance to the others, and its mean, the member included."""
+    own = sums.where("label = other")
+    return own.groupBy("label").agg(F.min_by("i", F.struct("s", "i")).alias("id"), (F.min("s") / F.count("*")).alias("scatter"))
+
+
+def worst_ratios(both: DataFrame) -> DataFrame:
+    """The mean over classes of the greatest ratio, from scatters and medoid distances (la, sa, sb, d) of pairs of classes."""
     worst = both.groupBy("la").agg(F.max(F.when(F.col("d") >= SMALL, (F.col("sa") + F.col("sb")) / F.col("d"))).alias("w"))
     return _value(worst, F.sum(F.coalesce("w", F.lit(0.0))) / F.count("*"))
 
 
 def db_ratio(high: DataFrame, low: DataFrame, curvature: float = 0.0) -> DataFrame:
     """Davies-Bouldin of ``high`` by that of ``low``."""
-    h, e = davies_bouldin(high).withColumnRenamed("value", "h"), davies_bouldin(low, curvature).withColumnRenamed("value", "e")
+    return ratio(davies_bouldin(high), davies_bouldin(low, curvature))
+
+
+def ratio(high: DataFrame, low: DataFrame) -> DataFrame:
+    """One value by another, 0 where that vanishes."""
+    h, e = high.withColumnRenamed("value", "h"), low.withColumnRenamed("value", "e")
     return h.crossJoin(e).select(F.when(F.col("e") >= SMALL, F.col("h") / F.col("e")).otherwise(0.0).alias("value"))
 
 
 def dunn(points: DataFrame, curvature: float = 0.0) -> DataFrame:
     """Least distance between classes by the greatest diameter of one."""
-    sums = label_sums(points, curvature)
+    return dunn_of(label_sums(points, curvature))
+
+
+def dunn_of(sums: DataFrame) -> DataFrame:
+    """Dunn's index from :func:`label_sums`."""
     same = F.col("label") == F.col("other")
     between, wide = F.min(F.when(~same, F.col("low"))), F.max(F.when(same & (F.col("n") > 0), F.col("high")))
     return _value(sums, F.when(wide >= SMALL, between / wide))
@@ -267,21 +371,29 @@ def evaluate(high: DataFrame, low: DataFrame, k: int = 5, most: int | None = Non
     return trustworthiness(high, low, k).toDF("trustworthiness").crossJoin(continuity(high, low, k).toDF("continuity"))
 
 
-def all_metrics(high: DataFrame | None, low: DataFrame, curvature: float = 0.0, k: int = 10, projection: str = "stereographic") -> DataFrame:
-    """One row of eight metrics; those whose inputs (``high``, labels) are missing are null."""
+def all_metrics(high: DataFrame | None, low: DataFrame, curvature: float = 0.0, k: int = 10, projection: str = "stereographic", distances: DataFrame | None = None) -> DataFrame:
+    """One row of eight metrics; those whose inputs (``high`` or ``distances`` (i, j, d), labels) are missing are null.
+
+    Overlap and the ratio of Davies-Bouldin indices take given distances where there are any, and then those of the
+    embedding's space. The neighbours in both spaces are found once for all that use them."""
+    from . import pair_metrics
     from .projection import project
 
+    near_high = Stored(knn(high, k), "near").df if high is not None else None
+    near_low = Stored(knn(low, k), "near").df if high is not None else None
+    n = low.count()
+    most = min(k, n - 1)
     plane = project(low, curvature, projection).select("id", F.array("x", "y").alias("vec"), *(["label"] if "label" in low.columns else []))
     labelled = "label" in low.columns
     parts = {
-        "trustworthiness": trustworthiness(high, low, k) if high is not None else None,
-        "continuity": continuity(high, low, k) if high is not None else None,
-        "knn_overlap": knn_overlap(high, low, k) if high is not None else None,
+        "trustworthiness": trustworthiness(high, low, k, near=near_low) if high is not None else None,
+        "continuity": continuity(high, low, k, near=near_high) if high is not None else None,
+        "knn_overlap": overlap_of(nearest_of_pairs(distances, most), knn(low, most, curvature), n, most) if distances is not None and most > 0 else overlap_of(near_high, near_low, n, most) if high is not None and most > 0 else None,
         "area_utilisation": area_utilisation(plane),
         "radial_distribution": radial_distribution(plane),
         "class_density_measure": class_density(plane) if labelled else None,
         "cluster_density_measure": cluster_density(plane) if labelled else None,
-        "db_index_ratio": db_ratio(high if "label" in high.columns else high.join(low.select("id", "label"), "id"), low, curvature) if labelled and high is not None else None,
+        "db_index_ratio": ratio(pair_metrics.davies_bouldin(distances, low), davies_bouldin(low, curvature)) if labelled and distances is not None else db_ratio(high if "label" in high.columns else high.join(low.select("id", "label"), "id"), low, curvature) if labelled and high is not None else None,
     }
     out = None
     for name, part in parts.items():

@@ -3,6 +3,9 @@
 A block is one row, so what crosses the network grows with the number of points times the number of blocks,
 memory stays that of two blocks, and reductions (nearest neighbours, sums, counts) leave a task as a few rows
 per point. Only :func:`all_pairs`, whose result is the pairs, emits them.
+
+Nearest neighbours (:func:`knn`) need no pass over all pairs of blocks: points are dealt to pivots, a block holds points of
+one, and the triangle inequality rules out blocks that lie too far away.
 """
 
 from __future__ import annotations
@@ -20,8 +23,14 @@ from ..functions.geometry import CLAMP, Euclidean, Hyperboloid, Space, Sphere, s
 
 #: Points in a block.
 BLOCK = 1024
+#: Pivots that points are dealt to at most, and coordinates that they have together.
+PIVOTS, PIVOT_NUMBERS = 1_024, 1 << 22
+#: Blocks that one task takes for a block, and up to which all are taken without looking for a bound first.
+PARTNERS, FEW = 4_096, 8
+#: Given distances that a task holds before it keeps the nearest only.
+HELD = 1 << 20
 
-__all__ = ["BLOCK", "Block", "Euclidean", "Hyperboloid", "Sphere", "all_pairs", "gather_pairs", "knn", "kth_distance", "mean_distance", "mutual_knn", "normalized", "pair_blocks", "pairs_by_norms", "ranks"]
+__all__ = ["BLOCK", "Block", "Euclidean", "Hyperboloid", "Sphere", "all_pairs", "block_partners", "gather_pairs", "knn", "kth_distance", "mean_distance", "mutual_knn", "nearest_of_pairs", "normalized", "pair_blocks", "pairs_by_norms", "ranks"]
 
 
 @dataclass
@@ -38,8 +47,8 @@ class Block:
 def pair_blocks(points: DataFrame, work: Callable[[Block, Block], pa.Table], schema: str, more: tuple[str, ...] = (), other: DataFrame | None = None) -> DataFrame:
     """``work`` on every ordered pair of blocks of ``points`` (id, vec[, label], more...) and ``other`` (the same if None)."""
 
-    def packed(df: DataFrame, names: tuple[str, ...], prefix: str) -> DataFrame:
-        blocks = max(1, -(-df.count() // BLOCK))
+    def packed(df: DataFrame, names: tuple[str, ...], prefix: str, n: int) -> DataFrame:
+        blocks = max(1, -(-n // BLOCK))
         columns = ["id", "vec", F.col("label") if "label" in df.columns else F.lit(None).cast("long").alias("label"), *names]
         deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
         return df.select(deal, F.struct(*columns).alias("p")).groupBy("block").agg(F.collect_list("p").alias(prefix)).select(prefix)
@@ -56,8 +65,9 @@ def pair_blocks(points: DataFrame, work: Callable[[Block, Block], pa.Table], sch
             for k in range(batch.num_rows):
                 yield from work(unpack(batch.column(0)[k].values, more), unpack(batch.column(1)[k].values, ())).to_batches()
 
-    left = packed(points, more, "a")
-    right = packed(points if other is None else other, (), "b")
+    n = points.count()
+    left = packed(points, more, "a", n)
+    right = packed(points if other is None else other, (), "b", n if other is None else other.count())
     return left.crossJoin(right).mapInArrow(run, schema)
 
 
@@ -100,20 +110,182 @@ def gather_pairs(points: DataFrame, pairs: DataFrame, k: float = 0.0) -> DataFra
     return pairs.select("i", "j").join(x, "i").join(y, "j").select("i", "j", space(k).distance(F.col("x"), F.col("y")).alias("d"))
 
 
-def knn(points: DataFrame, k: int, curvature: float = 0.0) -> DataFrame:
-    """(i, rank, j, d): the k nearest others of each point, ties to the smaller id."""
-    at = space(curvature)
+class Nearest:
+    """The k nearest others so far of the points of a block."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, at: Space) -> None:
+        self.ids, self.x, self.k, self.at = ids, x, k, at
+        self.d, self.j = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    @property
+    def reach(self) -> float:
+        """Points further away than this are nobody's neighbour."""
+        return float(self.d[:, -1].max())
+
+    def take(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Looks for neighbours of ``rows`` (all if None) among other points; ties go to the smaller id."""
+        rows = np.arange(len(self.ids)) if rows is None else rows
+        d = self.at.distances(self.x[rows], x)
+        d[self.ids[rows][:, None] == ids[None, :]] = np.inf
+        most = self.d[rows, -1]
+        if d.shape[1] > self.k:
+            most = np.minimum(most, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        r, c = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+        if len(r):
+            of = np.concatenate([np.repeat(np.arange(len(rows)), self.k), r])
+            every, other = np.concatenate([self.d[rows].ravel(), d[r, c]]), np.concatenate([self.j[rows].ravel(), ids[c]])
+            order = np.lexsort((other, every, of))
+            starts = np.searchsorted(of[order], np.arange(len(rows)))
+            best = order[(starts[:, None] + np.arange(self.k)).ravel()]
+            self.d[rows], self.j[rows] = every[best].reshape(len(rows), -1), other[best].reshape(len(rows), -1)
+
+    def told(self, others: bool) -> pa.RecordBatch:
+        """(i, rank, j, d), of points of other blocks alone if asked for."""
+        found = np.isfinite(self.d)
+        row, place = np.nonzero(found & ~np.isin(self.j, self.ids) if others else found)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(place + 1), pa.array(self.j[row, place]), pa.array(self.d[row, place])], ["i", "rank", "j", "d"])
 
-    def work(a: Block, b: Block) -> pa.Table:
-        d = _between(a, b, at)
-        order = np.lexsort((np.broadcast_to(b.ids, d.shape), d), axis=1)[:, :k]
-        i = np.repeat(np.arange(len(a.ids)), order.shape[1])
-        j, keep = order.ravel(), np.isfinite(np.take_along_axis(d, order, axis=1)).ravel()
-        return pa.table({"i": a.ids[i[keep]], "j": b.ids[j[keep]], "d": d[i[keep], j[keep]]})
 
-    near = pair_blocks(points, work, "i long, j long, d double")
+@dataclass
+class Pivots:
+    """Some of the points, their distances from one another, how far the points dealt to each lie, and its blocks."""
+
+    x: np.ndarray
+    between: np.ndarray
+    far: np.ndarray
+    first: np.ndarray
+    slack: float
+
+    def bounds(self, a: int) -> np.ndarray:
+        """What points of pivot ``a`` are at least away from points of each pivot."""
+        d = self.between[a]
+        return d - self.far[a] - self.far - self.slack - 1e-9 * (1 + d)
+
+
+def _dealt(points: DataFrame, at: Space) -> tuple[DataFrame, Pivots]:
+    """``points`` packed into blocks (block, p) of one pivot each, and the pivots. Pivots, whose number is bounded, are
+    points whose ids have the least hashes; each pivot's points are cut into blocks by hash."""
+    n = points.count()
+    first = points.select(F.size("vec").alias("d")).first()
+    wanted = max(1, min(PIVOTS, PIVOT_NUMBERS // max(1, first.d if first else 1), -(-n // max(1, BLOCK // 2))))
+    x = np.array([r.vec for r in points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()], float)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1_024):
+                some = batch.slice(start, 1_024)
+                d = at.distances(some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1), x)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1))], ["id", "vec", "pivot", "far"])
+
+    rows = points.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(deal, "id long, vec array<double>, pivot int, far double")
+    told = {r.pivot: (r.n, r.far) for r in rows.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row for each pivot
+    blocks = [-(-told.get(p, (0, 0.0))[0] // BLOCK) for p in range(len(x))]
+    starts = np.cumsum([0, *blocks])
+    curved = 0.0 if isinstance(at, Euclidean) else 1e-3 * at.r  # distances of curved spaces are cut at both ends
+    pivots = Pivots(x, at.distances(x, x) if len(x) else np.zeros((0, 0)), np.array([told.get(p, (0, 0.0))[1] for p in range(len(x))]), starts, curved)
+    of = points.sparkSession.createDataFrame([(p, int(starts[p]), m) for p, m in enumerate(blocks) if m], "pivot int, first long, blocks long")
+    block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))
+    return rows.join(F.broadcast(of), "pivot").groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("p")), pivots
+
+
+def _unpacked(p: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+    ids = p.values.field("id").to_numpy()
+    return ids, p.values.field("vec").flatten().to_numpy().reshape(len(ids), -1)
+
+
+def block_partners(blocks: DataFrame, pivots: Pivots, k: int, at: Space) -> DataFrame:
+    """(a, part, b, bound): the blocks b that block a has to look at, in parts of :data:`PARTNERS`, and what their points are
+    at least away. Each part has a itself.
+
+    Where there are more than a few blocks, the neighbours within a block bound how far others may lie."""
+
+    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                near = Nearest(*_unpacked(batch.column(1)[r]), k, at)
+                near.take(near.ids, near.x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.array([near.reach])], ["block", "reach"])
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, reach in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bounds = pivots.bounds(int(np.searchsorted(pivots.first, a, side="right")) - 1)
+                near = [p for p in np.argsort(bounds, kind="stable").tolist() if bounds[p] <= reach]
+                b = np.concatenate([np.arange(pivots.first[p], pivots.first[p + 1]) for p in near])
+                bound = np.repeat(bounds[near], [pivots.first[p + 1] - pivots.first[p] for p in near])
+                b, bound = b[b != a], bound[b != a]
+                for part, start in enumerate(range(0, max(1, len(b)), PARTNERS)):
+                    own = np.concatenate([[a], b[start : start + PARTNERS]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), a)), pa.array(np.full(len(own), part, np.int32)), pa.array(own), pa.array(np.concatenate([[-np.inf], bound[start : start + PARTNERS]]))], ["a", "part", "b", "bound"])
+
+    total = int(pivots.first[-1])
+    rows = blocks.mapInArrow(reaches, "block long, reach double") if total > FEW else blocks.sparkSession.range(total).select(F.col("id").alias("block"), F.lit(float("inf")).alias("reach"))
+    return rows.mapInArrow(partners, "a long, part int, b long, bound double")
+
+
+def knn(points: DataFrame, k: int, curvature: float = 0.0) -> DataFrame:
+    """(i, rank, j, d): the k nearest others of each point, ties to the smaller id.
+
+    A task holds one block and its k nearest so far, and streams the blocks that may have nearer ones, the nearest
+    blocks first; whole blocks, and for others single points, are skipped where the triangle inequality leaves nothing
+    to find. It tells k rows for each of its points."""
+    spark, at = points.sparkSession, space(curvature)
+    blocks, pivots = _dealt(points, at)
+    if not len(pivots.x) or k < 1:
+        return spark.createDataFrame([], "i long, rank long, j long, d double")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, part, b, bound = (batch.column(c)[r].as_py() for c in range(4))
+                if (a, part) != key:  # its first row is the block itself
+                    if own:
+                        yield own.told(key[1] > 0)
+                    key, own = (a, part), Nearest(*_unpacked(batch.column(4)[r]), k, at)
+                    own.take(own.ids, own.x)
+                elif bound <= own.reach:
+                    pivot = int(np.searchsorted(pivots.first, b, side="right")) - 1
+                    d = at.distances(own.x, pivots.x[pivot : pivot + 1])[:, 0]
+                    rows = np.flatnonzero(d - pivots.far[pivot] - pivots.slack - 1e-9 * (1 + d) <= own.d[:, -1])
+                    if len(rows):
+                        own.take(*_unpacked(batch.column(4)[r]), rows)
+        if own:
+            yield own.told(key[1] > 0)  # the first part tells of the block itself
+
+    asked = block_partners(blocks, pivots, k, at)
+    sent = asked.join(blocks.select(F.col("block").alias("b"), "p"), "b").repartition("a", "part").sortWithinPartitions("a", "part", "bound", "b")
+    near = sent.select("a", "part", "b", "bound", "p").mapInArrow(stream, "i long, rank long, j long, d double")
+    if pivots.first[-1] <= PARTNERS:
+        return near
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("i", "rank", "j", "d")
+    return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def nearest_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """(i, rank, j, d): the k nearest others of each i among given distances (i, j, d), ties to the smaller id.
+
+    A task keeps k of each i among the rows it reads, so that no more are shuffled."""
+
+    def best(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((j, d, i))
+        own = i[order]
+        start = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1])[: len(own)], np.arange(len(own)), 0))
+        order = order[np.arange(len(own)) - start < k]
+        return i[order], j[order], d[order]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, limit = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), HELD
+        for batch in batches:
+            held = tuple(np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            if len(held[0]) > limit:
+                held = best(*held)
+                limit = max(HELD, 2 * len(held[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(h) for h in best(*held)], ["i", "j", "d"])
+
+    rows = pairs.where("i <> j AND d IS NOT NULL").select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("d").cast("double"))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j")).cast("long")
+    return rows.mapInArrow(keep, "i long, j long, d double").withColumn("rank", rank).where(F.col("rank") <= k).select("i", "rank", "j", "d")
 
 
 def kth_distance(points: DataFrame, k: int, curvature: float = 0.0) -> DataFrame:

@@ -1,14 +1,22 @@
-"""Samplers of pairs of points; each returns a DataFrame (i, j) with i different from j."""
+"""Samplers of pairs of points; each returns a DataFrame (i, j) with i different from j.
+
+A draw is a hash of its number and a seed, so that samples are the same whatever the partitions are, and a task that runs
+again draws the same."""
 
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.registry import drawn, share_drawn
+from ..storage import Stored
 from .pairs import gather_pairs, knn
 
+#: Points, or candidates, that are numbered together.
+PART = 1 << 16
+
 
 class PairSampler(ABC):
     """Draws ``batch`` pairs of ``points``; ids may be any, they are numbered for the draw."""
@@ -32,21 +40,24 @@ class PairSampler(ABC):
 
     def _numbered(self) -> DataFrame:
         """(number, id): numbers from 0, by ranking within hash parts on top of the parts' counts."""
-        rows = self.points.select("id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
+        rows = self.points.select("id").withColumn("part", drawn(64) % max(1, -(-self.n // PART)))
         counts = rows.groupBy("part").count()
         before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = F.broadcast(counts.select("part", before.alias("before")))  # 64 rows
         own = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
-        return rows.withColumn("own", own).join(starts, "part").select((F.col("own") + F.col("before")).alias("number"), "id")
+        return rows.withColumn("own", own).join(counts.select("part", before.alias("before")), "part").select((F.col("own") + F.col("before")).alias("number"), "id")
 
-    def _uniform(self, batch: int, seed: int) -> DataFrame:
+    def _drawn_pairs(self, batch: int, seed: int) -> DataFrame:
+        """(draw, i, j): uniform pairs by the number of their draw."""
         spark, n = self.points.sparkSession, self.n
         if n < 2:
-            return spark.range(0).select(F.col("id").alias("i"), F.col("id").alias("j"))
-        drawn = spark.range(batch).select(F.floor(F.rand(seed) * n).alias("a"), F.floor(F.rand(seed + 1) * (n - 1)).alias("o"))
-        drawn = drawn.select("a", ((F.col("a") + 1 + F.col("o")) % n).alias("b"))
+            return spark.range(0).select(F.col("id").alias("draw"), F.col("id").alias("i"), F.col("id").alias("j"))
+        draws = spark.range(batch).select(F.col("id").alias("draw"), F.floor(share_drawn(seed) * n).alias("a"), F.floor(share_drawn(seed + 1) * (n - 1)).alias("o"))
+        draws = draws.select("draw", "a", ((F.col("a") + 1 + F.col("o")) % n).alias("b"))
         numbered = self._numbered()
-        return drawn.join(numbered.toDF("a", "i"), "a").join(numbered.toDF("b", "j"), "b").select("i", "j")
+        return draws.join(numbered.toDF("a", "i"), "a").join(numbered.toDF("b", "j"), "b").select("draw", "i", "j")
+
+    def _uniform(self, batch: int, seed: int) -> DataFrame:
+        return self._drawn_pairs(batch, seed).select("i", "j")
 
 
 class RandomSampler(PairSampler):
@@ -64,15 +75,22 @@ class KNNSampler(PairSampler):
         self.k, self.near = k, None
 
     def precompute(self) -> PairSampler:
-        self.near = knn(self.points, self.k).select("i", "rank", "j").persist()
+        self._held = Stored(knn(self.points, self.k).select("i", "rank", "j"), "neighbours")
+        self.near = self._held.df
         return self
 
+    def release(self) -> None:
+        """Removes the table of neighbours, which is then no longer known."""
+        if self.near is not None:
+            self._held.discard()
+            self.near = None
+
     def _near(self, batch: int) -> DataFrame:
         if self.near is None:
             raise RuntimeError("precompute() comes first")
         n, k = self.n, min(self.k, self.n - 1)
-        drawn = self.points.sparkSession.range(batch).select(F.floor(F.rand(self.seed) * n).alias("number"), (F.floor(F.rand(self.seed + 1) * k) + 1).alias("rank"))
-        return drawn.join(self._numbered(), "number").select(F.col("id").alias("i"), "rank").join(self.near, ["i", "rank"]).select("i", "j")
+        draws = self.points.sparkSession.range(batch).select(F.floor(share_drawn(self.seed) * n).alias("number"), (F.floor(share_drawn(self.seed + 1) * k) + 1).alias("rank"))
+        return draws.join(self._numbered(), "number").select(F.col("id").alias("i"), "rank").join(self.near, ["i", "rank"]).select("i", "j")
 
     def sample_pairs(self) -> DataFrame:
         return self._near(self.batch)
@@ -92,9 +110,11 @@ class NegativeSampler(KNNSampler):
 class StratifiedSampler(PairSampler):
     """Pairs by bins of distance, close bins more often.
 
-    Bin edges are quantiles of a sample of distances. Bins get shares that fall linearly from ``close_weight`` to 1;
-    four times as many candidates as wanted are drawn and each bin takes its share of those, uniform pairs make up
-    for bins that run short. Pairs beyond the edges are not taken."""
+    Bin edges are quantiles of a sample of distances. As many bins as pairs are drawn, with probabilities that fall
+    linearly from ``close_weight`` to 1; four times as many candidates are drawn, and each bin takes the first it
+    wants of those within its edges. Uniform pairs make up for bins that run short. Draws and candidates meet their bins
+    in range joins with the table of bins, which is as long as there are bins; places within a bin are counted by
+    parts of candidates, so that no bin is sorted in one task."""
 
     def __init__(self, points: DataFrame, batch: int, seed: int = 42, n_bins: int = 10, close_weight: float = 3.0, n_percentile_samples: int = 100_000) -> None:
         super().__init__(points, batch, seed)
@@ -107,24 +127,36 @@ class StratifiedSampler(PairSampler):
         self.edges = d.agg(F.percentile("d", F.array(*map(F.lit, at))).alias("e")).first().e
         return self
 
-    def shares(self) -> list[int]:
-        """Pairs wanted of each bin."""
+    def ends(self) -> list[float]:
+        """Where the probabilities of the bins, one after another, end."""
         w = [self.close + (1 - self.close) * b / max(1, self.bins - 1) for b in range(self.bins)]
-        cuts = [round(self.batch * sum(w[: b + 1]) / sum(w)) for b in range(self.bins)]
-        return [c - p for c, p in zip(cuts, [0, *cuts], strict=False)]
+        return [*(sum(w[: b + 1]) / sum(w) for b in range(self.bins - 1)), 1.0]
 
-    def _bin(self, d: Column) -> Column:
-        bins = F.filter(F.sequence(F.lit(0), F.lit(self.bins - 1)), lambda b: d >= F.element_at(F.array(*map(F.lit, self.edges)), b + 1))
-        return F.when(d <= self.edges[-1], F.element_at(F.when(F.size(bins) > 0, bins), -1))
+    def shares(self) -> list[int]:
+        """Pairs wanted of each bin, as drawn."""
+        spark, ends = self.points.sparkSession, self.ends()
+        bins = spark.createDataFrame([(b, low, high) for b, (low, high) in enumerate(zip([0.0, *ends], ends, strict=False))], "bin int, low double, high double")
+        draws = spark.range(self.batch).select(share_drawn(self.seed + 7).alias("u"))
+        found = draws.join(F.broadcast(bins), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).groupBy("bin").count().collect()
+        counts = {r.bin: r["count"] for r in found}
+        return [counts.get(b, 0) for b in range(self.bins)]
 
     def sample_pairs(self) -> DataFrame:
         if self.edges is None:
             raise RuntimeError("precompute() comes first")
-        drawn = gather_pairs(self.points, self._uniform(4 * self.batch, self.seed)).withColumn("bin", self._bin(F.col("d"))).where("bin IS NOT NULL")
-        want = F.element_at(F.array(*map(F.lit, self.shares())), F.col("bin") + 1)
-        place = F.row_number().over(Window.partitionBy("bin").orderBy(F.xxhash64(F.lit(self.seed), "i", "j"), "i", "j"))
-        taken = drawn.withColumn("place", place).where(F.col("place") <= want).select("i", "j").persist()
-        return taken.union(self._uniform(self.batch - taken.count(), self.seed + 5))
+        spark, wanted = self.points.sparkSession, self.shares()
+        bins = spark.createDataFrame([(b, low, high, b == self.bins - 1, n) for b, (low, high, n) in enumerate(zip(self.edges, self.edges[1:], wanted, strict=False))], "bin int, low double, high double, last boolean, wanted long")
+        drawn = self._drawn_pairs(4 * self.batch, self.seed)
+        d = gather_pairs(self.points, drawn.select("i", "j").distinct())
+        inside = (F.col("d") >= F.col("low")) & ((F.col("d") < F.col("high")) | F.col("last") & (F.col("d") == F.col("high")))
+        found = drawn.join(d, ["i", "j"]).join(F.broadcast(bins), inside).withColumn("part", F.floor(F.col("draw") / PART))
+        counts = found.groupBy("bin", "part").count()
+        before = F.coalesce(F.sum("count").over(Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        place = F.row_number().over(Window.partitionBy("bin", "part").orderBy("draw"))
+        taken = found.withColumn("place", place).join(counts.select("bin", "part", before.alias("before")), ["bin", "part"]).where(F.col("place") + F.col("before") <= F.col("wanted"))
+        have = {r.bin: r.n for r in counts.groupBy("bin").agg(F.sum("count").alias("n")).collect()}  # a row for each bin
+        short = self.batch - sum(min(n, have.get(b, 0)) for b, n in enumerate(wanted))
+        return taken.select("i", "j").union(self._uniform(short, self.seed + 5))
 
 
 def create_sampler(kind: str, points: DataFrame, batch: int, seed: int = 42, **options: float) -> PairSampler:

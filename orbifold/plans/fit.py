@@ -88,15 +88,17 @@ def fit_embedding(
     distances: DataFrame | None = None,
     callback: Callback | None = None,
     seed: int = 42,
+    start: DataFrame | None = None,
 ) -> Fit:
     """An embedding of ``data`` (id, vec) in the space of curvature ``k``.
 
-    Affinities come from ``distances`` (i, j, d) where given. The loss of an iteration is that before its step, with
+    Points begin at ``start`` (id, vec: d coordinates, which are lifted) where given. Affinities come from ``distances`` (i, j, d) where given. The loss of an iteration is that before its step, with
     exaggerated affinities in the early phase. Points are centred after each step; velocities are carried from the
     points before it."""
     at = space(k)
     v = Stored(affinities(data, perplexity) if distances is None else affinities_of_pairs(distances, perplexity), "affinities")
-    current = Stored(initial_points(data, data.select("id"), k, d, method, scale, seed), "state")
+    begun = initial_points(data, data.select("id"), k, d, method, scale, seed) if start is None else start.select("id", at.lift(F.col("vec")).alias("vec"))
+    current = Stored(begun, "state")
     moving, rows, old = None, current.df, []
     out = Fit(k, current.df)
     for iteration in range(iterations):
@@ -125,14 +127,16 @@ def fit_embedding(
 def sweep(data: DataFrame, curvatures: list[float], **options: object) -> DataFrame:
     """(curvature, and a column per metric): an embedding fitted in the space of each curvature, and how good it is.
 
-    ``options`` are those of :func:`fit_embedding`; ``data`` is (id, vec[, label])."""
-    out = None
-    for k in curvatures:
-        low = fit_embedding(data.select("id", "vec"), k, **options).points
+    ``options`` are those of :func:`~orbifold.plans.sweep.fit_sweep`, which fits all at once; ``data`` is (id, vec[, label])."""
+    from .sweep import fit_sweep
+
+    if not curvatures:
+        raise ValueError("no curvatures are given")
+    fitted, out = fit_sweep(data.select("id", "vec"), curvatures, **options), None
+    for n, k in enumerate(curvatures):
+        low = fitted.of(n)
         if "label" in data.columns:
             low = low.join(data.select("id", "label"), "id")
         row = all_metrics(data, low, k).select(F.lit(float(k)).alias("curvature"), "*")
         out = row if out is None else out.unionByName(row)
-    if out is None:
-        raise ValueError("no curvatures are given")
     return out

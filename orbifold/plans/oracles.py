@@ -177,38 +177,23 @@ def _more(found: dict[str, str], k: int) -> dict[str, str]:
     distorted = [f"SELECT {c}::DOUBLE AS curvature, (" + _with(HIGH_PAIRS, lift, _pairs("ld", "lf", d)) + "SELECT avg(abs(pow(ld.d / hi.d, 2) - 1)) FROM hi JOIN ld USING (i, j) WHERE i < j) AS value" for c, (lift, d) in lifted.items()]
     trust = _with(HIGH_PAIRS, FLAT_PAIRS, *_trust("fl", "hi", 5)) + "SELECT value FROM tv", _with(HIGH_PAIRS, FLAT_PAIRS, *_trust("hi", "fl", 5)) + "SELECT value FROM tv"
     means = "SELECT 'set_' || label AS \"Dataset\", unnest([-1.0, 0.0, 1.0])::DOUBLE AS \"Curvature\", unnest([avg(vec[1]), avg(vec[2]), avg(vec[3])]) AS \"Metric\" FROM u GROUP BY label"
-    tree = found["generate_tree_structured"].replace("range(200)", "range(60)")
-    arc = "asin(least(1, sqrt(1 - 1 / pow(1.25::DOUBLE, 2)) / 0.75))"
-    lines = ", ".join(
-        [
-            """[0, printf('<line x1="0.00" y1="%.2f" x2="%.2f" y2="%.2f" stroke="%s"/>', a, 600.0::DOUBLE, a, colour)]""",
-            """[1, printf('<line x1="%.2f" y1="0.00" x2="%.2f" y2="%.2f" stroke="%s"/>', a, a, 600.0::DOUBLE, colour)]""",
-        ]
-    ).replace("[0, ", "{'way': 0, 'value': ").replace("[1, ", "{'way': 1, 'value': ").replace(")]", ")}")
     return {
         "momentum_step": _momentum(),
         "all_metrics": _all_metrics(found),
         "evaluate": f"SELECT ({trust[0]}) AS trustworthiness, ({trust[1]}) AS continuity",
         "q_matrix": _with(LOW_PAIRS) + "SELECT i, j, 1e6 * k / sum(k) OVER () AS q FROM (SELECT i, j, 1 / (1 + d * d) AS k FROM lo)",
-        "geodesic_arc": f"SELECT s AS step, 1.25 + 0.75 * cos(a) AS x, 0.75 * sin(a) AS y FROM (SELECT s, pi() - {arc} + s * (2 * {arc} / 64) AS a FROM range(65) t(s))",
         "colored_points": f"SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, red, green, blue FROM embeddings JOIN ({found['label_colors']}) USING (label)",
-        "update_messages": """SELECT '{"type":"update","run_id":"run","iteration":' || i || ',"loss":' || [3.0, 2.0, 1.5][i + 1]::DOUBLE || ',"phase":"main"}' AS value FROM range(3) t(i)""",
-        "status_messages": """SELECT '{"type":"status","run_id":"run","done":3,"total":10,"loss":1.5,"running":true}' AS value""",
         "metric_messages": "SELECT '{\"type\":\"metrics\",\"dunn\":\"' || printf('%.6f', value) || '\"}' AS value FROM (" + found["dunn"] + ")",
-        "boundary_messages": "SELECT '{\"type\":\"boundary\",\"degrees\":' || a || ',\"radius\":\"' || printf('%.6f', sin(radians(a))) || '\"}' AS value FROM range(30, 91, 30) t(a)",
-        "loss_chart": """SELECT 'run' AS run_id, '<polyline fill="none" stroke="steelblue" points="' || string_agg(printf('%.2f,%.2f', i / 2.0::DOUBLE * 600, 300 - (l - 1.5) / 1.5 * 300), ' ' ORDER BY i) || '"/>' AS value FROM (SELECT i, [3.0, 2.0, 1.5][i + 1]::DOUBLE AS l FROM range(3) t(i))""",
-        "grid_lines": f"SELECT s * 2 + r.way AS line, r.value AS value FROM (SELECT s, unnest([{lines}]) AS r FROM (SELECT s, s * 75.0::DOUBLE AS a, CASE WHEN s = 4 THEN 'gray' ELSE 'lightgray' END AS colour FROM range(9) t(s)))",
         "affinity_loss": _with(*_sigma(k), AFFINITIES, LOW_PAIRS, "ke AS (SELECT i, j, 1 / (1 + d * d) AS k, (sum(1 / (1 + d * d)) OVER ()) AS z FROM lo)", recursive=True) + "SELECT sum(-v * ln(k / z + 1e-12)) AS loss FROM ke JOIN af USING (i, j)",
         "exaggerated_loss": f"SELECT 12 * loss AS loss FROM ({found['kl_loss']})",
         "regularised_loss": f"SELECT a.loss + 0.1 * b.loss AS loss FROM ({found['kl_loss']}) a, ({found['scaling_rms']}) b",
-        "distance_losses": _with(HIGH_PAIRS, LOW_PAIRS) + "SELECT round(sum(pow(lo.d - hi.d, 2)), 6) AS mse, round(sum(abs(pow(lo.d / hi.d, 2) - 1)), 6) AS gu FROM hi JOIN lo USING (i, j)",
+        "distance_losses": _with(HIGH_PAIRS, LOW_PAIRS) + "SELECT round(sum(pow(lo.d / (hi.d + 1e-8) - 1, 2)), 6) AS gu, round(sum(pow(lo.d - hi.d, 2)), 6) AS mse FROM hi JOIN lo USING (i, j) WHERE i < j",
         "curvature_distortion": " UNION ALL ".join(distorted),
         "sql_distances": _with(*(_pairs(f"p{t[0]}", t, _DISTANCE[kind]) for kind, t in _TABLE.items())) + "SELECT i, j, e.d AS euclid, s.d AS sphere, h.d AS hyper FROM pe e JOIN ps s USING (i, j) JOIN ph h USING (i, j) WHERE j = (i + 1) % (SELECT count(*) FROM u)",
         "norm_pairs": _with(HIGH_PAIRS) + "SELECT i, j, round(d, 6) AS d FROM hi",
         "normalized_pairs": _with(flat) + "SELECT i, j, d / avg(d) OVER () AS d FROM em",
         "precomputed_affinities": _with(*_sigma(k, flat, "em"), recursive=True) + "SELECT i, j, sum(p) / (SELECT 2 * sum(p) FROM cp) AS v FROM (SELECT i, j, p FROM cp UNION ALL SELECT j, i, p FROM cp) GROUP BY i, j",
         "pair_statistics": _with(flat) + "SELECT stddev_samp(d) AS std, quantile_disc(d, 0.5) AS median, quantile_cont(d, 0.25) AS quarter FROM em",
-        "tree_distances": f"WITH t AS ({tree}), v AS (SELECT id, max(CASE WHEN c = 0 THEN x END) AS a, max(CASE WHEN c = 1 THEN x END) AS b, max(CASE WHEN c = 2 THEN x END) AS c FROM t GROUP BY id) SELECT p.id AS i, q.id AS j, round(acosh(greatest(p.a * q.a - p.b * q.b - p.c * q.c, 1)), 6) AS d FROM v p JOIN v q ON p.id <> q.id",
         "poincare_lift": _with("q AS (SELECT id, vec[1] / 2 AS x, vec[2] / 2 AS y, (vec[1] * vec[1] + vec[2] * vec[2]) / 4 AS s FROM emb2)", "l AS (SELECT id, [(1 + s) / (1 - s), 2 * x / (1 - s), 2 * y / (1 - s)] AS y FROM q)") + _coordinates("l", "y", 3),
         "split_train": _with() + f"SELECT id, label FROM u WHERE {drawn} % 7 <> 0",
         "split_test": _with() + f"SELECT id, label FROM u WHERE {drawn} % 7 = 0",
@@ -222,14 +207,17 @@ def _more(found: dict[str, str], k: int) -> dict[str, str]:
     }
 
 
+#: Derivatives of a distance by the coordinates of its first point, and the distances up to which there are none.
+_UNIT = {
+    "euclid": ["(a.vec[{c}] - b.vec[{c}]) / p.d"] * 3,
+    "sphere": ["-b.vec[{c}] / sqrt(1 - cos(p.d) * cos(p.d))"] * 3,
+    "hyper": ["b.vec[{c}] / sqrt(cosh(p.d) * cosh(p.d) - 1)"] + ["-b.vec[{c}] / sqrt(cosh(p.d) * cosh(p.d) - 1)"] * 2,
+}
+_LEAST = {"euclid": 0.0, "sphere": math.acos(1 - CLAMP) * (1 + 1e-9), "hyper": math.acosh(1 + CLAMP) * (1 + 1e-9)}  # clamped pairs do not pull
+
+
 def _gradient() -> dict[str, str]:
-    out = {}
-    unit = {
-        "euclid": ["(a.vec[{c}] - b.vec[{c}]) / p.d"] * 3,
-        "sphere": ["-b.vec[{c}] / sqrt(1 - cos(p.d) * cos(p.d))"] * 3,
-        "hyper": ["b.vec[{c}] / sqrt(cosh(p.d) * cosh(p.d) - 1)"] + ["-b.vec[{c}] / sqrt(cosh(p.d) * cosh(p.d) - 1)"] * 2,
-    }
-    least = {"euclid": 0.0, "sphere": math.acos(1 - CLAMP) * (1 + 1e-9), "hyper": math.acosh(1 + CLAMP) * (1 + 1e-9)}  # clamped pairs do not pull
+    out, unit, least = {}, _UNIT, _LEAST
     for kind, table in _TABLE.items():
         n = 2 if kind == "euclid" else 3
         ctes = [
@@ -249,6 +237,122 @@ def _gradient() -> dict[str, str]:
     return out
 
 
+def _drawn(of: str, seed: int) -> str:
+    """The share from 0 to below 1 that a number draws."""
+    return f"('0x' || substring(md5({of}::VARCHAR || ':{seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _uniform(name: str, batch: int | str, seed: int) -> str:
+    """Uniform pairs by the number of their draw; points are numbered by id."""
+    a, o = f"floor({_drawn('t', seed)} * n)::BIGINT", f"floor({_drawn('t', seed + 1)} * (n - 1))::BIGINT"
+    return f"{name} AS (SELECT t AS draw, a.id AS i, b.id AS j FROM (SELECT t, {a} AS a, ({a} + 1 + {o}) % n AS b FROM range({batch}) r(t), nn) r JOIN num a ON a.number = r.a JOIN num b ON b.number = r.b)"
+
+
+def _samples(batch: int = 200, seed: int = 42, k: int = 15, bins: int = 10, close: float = 3.0) -> dict[str, str]:
+    numbered = ["nn AS (SELECT count(*) AS n FROM u)", "num AS (SELECT row_number() OVER (ORDER BY id) - 1 AS number, id FROM u)"]
+    near = lambda n: f"SELECT nb.i, nb.j FROM (SELECT floor({_drawn('t', seed)} * n)::BIGINT AS a, floor({_drawn('t', seed + 1)} * {k})::BIGINT + 1 AS r FROM range({n}) q(t), nn) q JOIN num ON num.number = q.a JOIN nb ON nb.i = num.id AND nb.rank = q.r"
+    w = [close + (1 - close) * b / (bins - 1) for b in range(bins)]
+    ends = [*(sum(w[: b + 1]) / sum(w) for b in range(bins - 1)), 1.0]
+    starts = [0.0, *ends[:-1]]
+    edges = ", ".join(repr(b / bins) for b in range(bins + 1))
+    return {
+        "sample_random": _with(*numbered, _uniform("un", batch, seed)) + "SELECT i, j FROM un",
+        "sample_knn": _with(*numbered, HIGH_PAIRS, _near("nb", "hi", k)) + near(batch),
+        "sample_negative": _with(*numbered, HIGH_PAIRS, _near("nb", "hi", k), _uniform("un", batch - int(batch * 0.7), seed + 2)) + near(int(batch * 0.7)) + " UNION ALL SELECT i, j FROM un",
+        "sample_stratified": _with(
+            *numbered, HIGH_PAIRS, _uniform("sm", "(SELECT least(100000, n * (n - 1)) FROM nn)", seed + 3),
+            f"ed AS (SELECT quantile_cont(d, [{edges}]) AS e FROM sm JOIN hi USING (i, j))",
+            f"bn AS (SELECT b, e[b + 1] AS low, e[b + 2] AS high, {starts!r}[b + 1] AS s, {ends!r}[b + 1] AS t FROM range({bins}) x(b), ed)",
+            f"wa AS (SELECT b, count(*) AS wanted FROM (SELECT {_drawn('t', seed + 7)} AS u FROM range({batch}) r(t)) d JOIN bn ON u >= s AND u < bn.t GROUP BY b)",
+            _uniform("ca", 4 * batch, seed),
+            f"cb AS (SELECT b, draw, i, j, row_number() OVER (PARTITION BY b ORDER BY draw) AS place FROM ca JOIN hi USING (i, j) JOIN bn ON d >= low AND (d < high OR b = {bins - 1} AND d = high))",
+            "tk AS (SELECT i, j FROM cb JOIN wa USING (b) WHERE place <= wanted)",
+            _uniform("un", f"(SELECT {batch} - count(*) FROM tk)", seed + 5),
+        ) + "SELECT i, j FROM tk UNION ALL SELECT i, j FROM un",
+    }
+
+
+#: The plane coordinates lifted to each space.
+_LIFTED = {
+    "euclid": "SELECT id, vec FROM emb2",
+    "sphere": "SELECT id, [sqrt(1 - f * f * (vec[1] * vec[1] + vec[2] * vec[2])), f * vec[1], f * vec[2]] AS vec FROM (SELECT *, least(1, sqrt(1 - 1e-7) / greatest(sqrt(vec[1] * vec[1] + vec[2] * vec[2]), 1e-300)) AS f FROM emb2)",
+    "hyper": "SELECT id, [sqrt(1 + vec[1] * vec[1] + vec[2] * vec[2]), vec[1], vec[2]] AS vec FROM emb2",
+}
+
+
+def _loss(p: str, table: str, kind: str, factor: float) -> list[str]:
+    """The loss ({p}l) of points against the affinities, and what a gradient needs ({p}a)."""
+    return [
+        f"{p}p AS MATERIALIZED (SELECT a.id AS i, b.id AS j, {_DISTANCE[kind]} AS d FROM {table} a JOIN {table} b ON a.id <> b.id)",
+        f"{p}k AS MATERIALIZED (SELECT i, j, d, 1 / (1 + d * d) AS k, {factor}::DOUBLE * coalesce(v, 0) AS v FROM {p}p LEFT JOIN af USING (i, j))",
+        f"{p}w AS MATERIALIZED (SELECT i, j, d, k, k / z AS q, v, v * (k / z) / (k / z + 1e-12) AS w FROM {p}k, (SELECT sum(k) AS z FROM {p}k))",
+        f"{p}l AS (SELECT sum(-v * ln(q + 1e-12)) AS loss FROM {p}w)",
+        f"{p}a AS (SELECT i, j, 4 * d * k * (w - s * q) AS a, d FROM {p}w, (SELECT sum(w) AS s FROM {p}w))",
+    ]
+
+
+def _fit_iteration(kind: str, factor: float = 12.0, rate: float = 50.0) -> list[str]:
+    """The start ({p}x), its loss ({p}l), and the points after one step and centring ({p}y)."""
+    p, n = f"{kind[0]}_", 2 if kind == "euclid" else 3
+    dot = lambda a, b: "(" + " + ".join(f"{a}[{c}] * {b}[{c}]" for c in range(1, n + 1)) + ")"
+    lorentz = lambda a, b: f"(-{a}[1] * {b}[1] + {a}[2] * {b}[2] + {a}[3] * {b}[3])"
+    mix = lambda a, x, b, y: "[" + ", ".join(f"({a}) * {x}[{c}] + ({b}) * {y}[{c}]" for c in range(1, n + 1)) + "]"
+    parts = ", ".join(f"sum(CASE WHEN p.d > {_LEAST[kind]} THEN p.a * {_UNIT[kind][c].format(c=c + 1)} ELSE 0 END)" for c in range(n))
+    out = [f"{p}x AS MATERIALIZED ({_LIFTED[kind]})", *_loss(p, f"{p}x", kind, factor), f"{p}g AS MATERIALIZED (SELECT p.i AS id, any_value(a.vec) AS vec, [{parts}] AS g FROM {p}a p JOIN {p}x a ON a.id = p.i JOIN {p}x b ON b.id = p.j GROUP BY p.i)"]
+    tangent = {"euclid": f"SELECT id, vec, g AS t FROM {p}g", "sphere": f"SELECT id, vec, {mix('1', 'g', '-' + dot('g', 'vec'), 'vec')} AS t FROM {p}g", "hyper": f"SELECT id, vec, {mix('1', 'h', lorentz('vec', 'h'), 'vec')} AS t FROM (SELECT id, vec, [-g[1], g[2], g[3]] AS h FROM {p}g)"}
+    speed = "[" + ", ".join(f"{-rate}::DOUBLE * t[{c}]" for c in range(1, n + 1)) + "]"
+    clip = "[" + ", ".join(f"v[{c}] * least(1, 10 / greatest(size, 1e-300))" for c in range(1, n + 1)) + "]"
+    out += [f"{p}t AS ({tangent[kind]})", f"{p}v AS (SELECT id, vec, {clip} AS v FROM (SELECT *, sqrt(sum{dot('v', 'v')} OVER ()) AS size FROM (SELECT id, vec, {speed} AS v FROM {p}t)))"]
+    if kind == "euclid":
+        return [*out, f"{p}m AS (SELECT id, {mix('1', 'vec', '1', 'v')} AS y FROM {p}v)", f"{p}y AS MATERIALIZED (SELECT id, [y[1] - a, y[2] - b] AS vec FROM {p}m, (SELECT avg(y[1]) AS a, avg(y[2]) AS b FROM {p}m))"]
+    if kind == "sphere":
+        step = f"CASE WHEN n < 1e-10 THEN vec ELSE {mix('cos(n)', 'vec', 'sin(n) / greatest(n, 1e-10)', 'v')} END"
+        return [*out, f"{p}m AS (SELECT id, {step} AS y FROM (SELECT *, sqrt{dot('v', 'v')} AS n FROM {p}v))", f"{p}y AS MATERIALIZED (SELECT id, [y[1] / q, y[2] / q, y[3] / q] AS vec FROM (SELECT *, sqrt{dot('y', 'y')} AS q FROM {p}m))"]
+    return [
+        *out,
+        f"{p}m AS (SELECT id, {mix('cosh(n)', 'vec', 'sinh(n) / n', 'v')} AS m FROM (SELECT *, least(sqrt(greatest({lorentz('v', 'v')}, 1e-15)), 10) AS n FROM {p}v))",
+        f"{p}n AS (SELECT id, [sqrt(1 + m[2] * m[2] + m[3] * m[3]), m[2], m[3]] AS y FROM {p}m)",
+        f"{p}c AS (SELECT c1 / c0 AS b1, c2 / c0 AS b2, c0 AS g FROM (SELECT a / q AS c0, b / q AS c1, c / q AS c2 FROM (SELECT *, sqrt(a * a - b * b - c * c) AS q FROM (SELECT avg(y[1]) AS a, avg(y[2]) AS b, avg(y[3]) AS c FROM {p}n))))",
+        f"{p}f AS (SELECT id, y, b1, b2, (g - 1) * (y[2] * b1 + y[3] * b2) / (b1 * b1 + b2 * b2) - g * y[1] AS f FROM {p}n, {p}c)",
+        f"{p}y AS MATERIALIZED (SELECT id, [sqrt(1 + pow(y[2] + f * b1, 2) + pow(y[3] + f * b2, 2)), y[2] + f * b1, y[3] + f * b2] AS vec FROM {p}f)",
+    ]
+
+
+def _fits(k: int) -> dict[str, str]:
+    """One iteration of fits that begin at the plane coordinates, and the losses before and after."""
+    start = [*_sigma(k), AFFINITIES.replace("af AS (", "af AS MATERIALIZED (")]
+    out = {f"fit_iteration_{kind}": _with(*start, *_fit_iteration(kind), recursive=True) + _coordinates(f"{kind[0]}_y", "vec", 2 if kind == "euclid" else 3) for kind in _TABLE}
+    both = lambda kind: [*_fit_iteration(kind), *_loss(f"{kind[0]}_2", f"{kind[0]}_y", kind, 1.0)]
+    every = [cte for kind in ("hyper", "euclid", "sphere") for cte in both(kind)]
+    swept = " UNION ALL ".join(f"SELECT {c}::DOUBLE AS curvature, {n}::BIGINT AS iteration, round(loss, 6) AS loss FROM {kind[0]}_{part}" for c, kind in ((-1.0, "hyper"), (0.0, "euclid"), (1.0, "sphere")) for n, part in ((0, "l"), (1, "2l")))
+    out["curvature_sweep"] = _with(*start, *every, recursive=True) + swept
+    out["sweep_pivot"] = _with(*start, *every, recursive=True) + "SELECT 'embeddings' AS \"Dataset\", (SELECT round(loss, 6) FROM h_2l) AS \"-1.0\", (SELECT round(loss, 6) FROM e_2l) AS \"0.0\", (SELECT round(loss, 6) FROM s_2l) AS \"1.0\""
+    log = _with(*start, *both("hyper"), "lg AS (SELECT 0::BIGINT AS iteration, loss, 'early' AS phase FROM h_l UNION ALL SELECT 1, loss, 'main' FROM h_2l)", "lr AS (SELECT iteration, round(loss, 4) AS loss, phase FROM lg)", recursive=True)
+    out["run_log"] = log + "SELECT 'run' AS run_id, iteration, loss, phase FROM lr"
+    out["run_progress"] = log + "SELECT 'run' AS run_id, iteration, round(loss, 4) AS loss, round(min(loss) OVER (ORDER BY iteration), 4) AS best, phase FROM lg"
+    out["update_messages"] = log + """SELECT '{"type":"update","run_id":"run","iteration":' || iteration || ',"loss":' || loss || ',"phase":"' || phase || '"}' AS value FROM lr"""
+    out["status_messages"] = log + """SELECT '{"type":"status","run_id":"run","done":' || (iteration + 1) || ',"total":10,"loss":' || loss || ',"running":true}' AS value FROM lr WHERE iteration = 1"""
+    chart = "SELECT iteration, 300 - (log10(loss) - (SELECT log10(min(loss)) FROM lr)) / ((SELECT log10(max(loss)) FROM lr) - (SELECT log10(min(loss)) FROM lr)) * 300 AS y FROM lr"
+    out["loss_chart"] = log + f"""SELECT 'run' AS run_id, '<polyline fill="none" stroke="steelblue" points="' || string_agg(printf('%.2f,%.2f', iteration * 600.0::DOUBLE, y), ' ' ORDER BY iteration) || '"/>' AS value FROM ({chart})"""
+    return out
+
+
+def _given(found: dict[str, str]) -> dict[str, str]:
+    """Metrics of given distances: those of all components, and of the hyperboloid."""
+    silhouettes = found["silhouette"].replace(LOW_PAIRS, HIGH_PAIRS).replace("FROM lo ", "FROM hi ")
+    overlap = _with(HIGH_PAIRS, LOW_PAIRS, _near("a", "hi", 10), _near("b", "lo", 10)) + "SELECT count(*) / (10.0 * (SELECT count(*) FROM u)) AS value FROM a JOIN b USING (i, j)"
+    parts = {"knn_overlap": f"({overlap})", "db_index_ratio": f"({found['db_ratio']})"} | {name: f"(SELECT {name} FROM ({found['all_metrics']}))" for name in ("area_utilisation", "radial_distribution", "class_density_measure", "cluster_density_measure")}
+    return {
+        "given_overlap": overlap,
+        "given_trustworthiness": _with(HIGH_PAIRS, LOW_PAIRS, *_trust("lo", "hi", 10)) + "SELECT value FROM tv",
+        "given_silhouette": silhouettes,
+        "given_davies_bouldin": _with(HIGH_PAIRS, *_db("db", "hi")) + "SELECT value FROM db",
+        "given_db_ratio": found["db_ratio"],
+        "given_dunn": _with(HIGH_PAIRS) + "SELECT min(CASE WHEN li <> lj THEN d END) / max(CASE WHEN li = lj THEN d END) AS value FROM hi",
+        "given_metrics": "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in parts.items()),
+    }
+
+
 def _classes() -> str:
     cell = f"(x0 - 0.05 * (x1 - x0) + 1.1 * (x1 - x0) * (cell % {GRID}) / {GRID - 1})"
     row = f"(y0 - 0.05 * (y1 - y0) + 1.1 * (y1 - y0) * (cell // {GRID}) / {GRID - 1})"
@@ -340,16 +444,6 @@ def oracle_sql() -> dict[str, str]:
         ) + _coordinates("s", "y", 3),
         "label_colors": _with("l AS (SELECT label, (dense_rank() OVER (ORDER BY label) - 1) % 10 AS r FROM (SELECT DISTINCT label FROM u))", f"c AS (SELECT label, {list(PALETTE)}[r + 1] AS h FROM l)")
         + "SELECT label, ('0x' || h[2:3])::INTEGER / 255.0::DOUBLE AS red, ('0x' || h[4:5])::INTEGER / 255.0::DOUBLE AS green, ('0x' || h[6:7])::INTEGER / 255.0::DOUBLE AS blue FROM c",
-        "boundary_ring": "SELECT s AS step, cos(s * (2 * pi() / 100)) AS x, sin(s * (2 * pi() / 100)) AS y FROM range(101) t(s)",
-        "hyper_ticks": "SELECT n, tanh(n / 2.0::DOUBLE) AS radius FROM range(1, 5) t(n) WHERE tanh(n / 2.0::DOUBLE) <= 0.98",
-        "sphere_parallels": "SELECT a AS degrees, tan(radians(a) / 2) AS radius FROM range(30, 151, 30) t(a) WHERE tan(radians(a) / 2) <= 1.05",
-        "run_log": "SELECT 'run' AS run_id, i AS iteration, [3.0, 2.0, 1.5][i + 1]::DOUBLE AS loss, 'main' AS phase FROM range(3) t(i)",
-        "generate_tree_structured": """
-            WITH d AS (SELECT id, floor(log2(id + 1) + 1e-12) AS depth FROM range(200) t(id)),
-            a AS (SELECT id, depth, 2 * pi() * (id + 1 - pow(2, depth)) / pow(2, depth) + 0.3 * depth AS a, least(tanh(0.4 * depth), 0.99) AS r FROM d),
-            p AS (SELECT id, least(depth, 4)::BIGINT AS label, r * cos(a) AS x, r * sin(a) AS y, r * r AS s FROM a)
-            SELECT id, label, 0::INTEGER AS c, (1 + x * x + y * y) / (1 - x * x - y * y) AS x FROM p
-            UNION ALL SELECT id, label, 1::INTEGER, 2 * x / (1 - x * x - y * y) FROM p UNION ALL SELECT id, label, 2::INTEGER, 2 * y / (1 - x * x - y * y) FROM p
-        """,
     }
-    return out | _more(out, k)
+    out |= _more(out, k)
+    return out | _samples() | _fits(k) | _given(out)

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import sql
 from ..functions.geometry import scaling_loss, space
 from ..operators import affinities as aff
-from ..operators import descent, metrics, pairs, projection, samplers, similarity
+from ..operators import descent, metrics, pair_metrics, pairs, projection, quantiles, samplers, similarity
 from ..sources import registry, sinks, synthetic
 from ..streaming import run_log
+from ..storage import shared_path
 from .fit import fit_embedding, initial_points
+from .sweep import fit_sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 PERPLEXITY = 15.0
@@ -173,12 +175,9 @@ def regularised_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over all ordered pairs of what the distances of an embedding are off by."""
-    h, e = pairs.all_pairs(points(spark, sf_dir)), pairs.all_pairs(hyp3(spark, sf_dir), -1.0).withColumnRenamed("d", "e")
-    ratio = F.abs(F.pow(F.col("e") / F.col("d"), 2) - 1)
-    squares = F.pow(F.col("e") - F.col("d"), 2)
+    """What the distances of an embedding are off by, summed over all pairs."""
     # Sums of all pairs depend on their order in the last digits.
-    return h.join(e, ["i", "j"]).agg(F.round(F.sum(squares), 6).alias("mse"), F.round(F.sum(ratio), 6).alias("gu"))
+    return metrics.distance_losses(points(spark, sf_dir), hyp3(spark, sf_dir), -1.0).select(F.round("gu", 6).alias("gu"), F.round("mse", 6).alias("mse"))
 
 
 def curvature_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +203,6 @@ def sql_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of results: means of three coordinates of each label, as of three curvatures, written and read again."""
-    from ..storage import shared_path
-
     u = F.col("vec")
     means = points(spark, sf_dir).groupBy("label").agg(F.avg(u[0]).alias("a"), F.avg(u[1]).alias("b"), F.avg(u[2]).alias("c"))
     rows = means.select(F.concat(F.lit("set_"), "label").alias("Dataset"), F.explode(F.array(*(F.struct(F.lit(k).alias("Curvature"), F.col(c).alias("Metric")) for k, c in ((-1.0, "a"), (0.0, "b"), (1.0, "c"))))).alias("r"))
@@ -245,23 +242,76 @@ def _sampled(kind: str) -> Query:
     return lambda spark, sf_dir: samplers.create_sampler(kind, points(spark, sf_dir), 200).precompute().sample_pairs()
 
 
-def _generated(name: str) -> Query:
-    return lambda spark, sf_dir: synthetic.GENERATORS[name][0](spark, 200).select("id", "label", F.posexplode("vec").alias("c", "x"))
-
-
 def pca_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = points(spark, sf_dir)
     return initial_points(x, x, -1.0, 2, "pca").select("id", F.posexplode("vec").alias("c", "x"))
 
 
+def _iteration(kind: str) -> Query:
+    """The points after one iteration of a fit that begins at plane coordinates."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fitted = fit_embedding(points(spark, sf_dir).select("id", "vec"), VIEWS[kind][1], iterations=1, perplexity=PERPLEXITY, rate=50.0, early_iterations=1, start=emb2(spark, sf_dir))
+        return fitted.points.select("id", F.posexplode("vec").alias("c", "x"))
+
+    return query
+
+
+CURVATURES = [-1.0, 0.0, 1.0]
+
+
+def curvature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(curvature, iteration, loss) of fits in three spaces in one dataflow."""
+    fitted = fit_sweep(points(spark, sf_dir).select("id", "vec"), CURVATURES, iterations=2, perplexity=PERPLEXITY, rate=50.0, early_iterations=1, start=emb2(spark, sf_dir))
+    rows = [(k, n, losses[c]) for n, losses in enumerate(fitted.losses) for c, k in enumerate(CURVATURES)]
+    return spark.createDataFrame(rows, "curvature double, iteration long, loss double").withColumn("loss", F.round("loss", 6))
+
+
+def sweep_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last loss of each curvature of the sweep as a table of results, one column for each."""
+    rows = curvature_sweep(spark, sf_dir).where("iteration = 1")
+    return registry.experiment_table(rows.select(F.lit("embeddings").alias("Dataset"), F.col("curvature").alias("Curvature"), "loss"), "loss")
+
+
+_LOGS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def fit_log(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Folders with the snapshots and the losses of a fit, whose last iteration is logged twice; made once a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _LOGS:
+        log, losses = shared_path(spark, "run-log"), shared_path(spark, "run-losses")
+        told: list[tuple[DataFrame, int, float, str]] = []
+
+        def note(iteration: int, loss: float, low: DataFrame, phase: str) -> None:
+            told[:] = [(projection.project(low, -1.0), iteration, loss, phase)]
+            run_log.append(told[0][0], log, "run", *told[0][1:])
+            run_log.append_loss(spark, losses, "run", *told[0][1:])
+
+        fit_embedding(points(spark, sf_dir).select("id", "vec"), -1.0, iterations=2, perplexity=PERPLEXITY, rate=50.0, early_iterations=1, start=emb2(spark, sf_dir), callback=note)
+        run_log.append_loss(spark, losses, "run", *told[0][1:])  # as runs do when they end
+        _LOGS[key] = log, losses
+    return _LOGS[key]
+
+
 def run_log_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..storage import shared_path
+    return run_log.losses(spark.read.parquet(fit_log(spark, sf_dir)[0])).withColumn("loss", F.round("loss", 4))
+
+
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stateful stream over the log of a fit tells."""
+    rows = run_log.tell_progress(spark, fit_log(spark, sf_dir)[1], shared_path(spark, "progress"), shared_path(spark, "progress-checkpoint"))
+    return rows.select("run_id", "iteration", F.round("loss", 4).alias("loss"), F.round("best", 4).alias("best"), "phase")
 
-    folder = shared_path(spark, "run-log")
-    plane = projection.project(emb2(spark, sf_dir))
-    for iteration, loss in enumerate((3.0, 2.0, 1.5)):
-        run_log.append(plane, folder, "run", iteration, loss, "main")
-    return run_log.losses(spark.read.parquet(folder))
+
+def _given(make: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
+    """A metric of the distances of all components and of those in the hyperboloid, as given tables, and labels."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        high = points(spark, sf_dir)
+        return make(pairs.all_pairs(high), pairs.all_pairs(hyp3(spark, sf_dir), -1.0), high.select("id", "label"))
+
+    return query
 
 
 def queries() -> dict[str, Query]:
@@ -302,10 +352,6 @@ def queries() -> dict[str, Query]:
         "euclid2d": _projected("euclid"), "poincare": _projected("hyper"),
         "aligned": lambda s, d: projection.aligned(sph3(s, d)).select("id", F.posexplode("vec").alias("c", "x")),
         "label_colors": lambda s, d: projection.label_colors(points(s, d)),
-        "boundary_ring": lambda s, d: projection.boundary_ring(s),
-        "hyper_ticks": lambda s, d: projection.hyperbolic_ticks(s),
-        "sphere_parallels": lambda s, d: projection.sphere_parallels(s, "stereographic"),
-        "geodesic_arc": lambda s, d: projection.geodesic_arc(s, 0.5),
         "colored_points": lambda s, d: sinks.colored(emb2(s, d).select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), "label")),
         "packed_points": lambda s, d: sinks.packed_floats(emb2(s, d).select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), "label")),
         "metric_panel": lambda s, d: sinks.metric_panel(metrics.silhouette(hyp3(s, d), -1.0).toDF("silhouette")),
@@ -319,8 +365,7 @@ def queries() -> dict[str, Query]:
         "norm_pairs": lambda s, d: pairs.pairs_by_norms(points(s, d)).select("i", "j", F.round("d", 6).alias("d")),
         "normalized_pairs": lambda s, d: pairs.normalized_pairs(pairs.all_pairs(emb2(s, d))),
         "precomputed_affinities": lambda s, d: aff.affinities_of_pairs(pairs.all_pairs(emb2(s, d)), PERPLEXITY),
-        "pair_statistics": lambda s, d: pairs.all_pairs(emb2(s, d)).agg(F.stddev_samp("d").alias("std"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("median"), F.percentile("d", F.lit(0.25)).alias("quarter")),
-        "tree_distances": lambda s, d: synthetic.generated_distances(synthetic.tree_structured(s, 60), -1.0).withColumn("d", F.round("d", 6)),
+        "pair_statistics": lambda s, d: quantiles.pair_statistics(emb2(s, d)),
         "poincare_lift": lambda s, d: emb2(s, d).select("id", F.posexplode(synthetic.poincare_to_hyperboloid(F.transform("vec", lambda x: x * 0.5))).alias("c", "x")),
         "split_train": lambda s, d: registry.split(points(s, d), "train").select("id", "label"),
         "split_test": lambda s, d: registry.split(points(s, d), "test").select("id", "label"),
@@ -331,13 +376,22 @@ def queries() -> dict[str, Query]:
         "experiment_pivot": lambda s, d: registry.experiment_table(_results(s, d), "Metric"),
         "status_messages": lambda s, d: sinks.state_messages(run_log_losses(s, d), 10),
         "metric_messages": lambda s, d: sinks.messages(metrics.dunn(hyp3(s, d), -1.0).select(F.format_string("%.6f", "value").alias("dunn")), "metrics"),
-        "boundary_messages": lambda s, d: sinks.messages(projection.sphere_parallels(s, "orthographic").select("degrees", F.format_string("%.6f", "radius").alias("radius")), "boundary"),
-        "loss_chart": lambda s, d: sinks.loss_chart(run_log_losses(s, d)),
-        "grid_lines": lambda s, d: sinks.grid_lines(s),
+        "loss_chart": lambda s, d: sinks.loss_chart(run_log_losses(s, d), log_axis=True),
         "stereographic_small_sphere": lambda s, d: projection.project(sph3(s, d).withColumn("vec", F.transform("vec", lambda x: x * 0.5)), 4.0).select("id", "x", "y"),
         "poincare_curved": lambda s, d: projection.project(hyp3(s, d).withColumn("vec", F.transform("vec", lambda x: x * 0.5)), -4.0).select("id", "x", "y"),
     }
-    found |= {f"generate_{name}": _generated(name) for name in synthetic.GENERATORS}
     found |= {f"sample_{kind}": _sampled(kind) for kind in ("random", "knn", "stratified", "negative")}
+    found |= {
+        "given_overlap": _given(lambda h, e, y: pair_metrics.knn_overlap(h, e)),
+        "given_trustworthiness": _given(lambda h, e, y: pair_metrics.trustworthiness(h, e)),
+        "given_silhouette": _given(lambda h, e, y: pair_metrics.silhouette(h, y)),
+        "given_davies_bouldin": _given(lambda h, e, y: pair_metrics.davies_bouldin(h, y)),
+        "given_db_ratio": _given(lambda h, e, y: pair_metrics.db_ratio(h, e, y)),
+        "given_dunn": _given(lambda h, e, y: pair_metrics.dunn(h, y)),
+        "given_metrics": lambda s, d: metrics.all_metrics(None, hyp3(s, d), -1.0, distances=pairs.all_pairs(points(s, d))).drop("trustworthiness", "continuity"),
+        "hull_volume": lambda s, d: metrics.area_utilisation(sph3(s, d)),
+        "curvature_sweep": curvature_sweep, "sweep_pivot": sweep_pivot, "run_progress": run_progress,
+    }
+    found |= {f"fit_iteration_{kind}": _iteration(kind) for kind in VIEWS}
     found |= {"fit_euclid": _fit(0.0), "fit_sphere": _fit(1.0), "fit_hyper": _fit(-1.0)}
     return found

@@ -29,9 +29,14 @@ def embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("label"))
 
 
-def drawn(seed: int) -> Column:
-    """A number below 2^32 that an id draws: the first eight digits of the MD5 of ``id:seed``."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+def drawn(seed: int, of: str = "id") -> Column:
+    """A number below 2^32 that an id (or another whole number) draws: the first eight digits of the MD5 of ``id:seed``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(of).cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def share_drawn(seed: int, of: str = "id") -> Column:
+    """A number from 0 to below 1 that an id draws."""
+    return drawn(seed, of) / F.lit(float(2**32))
 
 
 def split(points: DataFrame, kind: str = "all", seed: int = 42) -> DataFrame:

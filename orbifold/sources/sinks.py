@@ -41,10 +41,12 @@ def state_messages(log: DataFrame, total: int) -> DataFrame:
     return messages(last.select("run_id", done, F.lit(total).alias("total"), F.col("last.loss").alias("loss"), (F.col("last.iteration") + 1 < total).alias("running")), "status")
 
 
-def loss_chart(log: DataFrame, width: int = 600, height: int = 300) -> DataFrame:
-    """(run_id, value): an SVG polyline of the losses (run_id, iteration, loss) of each run, scaled to the drawing.
+def loss_chart(log: DataFrame, width: int = 600, height: int = 300, log_axis: bool = False) -> DataFrame:
+    """(run_id, value): an SVG polyline of the losses (run_id, iteration, loss) of each run, or their logarithms, scaled to
+    the drawing.
 
     A run's losses, one number an iteration, are put together in one row."""
+    log = log.withColumn("loss", F.log10(F.greatest("loss", F.lit(1e-12)))) if log_axis else log
     ends = log.groupBy("run_id").agg(F.min("loss").alias("lo"), F.max("loss").alias("hi"), F.max("iteration").alias("last"))
     x = F.when(F.col("last") > 0, F.col("iteration") / F.col("last") * width).otherwise(0.0)
     y = F.when(F.col("hi") > F.col("lo"), height - (F.col("loss") - F.col("lo")) / (F.col("hi") - F.col("lo")) * height).otherwise(height / 2)
@@ -94,9 +96,10 @@ def write_bars(table: DataFrame, path: str, width: int = 600, height: int = 300,
 
 
 def _write_lines(lines: DataFrame, opening: str, path: str) -> None:
+    """Writes lines by their numbers: tasks write a range each, and the files join in the order of their names."""
     spark: SparkSession = lines.sparkSession
     ends = spark.createDataFrame([(0, opening), (2**62, "</svg>")], "line long, value string")
-    lines.union(ends).repartitionByRange(1, "line").sortWithinPartitions("line").select("value").write.mode("overwrite").text(path)
+    lines.union(ends).repartitionByRange("line").sortWithinPartitions("line").select("value").write.mode("overwrite").text(path)
 
 
 def metric_panel(metrics: DataFrame) -> DataFrame:
