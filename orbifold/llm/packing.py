@@ -173,7 +173,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
     unit = -(-sequence // classes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path, kept)
+        words = word_ids(tokenizer_path, kept) if kept >= WordIds.KEPT else WordIds(tokenizer_path, kept)
         for batch in batches:
             out: list[list] = [[] for _ in names]
 
@@ -496,6 +496,7 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, classes: int = CLAS
 def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, keep_ids: bool = False, kept: int = WordIds.KEPT) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset.
 
-    A task keeps the ids of ``kept`` words; fewer take less memory and more time."""
+    A worker keeps the ids of ``kept`` words from task to task; fewer than usual are dropped with the task, which takes
+    less memory and more time."""
     pieces = tokenized_pieces(docs, tokenizer_path, sequence, keep_ids, kept).withColumn("row", F.monotonically_increasing_id())
     return pack_pieces(stored(pieces, "pieces"), sequence)
