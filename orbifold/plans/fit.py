@@ -11,14 +11,13 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import scaling_loss, space
-from ..functions.vectors import combined, literal, scaled
+from ..functions.vectors import combined, scaled
 from ..operators.affinities import affinities, affinities_of_pairs
+from ..operators.components import principal_components, projected
 from ..operators.descent import momentum_step
 from ..operators.metrics import all_metrics
 from ..operators.pairs import all_pairs
@@ -44,13 +43,8 @@ def initial_points(data: DataFrame | None, ids: DataFrame, k: float, d: int = 2,
     elif method == "pca":
         if data is None:
             raise ValueError("principal components need data")
-        first = data.select(F.size("vec").alias("d")).first()
-        mean = data.agg(*(F.avg(F.col("vec")[c]).alias(f"c{c}") for c in range(first.d))).first()
-        rows = data.select("id", array_to_vector(combined(1.0, F.col("vec"), -1.0, literal(list(mean)))).alias("x"))
-        model = PCA(k=d, inputCol="x", outputCol="p").fit(rows)
-        loadings = model.pc.toArray()
-        signs = [1.0 if loadings[abs(loadings[:, c]).argmax(), c] > 0 else -1.0 for c in range(d)]
-        parts = model.transform(rows).select("id", F.zip_with(vector_to_array("p"), literal(signs), lambda a, b: a * b).alias("s"))
+        loadings, _, mean = principal_components(data, d)
+        parts = projected(data, loadings, mean)
         std = parts.select(F.explode("s").alias("e")).agg(F.stddev_samp("e").alias("std")).first().std or 0.0
         flat = parts.select("id", scaled(scale / std if std > 1e-10 else scale, F.col("s")).alias("s"))
     else:

@@ -404,6 +404,8 @@ def oracle_sql() -> dict[str, str]:
         "scaling_softplus_barrier": _with() + f"SELECT avg(CASE WHEN {g} - 3 > 20 THEN {g} - 3 ELSE ln(1 + exp({g} - 3)) END) AS loss FROM hyp3",
         "scaling_mean_distance": _with() + f"SELECT avg({g}) AS loss FROM hyp3",
         "sigma_search": _with(*_sigma(k), recursive=True) + "SELECT i, sigma FROM sg",
+        "sql_knn": _with(HIGH_PAIRS, _near("nn", "hi", 5)) + "SELECT i, rank, j, d FROM nn",
+        "sql_affinities": _with(*_sigma(k), recursive=True) + "SELECT i, j, sum(p) / (SELECT 2 * sum(p) FROM cp) AS v FROM (SELECT i, j, p FROM cp UNION ALL SELECT j, i, p FROM cp) GROUP BY i, j",
         "conditional_p": _with(*_sigma(k), recursive=True) + "SELECT i, j, p FROM cp",
         "affinities": _with(*_sigma(k), recursive=True) + "SELECT i, j, sum(p) / (SELECT 2 * sum(p) FROM cp) AS v FROM (SELECT i, j, p FROM cp UNION ALL SELECT j, i, p FROM cp) GROUP BY i, j",
         "t_kernel": _with(_pairs("p", "emb2", _DISTANCE["euclid"])) + "SELECT i, j, 1 / (1 + d * d) AS kernel, -2 * d / pow(1 + d * d, 2) AS slope FROM p",

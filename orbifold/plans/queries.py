@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import sql
 from ..functions.geometry import scaling_loss, space
 from ..operators import affinities as aff
-from ..operators import descent, metrics, pair_metrics, pairs, projection, quantiles, samplers, similarity
+from ..operators import descent, metrics, pair_metrics, pairs, projection, quantiles, samplers, similarity, table_functions
 from ..sources import registry, sinks, synthetic
 from ..streaming import run_log
 from ..storage import shared_path
@@ -201,6 +201,24 @@ def sql_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sql_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query in SQL alone, by a table function."""
+    table_functions.register(spark)
+    return spark.sql(f"SELECT i, rank, j, d FROM nearest_points(TABLE({table_functions.BLOCKS}), 5, 0D)", points=points(spark, sf_dir).select("id", "vec"))
+
+
+def sql_affinities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affinities in SQL alone, by two table functions."""
+    table_functions.register(spark)
+    return spark.sql(
+        f"""WITH near AS (SELECT i, j, d FROM nearest_points(TABLE({table_functions.BLOCKS}), {int(3 * PERPLEXITY + 1)}, 0D)),
+                 p AS (SELECT i, j, p FROM conditional_affinities(TABLE(near), {PERPLEXITY}D)),
+                 v AS (SELECT i, j, sum(p) AS v FROM (SELECT i, j, p FROM p UNION ALL SELECT j, i, p FROM p) GROUP BY i, j)
+            SELECT i, j, v / (SELECT sum(v) FROM v) AS v FROM v""",
+        points=points(spark, sf_dir).select("id", "vec"),
+    )
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of results: means of three coordinates of each label, as of three curvatures, written and read again."""
     u = F.col("vec")
@@ -362,6 +380,7 @@ def queries() -> dict[str, Query]:
         "affinity_loss": affinity_loss, "affinity_gradient": affinity_gradient, "regularised_loss": regularised_loss,
         "exaggerated_loss": lambda s, d: similarity.kl_loss(hyp3(s, d), _ring(s, d), -1.0, 12.0),
         "distance_losses": distance_losses, "curvature_distortion": curvature_distortion, "sql_distances": sql_distances,
+        "sql_knn": sql_knn, "sql_affinities": sql_affinities,
         "norm_pairs": lambda s, d: pairs.pairs_by_norms(points(s, d)).select("i", "j", F.round("d", 6).alias("d")),
         "normalized_pairs": lambda s, d: pairs.normalized_pairs(pairs.all_pairs(emb2(s, d))),
         "precomputed_affinities": lambda s, d: aff.affinities_of_pairs(pairs.all_pairs(emb2(s, d)), PERPLEXITY),
