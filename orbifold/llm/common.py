@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import pickle
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -18,21 +19,23 @@ ROWS_AT_ONCE = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps the session's Arrow batches to :data:`ROWS_AT_ONCE` rows."""
-    before = int(spark.conf.get(_BATCH))
-    spark.conf.set(_BATCH, str(min(before, ROWS_AT_ONCE) if before > 0 else ROWS_AT_ONCE))
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it the session's Arrow batches have :data:`ROWS_AT_ONCE` rows at most, as texts may be long; afterwards as before."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), ROWS_AT_ONCE) if int(before) > 0 else ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
 
 class Stored(storage.Stored):
-    """A table in the shared folder, written with Arrow batches of :data:`ROWS_AT_ONCE` rows at most, as texts may be long."""
+    """A table in the shared folder, written with :func:`small_batches`."""
 
     def __init__(self, df: DataFrame, name: str) -> None:
-        before = df.sparkSession.conf.get(_BATCH)
-        small_batches(df.sparkSession)
-        try:
+        with small_batches(df.sparkSession):
             super().__init__(df, name)
-        finally:
-            df.sparkSession.conf.set(_BATCH, before)
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc, labelled, tidy
+from .common import id_crc, labelled, small_batches, tidy
 
 #: What each component of a feature vector measures.
 FEATURES = (
@@ -156,11 +156,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     parts = rows.mapInArrow(moments, "y int, n double, total array<double>, outer array<double>")
     parts = parts.select("y", F.posexplode(F.concat(F.array("n"), "total", "outer")).alias("at", "x")).groupBy("y", "at").agg(F.sum("x").alias("x"))
     sums: dict[int, dict[int, float]] = {}
-    for r in parts.collect():  # numbers of two classes
+    with small_batches(docs.sparkSession):
+        found = parts.collect()  # numbers of two classes
+    for r in found:
         sums.setdefault(r.y, {})[r["at"]] = r.x
     d = len(FEATURES)
-    found = {y: np.array([x[k] for k in range(1 + d + d * d)]) for y, x in sums.items()}
-    return model_from({y: Moments(x[0], x[1 : 1 + d], x[1 + d :].reshape(d, d)) for y, x in found.items()})
+    flat = {y: np.array([x[k] for k in range(1 + d + d * d)]) for y, x in sums.items()}
+    return model_from({y: Moments(x[0], x[1 : 1 + d], x[1 + d :].reshape(d, d)) for y, x in flat.items()})
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
