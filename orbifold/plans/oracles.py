@@ -322,6 +322,14 @@ def _fits(k: int) -> dict[str, str]:
     """One iteration of fits that begin at the plane coordinates, and the losses before and after."""
     start = [*_sigma(k), AFFINITIES.replace("af AS (", "af AS MATERIALIZED (")]
     out = {f"fit_iteration_{kind}": _with(*start, *_fit_iteration(kind), recursive=True) + _coordinates(f"{kind[0]}_y", "vec", 2 if kind == "euclid" else 3) for kind in _TABLE}
+    seen = lambda kind, *ctes: _with(*start, *_fit_iteration(kind), *ctes, recursive=True)
+    largest = "pm AS (SELECT max(sqrt(x * x + y * y)) AS m FROM pr)"
+    scaled = "SELECT id, x / m AS x, y / m AS y, 1 / m AS scale FROM pr, pm"
+    out["reprojected_euclid"] = seen("euclid", "pr AS (SELECT id, vec[2] AS x, vec[1] AS y FROM e_y)", largest) + scaled
+    out["reprojected_hyper"] = seen("hyper") + "SELECT id, vec[3] / (vec[1] + 1) AS x, vec[2] / (vec[1] + 1) AS y, 1.0::DOUBLE AS scale FROM h_y"
+    out["reprojected_sphere"] = seen("sphere", "pr AS (SELECT id, vec[1] / (1 - vec[2]) AS x, vec[3] / (1 - vec[2]) AS y FROM s_y)", largest) + scaled
+    theta = "acos(greatest(least(-vec[3], 1), -1)) / pi()"
+    out["reprojected_sphere_south"] = seen("sphere") + f"SELECT id, {theta} * cos(atan2(vec[1], vec[2])) AS x, {theta} * sin(atan2(vec[1], vec[2])) AS y, 1.0::DOUBLE AS scale FROM s_y"
     both = lambda kind: [*_fit_iteration(kind), *_loss(f"{kind[0]}_2", f"{kind[0]}_y", kind, 1.0)]
     every = [cte for kind in ("hyper", "euclid", "sphere") for cte in both(kind)]
     swept = " UNION ALL ".join(f"SELECT {c}::DOUBLE AS curvature, {n}::BIGINT AS iteration, round(loss, 6) AS loss FROM {kind[0]}_{part}" for c, kind in ((-1.0, "hyper"), (0.0, "euclid"), (1.0, "sphere")) for n, part in ((0, "l"), (1, "2l")))

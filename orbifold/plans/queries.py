@@ -265,14 +265,18 @@ def pca_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return initial_points(x, x, -1.0, 2, "pca").select("id", F.posexplode("vec").alias("c", "x"))
 
 
-def _iteration(kind: str) -> Query:
+def _after_iteration(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """The points after one iteration of a fit that begins at plane coordinates."""
+    return fit_embedding(points(spark, sf_dir).select("id", "vec"), VIEWS[kind][1], iterations=1, perplexity=PERPLEXITY, rate=50.0, early_iterations=1, start=emb2(spark, sf_dir)).points
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        fitted = fit_embedding(points(spark, sf_dir).select("id", "vec"), VIEWS[kind][1], iterations=1, perplexity=PERPLEXITY, rate=50.0, early_iterations=1, start=emb2(spark, sf_dir))
-        return fitted.points.select("id", F.posexplode("vec").alias("c", "x"))
 
-    return query
+def _iteration(kind: str) -> Query:
+    return lambda spark, sf_dir: _after_iteration(spark, sf_dir, kind).select("id", F.posexplode("vec").alias("c", "x"))
+
+
+def _reprojected(kind: str, **options: object) -> Query:
+    """A run's points seen along other axes or from another pole."""
+    return lambda spark, sf_dir: projection.project(_after_iteration(spark, sf_dir, kind), VIEWS[kind][1], scale_info=True, **options).select("id", "x", "y", "scale")
 
 
 CURVATURES = [-1.0, 0.0, 1.0]
@@ -412,5 +416,7 @@ def queries() -> dict[str, Query]:
         "curvature_sweep": curvature_sweep, "sweep_pivot": sweep_pivot, "run_progress": run_progress,
     }
     found |= {f"fit_iteration_{kind}": _iteration(kind) for kind in VIEWS}
+    found |= {f"reprojected_{kind}": _reprojected(kind, i=1, j=0) for kind in ("euclid", "hyper")}
+    found |= {"reprojected_sphere": _reprojected("sphere", pole=1), "reprojected_sphere_south": _reprojected("sphere", projection="azimuthal_equidistant", i=1, j=0, pole=2)}
     found |= {"fit_euclid": _fit(0.0), "fit_sphere": _fit(1.0), "fit_hyper": _fit(-1.0)}
     return found
