@@ -19,10 +19,11 @@ from ..functions.geometry import space
 from .affinities import HIGH, LOW, START, STEPS, TOLERANCE
 from .pairs import BLOCK, Nearest
 
-#: Deals the points of a table {points} (id, vec) into blocks and every point to each block, for ``nearest_points``.
+#: Deals the points of a table {points} (id, vec) into blocks and every point to each block, for ``nearest_points``: few
+#: blocks, as every point is sent to each, but enough for many tasks.
 BLOCKS = f"""
   SELECT block, block = pmod(xxhash64(id), blocks) AS own, id, vec
-  FROM (SELECT id, vec, (SELECT (count(*) - 1) DIV {BLOCK} + 1 FROM {{points}}) AS blocks FROM {{points}})
+  FROM (SELECT id, vec, (SELECT greatest((count(*) - 1) DIV {16 * BLOCK} + 1, least((count(*) - 1) DIV {BLOCK} + 1, 32)) FROM {{points}}) AS blocks FROM {{points}})
   LATERAL VIEW explode(sequence(CAST(0 AS BIGINT), blocks - 1)) AS block
 """
 
@@ -94,7 +95,7 @@ class NearestPoints:
         if self.some:
             self._take(self.k, self.curvature)
         if self.own is not None:
-            told = self.own.told(False)
+            told = self.own.told(None)
             yield from zip(*(c.to_pylist() for c in told.columns), strict=True)
 
 
