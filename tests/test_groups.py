@@ -78,3 +78,13 @@ def test_given_pairs_are_neither_sorted_nor_shuffled(spark, make_points):
             assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_few_given_pairs_are_sorted(make_points, monkeypatch):
+    """Rows that are left out before the sort change nothing, with equal distances and such that are no number."""
+    p = make_points(wide(200))
+    d = pairs.all_pairs(p).coalesce(1).sortWithinPartitions("i", "j")
+    whole = {(r.i, r["rank"]): (r.j, r.d) for r in pairs.nearest_of_pairs(d, 3).collect()}
+    assert whole == {(r.i, r["rank"]): (r.j, r.d) for r in pairs.knn(p, 3).collect()}
+    rows = d.union(d.select("i", "j", F.lit(float("nan")))).coalesce(1).sortWithinPartitions("i", "j")
+    assert {(r.i, r["rank"]): (r.j, r.d) for r in pairs.nearest_of_pairs(rows, 3).collect()} == whole
