@@ -42,7 +42,7 @@ END_ID = 2
 #: Pieces of a class that are ranked together.
 RANK_ROWS = 500_000
 #: Characters that are encoded together.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 500_000
 #: Column generation ends within this share of the least possible number of sequences.
 GAP = 2e-4
 #: Sequences that a cut has to save.
@@ -76,12 +76,25 @@ class WordIds(dict):
         self.tails: dict[str, np.ndarray] = {}
         self.closed: dict[str, bool] = {}
         self.kept = kept
-        self._forget()
+        self.new: list[str] = []
+        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.times = np.empty(0, np.int64)
 
     def _forget(self) -> None:
+        """Drops the pieces that came once, and the rarest of the others where they are more than half of what is kept.
+
+        What stays counts half as often, so that pieces that no longer come go in their turn."""
+        stay = np.flatnonzero(self.times > 1)
+        if len(stay) > self.kept // 2:
+            stay = np.sort(stay[np.argsort(-self.times[stay], kind="stable")[: self.kept // 2]])
+        flags = np.zeros(len(self), bool)
+        flags[stay] = True
+        pieces = [piece for piece, stays in zip(self, flags.tolist(), strict=True) if stays]
         self.clear()
-        self.new: list[str] = []
-        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.update(zip(pieces, range(len(pieces)), strict=True))
+        self.flat, self.length = strung(self.flat, self.start[stay], self.length[stay]), self.length[stay]
+        self.start = np.cumsum(self.length) - self.length
+        self.times = self.times[stay] // 2
 
     def __missing__(self, piece: str) -> int:
         self[piece] = k = len(self)
@@ -125,14 +138,32 @@ class WordIds(dict):
                 return piece, ""
         return core.lower() if core.isascii() else core, piece[len(core) :]
 
+    def _parts(self) -> list[tuple[str, str]]:
+        """Core and tail of each new piece."""
+        out, simple, plain, closed = [], self.SIMPLE, self.plain_marks, self.closed
+        for piece in self.new:
+            core = piece.rstrip(simple)
+            if plain and core.isascii() and core.isalnum():  # what most are, told without a call
+                out.append((core.lower(), piece[len(core) :]))
+            elif plain and core.isalnum() and (len(core) == len(piece) or core[-1].isascii() or closed.get(core[-1])):
+                out.append((core, piece[len(core) :]))
+            else:
+                out.append(self._part(piece))
+        return out
+
     def _learn(self) -> None:
-        parts = list(map(self._part, self.new))
-        cores, ids, lengths = self._cores(list(dict.fromkeys(c for c, _ in parts)))
+        parts, learned = self._parts(), len(self.length)
+        unlike = dict.fromkeys(c for c, _ in parts)
+        at = [self.get(c, learned) for c in unlike]  # a core that is a known piece itself is not encoded again
+        known = [c for c, k in zip(unlike, at, strict=True) if k < learned]
+        old = np.array([k for k in at if k < learned], np.int64)
+        cores, ids, lengths = self._cores([c for c, k in zip(unlike, at, strict=True) if k >= learned])
         ends = list(dict.fromkeys(t for _, t in parts))
         unseen = [t for t in ends if t not in self.tails]
         self.tails |= dict(zip(unseen, self._alone(unseen), strict=True))
-        ids = np.concatenate([*ids, *(self.tails[t] for t in ends)])
-        lengths = np.append(lengths, [len(self.tails[t]) for t in ends]).astype(np.int64)
+        ids = np.concatenate([*ids, strung(self.flat, self.start[old], self.length[old]), *(self.tails[t] for t in ends)])
+        lengths = np.concatenate([lengths, self.length[old], [len(self.tails[t]) for t in ends]]).astype(np.int64)
+        cores = cores + known
         core, end = ({x: k for k, x in enumerate(xs)} for xs in (cores, ends))
         numbers = np.array([(core[c], end[t]) for c, t in parts], np.int64).reshape(-1, 2) + [0, len(cores)]
         starts = np.cumsum(lengths) - lengths
@@ -152,6 +183,9 @@ class WordIds(dict):
         numbers = [np.fromiter(map(self.__getitem__, p), np.int64, len(p)) for p in pieces]
         if self.new:
             self._learn()
+        times = np.bincount(np.concatenate(numbers), minlength=len(self)) if numbers else np.zeros(len(self), np.int64)
+        times[: len(self.times)] += self.times
+        self.times = times
         return [strung(self.flat, self.start[k], self.length[k]) for k in numbers]
 
 
@@ -496,7 +530,7 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, classes: int = CLAS
 def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, keep_ids: bool = False, kept: int = WordIds.KEPT) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset.
 
-    A worker keeps the ids of ``kept`` words from task to task; fewer than usual are dropped with the task, which takes
-    less memory and more time."""
+    A worker keeps the ids of about ``kept`` words, those that come often, from task to task; fewer than usual are dropped
+    with the task, which takes less memory and more time."""
     pieces = tokenized_pieces(docs, tokenizer_path, sequence, keep_ids, kept).withColumn("row", F.monotonically_increasing_id())
     return pack_pieces(stored(pieces, "pieces"), sequence)

@@ -31,6 +31,20 @@ def test_ids_of_every_letter(tokenizer):
             assert own.tolist() == e.ids, t
 
 
+def test_frequent_words_outlive_a_full_table(tokenizer):
+    rng = random.Random(4)
+    words, asked = packing.WordIds(WORDS, kept=50), []
+    alone = words._alone
+    words._alone = lambda texts: asked.extend(" ".join(texts).split()) or alone(texts)
+    often = ["river", "stone", "Größe,", "keeper;"]
+    for _ in range(30):
+        text = " ".join(rng.sample([*often * 3, *("".join(rng.choices("abcdefgh", k=7)) for _ in range(40))], 52))
+        assert words.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words) <= 50 + 44
+    assert all(asked.count(w.rstrip(",;")) == 1 for w in often)  # once each, though the table was full many times
+    assert words.encode([]) == []
+
+
 def test_even_classes_are_paired():
     sizes, demand = np.arange(1, 256), np.full(255, 1_000)
     chosen = packing.whole_patterns(sizes, demand, 256)
