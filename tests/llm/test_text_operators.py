@@ -141,6 +141,23 @@ def test_consistent_samples_agree_as_often_as_texts_are_alike():
     assert near_dup.similar_pairs([a, b, a], weights, 0.999, np.array([0]), np.array([1, 2])).tolist() == [[False, True]]
 
 
+def test_shingles_differ_as_their_words_do(monkeypatch):
+    rng = random.Random(6)
+    longs = ["x" * 300, "x" * 299 + "y", "é" * 200]
+    pool = ["a", "b", "ab", "ba", "é", "e\u0301", "\ud800", *longs]
+    texts = [rng.choice([" ", "\u2003", "\n\n"]).join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(300)]
+    whole = [near_dup.shingle_run(t).tolist() for t in texts]
+    monkeypatch.setattr(near_dup, "RUN_WORDS", 7)
+    told = {}
+    for t, hashes in zip(texts, whole, strict=True):
+        assert near_dup.shingle_run(t).tolist() == hashes  # wherever the runs of words end
+        words = t.lower().split()
+        windows = [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))]
+        for window, h in zip(windows, hashes, strict=True):
+            assert told.setdefault(window, h) == h
+    assert len(set(told.values())) == len(told)
+
+
 def test_common_shingles_are_counted_exactly(spark):
     rng = random.Random(2)
     texts = [prose(rng, 30) + (" we all share this very common line here" if k % 3 == 0 else "") for k in range(90)]
