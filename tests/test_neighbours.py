@@ -119,3 +119,14 @@ def test_distance_losses(make_points):
     h, low = space(0.0).distances(x, x)[np.triu_indices(30, 1)], space(-1.0).distances(e, e)[np.triu_indices(30, 1)]
     row = metrics.distance_losses(make_points(x), make_points(e), -1.0).first()
     assert math.isclose(row.gu, ((low / (h + 1e-8) - 1) ** 2).sum(), rel_tol=1e-9) and math.isclose(row.mse, ((low - h) ** 2).sum(), rel_tol=1e-9)
+
+
+def test_groups_of_neighbours_do_not_grow_with_the_points(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 8)
+    x = np.random.default_rng(8).normal(size=(600, 3))
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vec array<double>")
+    near = pairs.knn(points, 3)
+    assert near.rdd.getNumPartitions() <= 24  # each group is sent all blocks that it may need
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) + np.diag(np.full(600, np.inf))
+    want = {(i, r + 1, int(j)) for i in range(600) for r, j in enumerate(d[i].argsort(kind="stable")[:3])}
+    assert {(r.i, r.rank, r.j) for r in near.collect()} == want
