@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbifold.functions.geometry import space
 from orbifold.operators import pairs
@@ -63,3 +64,26 @@ def test_repulsion_in_strips(k):
         assert np.isclose(at.pull(x[:1], b.x, d[:1], w[None])[0, c], told, rtol=1e-4, atol=1e-4)
     both = repelled(a, a, at)
     assert len(both[0]) == 1024 and np.allclose(both[0], (1 / (1 + at.distances(a.x, a.x) ** 2)).sum(axis=1) - 1, rtol=1e-6, atol=2e-6)
+
+
+@pytest.mark.parametrize("counted", [0, 12])
+def test_ranks_that_single_precision_does_not_tell(make_points, monkeypatch, counted):
+    """Points whose distances differ in the tenth digit or not at all, counted and sorted."""
+    monkeypatch.setattr(pairs, "BLOCK", 16)
+    monkeypatch.setattr(pairs, "COUNTED", counted)
+    rng, at = np.random.default_rng(4), space(0.0)
+    x = np.zeros((60, 20))
+    x[:, 0] = 1 + 1e-10 * rng.permutation(60)
+    x[20:25], x[40:] = x[50], rng.normal(size=(20, 20))
+    d = at.distances(x, x) + np.diag(np.full(60, np.inf))
+    order = [np.lexsort((np.arange(60), row)).tolist() for row in d]
+    p = make_points(x)
+    asked = p.crossJoin(p.select(F.explode(F.array(F.lit(1), F.lit(22), F.lit(31), F.lit(55))).alias("j")).distinct()).select(F.col("id").alias("i"), F.col("j").cast("long")).where("i <> j AND (i + j) % 5 > 0")
+    told = {(r.i, r.j): r["rank"] for r in pairs.ranks(p, asked).collect()}
+    far = lambda i, j: np.abs(np.delete(d[i], j) - d[i, j]).min() > 1e-13 * d[i, j] or (d[i] == d[i, j]).sum() > 1
+    assert len(told) > 150 and all(order[i].index(j) + 1 == rank for (i, j), rank in told.items() if far(i, j))
+    d = np.round(rng.random((5, 40)), 1).astype(np.float32)
+    starts, low, high = np.array([0, 2, 2, 5, 6, 7]), np.linspace(0.2, 0.8, 7, dtype=np.float32), np.linspace(0.3, 0.9, 7, dtype=np.float32)
+    rows = np.repeat(np.arange(5), np.diff(starts))
+    for found, bound in zip(pairs._below(d, starts, low, high), (low, high), strict=True):
+        assert found.tolist() == [(d[r] < v).sum() for r, v in zip(rows, bound, strict=True)]
