@@ -87,3 +87,20 @@ def test_ranks_that_single_precision_does_not_tell(make_points, monkeypatch, cou
     rows = np.repeat(np.arange(5), np.diff(starts))
     for found, bound in zip(pairs._below(d, starts, low, high), (low, high), strict=True):
         assert found.tolist() == [(d[r] < v).sum() for r, v in zip(rows, bound, strict=True)]
+
+
+def test_neighbours_are_looked_for_once(make_points, monkeypatch):
+    """Neighbours, affinities and the targets of ranks are read from where they are stored, and are not made again."""
+    from orbifold.operators import affinities, metrics, similarity
+
+    p = make_points(on(0.0, 40), np.arange(40) % 3)
+    steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    near = pairs.knn(p, 4)
+    assert steps(pairs.mutual_knn(p, 4)) == steps(near)
+    want = {(r.i, r.j) for r in near.collect()}
+    assert {tuple(r) for r in pairs.mutual_knn(p, 4).collect()} == {(i, j) for i, j in want if i < j and (j, i) in want}
+    v = affinities.affinities(p, 5.0)
+    assert steps(v) == 0 and steps(pairs.ranks(p, near)) == steps(pairs.mean_distance(p)) + 1  # both sides are packed
+    made = v.mapInArrow(lambda batches: batches, "i long, j long, v double")
+    assert steps(similarity.kl_loss(p, made)) == steps(similarity.partition_sum(p)) + 1
+    assert steps(metrics.davies_bouldin(p)) == 0
