@@ -60,6 +60,52 @@ def test_streamed_candidates(registered, make_points, monkeypatch):
     assert got == {(i, r + 1): j for i in range(10) for r, j in enumerate(np.argsort(d[i])[:3].tolist())}
 
 
+def test_points_are_sent_some_at_a_time(registered, make_points):
+    """A row for each point and block takes longer than the distances."""
+    x = np.random.default_rng(10).normal(size=(2_500, 40))
+    x[:50] = x[50:100]
+    p = make_points(x).select("id", "vec")
+    rows = p.union(registered.createDataFrame([(9_999, None), (None, [0.0] * 40)], "id long, vec array<double>"))
+    sent = registered.sql(table_functions.BLOCKS, points=rows).cache()
+    blocks = sent.select("block").distinct().count()
+    assert blocks == 3 and sent.count() <= 400 < 2_500
+    assert sent.select(F.sum(F.size("id"))).first()[0] == 2_500 * blocks and sent.where("own").select(F.explode("id")).distinct().count() == 2_500
+    assert sent.select(F.max(F.size("id"))).first()[0] < 60  # a row stays small
+    got = registered.sql(f"SELECT * FROM nearest_points(TABLE({table_functions.BLOCKS}), 4, 0D)", points=rows)
+    want = pairs.knn(p, 4).cache()
+    assert told(got) == told(want)
+    lists = registered.sql(f"SELECT * FROM nearest_lists(TABLE({table_functions.BLOCKS}), 4, 0D)", points=rows)
+    assert told(lists.selectExpr("i", "posexplode(arrays_zip(j, d)) AS (rank, z)").selectExpr("i", "rank + 1 AS rank", "z.j", "z.d")) == told(want)
+
+
+def test_affinities_of_lists(registered, make_points):
+    near = pairs.knn(make_points(np.random.default_rng(11).normal(size=(90, 4))), 31)
+    lists = near.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("rank", "j", "d"))).alias("n")).selectExpr("i", "n.j AS j", "n.d AS d")
+    odd = registered.createDataFrame([(900, [], []), (901, None, None), (902, [1, None, 3, 4], [1.0, 2.0, None, 2.0])], "i long, j array<long>, d array<double>")
+    got = registered.sql("SELECT i, s.j, s.p FROM conditional_affinities(TABLE({near}), 10D) LATERAL VIEW explode(arrays_zip(j, p)) AS s", near=lists.union(odd))
+    got = {(r.i, r.j): r.p for r in got.collect()}
+    assert {k for k in got if k[0] >= 900} == {(902, 1), (902, 4)}
+    want = {(r.i, r.j): r.p for r in aff.conditional(near.select("i", "j", "d"), 10.0).collect()}
+    assert {k for k in got if k[0] < 900} == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    with pytest.raises(AnalysisException):
+        registered.sql("SELECT * FROM conditional_affinities(TABLE({near}), 10D)", near=lists.selectExpr("i", "j", "1D AS d")).collect()
+
+
+def test_bandwidths_are_sought_for_many_points_at_once(monkeypatch):
+    rng, rows = np.random.default_rng(12), []
+    for i in range(40):
+        rows += [{"i": i, "j": j, "d": float(d)} for j, d in enumerate(np.sort(rng.uniform(0.1, 3, 5 + i)))]
+    told = []
+    for some in (1, 60, 1 << 15):
+        handler = table_functions.Affinities()
+        monkeypatch.setattr(handler, "SOME", some)
+        told.append([t for r in rows for t in handler.eval(r, 4.0)] + list(handler.terminate()))
+    assert np.allclose(told[0], told[1]) and np.allclose(told[0], told[2])
+    for i in range(40):
+        p = np.array([t[3] for t in told[2] if t[0] == i])
+        assert len(p) == 5 + i and abs(np.exp(-(p * np.log(p)).sum()) - 4) < 1e-3
+
+
 def test_conditional_affinities(registered, make_points):
     p = make_points(np.random.default_rng(7).normal(size=(80, 4)))
     near = pairs.knn(p, 31).select("i", "j", "d")
