@@ -99,6 +99,14 @@ def test_metrics_of_given_distances(make_points):
     assert abs(row["knn_overlap"] - both["knn_overlap"]) < 1e-9 and abs(row["db_index_ratio"] - both["db_index_ratio"]) < 1e-9
 
 
+def test_ranks_of_more_points_than_32_bits_count(make_points, monkeypatch):
+    x, e = on(0.0, 40), on(0.0, 40, 9)
+    h, low = pairs.all_pairs(make_points(x)), pairs.all_pairs(make_points(e))
+    monkeypatch.setattr(pair_metrics, "_points", lambda pairs: 12_000)
+    over = (1 - brute_trust(x, e, 10)) * 40 * 10 * (80 - 31) / 2
+    assert abs(1 - pair_metrics.trustworthiness(h, low, 10).first().value - 2 * over / (12_000 * 10 * (24_000 - 31))) < 1e-12
+
+
 def test_exact_quantiles(spark, make_points, monkeypatch):
     monkeypatch.setattr(quantiles, "CELLS", 4)
     rng = np.random.default_rng(0)
